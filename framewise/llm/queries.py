@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, near_dedup, sharding, winnowing
 from .common import table
 
 
@@ -17,5 +17,9 @@ def _documents(op: Callable[[SparkSession, DataFrame], DataFrame]) -> Callable[[
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard_min_cost_flow": _documents(sharding.op1),
     "op2_mix_efraimidis_spirakis": _documents(mixing.op2),
+    "op3_winnowing_fingerprints": _documents(winnowing.op3),
+    "op6_minmax_hash_near_dedup": _documents(near_dedup.op6),
+}
+ORACLES: dict[str, str] = {
+    "op6_minmax_hash_near_dedup": near_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
