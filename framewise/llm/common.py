@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -143,3 +146,11 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15)) + words[i : len(words) - k + 1 + i]
     return mix64(out)
+
+
+def per_process(key: str, make: Callable[[], Any]) -> Any:
+    """make(), once for each worker process: functions are sent by value, so their globals last one task."""
+    kept = sys.modules.setdefault("_framewise_per_process", types.ModuleType("_framewise_per_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, sharding, winnowing
+from . import bpe, mixing, near_dedup, quality_rules, sharding, winnowing
 from .common import table
 
 
@@ -18,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard_min_cost_flow": _documents(sharding.op1),
     "op2_mix_efraimidis_spirakis": _documents(mixing.op2),
     "op3_winnowing_fingerprints": _documents(winnowing.op3),
+    "op4_quality_rules_ngram_logistic": quality_rules.op4,
     "op6_minmax_hash_near_dedup": _documents(near_dedup.op6),
+    "op7_bpe_chunk_reuse": _documents(bpe.op7),
 }
 ORACLES: dict[str, str] = {
     "op6_minmax_hash_near_dedup": near_dedup.ORACLE,
