@@ -63,23 +63,30 @@ class Codec:
             self.pieces[i] = b
         self.words = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.blank = regex.compile(r"\p{White_Space}")
+        self.sure, self.sure_last = (regex.compile(r + r"(?<=\p{L})(?=\P{L})") for r in ("", "(?r)"))
         self.cache: OrderedDict[str, tuple[array, array, int]] = OrderedDict()
         self.held = self.hits = self.misses = 0
 
-    def inner(self, chunk: str) -> tuple[array, list[int], int]:
-        """Ids of the chunk's inner part, the chunk's word borders, and which of them begins the part.
+    def inner(self, chunk: str) -> tuple[array, array, int]:
+        """Ids of the chunk's inner part, the word borders that it may begin at, with its end, and the chunk's length.
 
-        Borders after a blank are left out, as what follows decides how far blanks reach. The part begins
-        after the chunk's second word; it ends before the last two, which the next chunk may change.
+        Where no letter ends a word, borders come from reading the chunk: without its first word and its last
+        two, which the neighbours may change, and without borders after a blank, as what follows decides how
+        far blanks reach.
         """
         if (found := self.cache.get(chunk)) is not None:
             self.cache.move_to_end(chunk)
             self.hits += 1
             return found
         self.misses += 1
-        ends = [m.end() for m in self.words.finditer(chunk)]
-        borders = [e for e in ends[1:-2] if not self.blank.match(chunk, e - 1)]
-        part = chunk[borders[0] : borders[-1]] if len(borders) > 1 else ""
+        # A letter before anything else always ends a word, whatever stands around it.
+        first = self.sure.search(chunk)
+        if first:
+            borders = [first.end(), self.sure_last.search(chunk).end()]
+        else:
+            ends = [m.end() for m in self.words.finditer(chunk)]
+            borders = [e for e in ends[1:-2] if not self.blank.match(chunk, e - 1)]
+        part = chunk[borders[0] : borders[-1]] if borders else ""
         found = (array("I", self.core.encode_ordinary(part)), array("I", borders), len(chunk))
         self.cache[chunk] = found
         self.held += self.weight(found)
@@ -126,15 +133,13 @@ def chunk_borders(text: str) -> list[int]:
     n = len(text)
     if n <= max(LEAST, ROLL):
         return [0, n] if n else [0]
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    mixed = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    total = np.zeros(n - ROLL + 1, np.uint64)
-    for i in range(ROLL):  # a hash of the last ROLL characters at every place, each rotated by its distance
-        x = mixed[i : n - ROLL + 1 + i]
-        r = np.uint64(ROLL - 1 - i)
-        total ^= (x << r) | (x >> (np.uint64(64) - r)) if r else x
-    hits = np.flatnonzero(((total * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) & np.uint64(MASK) == 0) + ROLL
+    hashed = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(0x9E3779B1)
+    hashed ^= hashed >> np.uint32(15)
+    reach = 1
+    while reach < ROLL:  # of the windows of `reach` characters to those of twice as many, at every place
+        hashed = hashed[:-reach] * np.uint32(0x85EBCA77 + 2 * reach) + hashed[reach:]
+        reach *= 2
+    hits = np.flatnonzero((hashed >> np.uint32(12)) & np.uint32(MASK) == 0) + ROLL
     out = [0]
     for at in hits.tolist():
         while at - out[-1] > MOST:
