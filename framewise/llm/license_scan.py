@@ -172,8 +172,6 @@ class Scanner:
             for w, back in firsts:
                 self.by_word.setdefault(w, []).append((a, back))
         self.first_words = {p[0] for p, _ in self.phrases} | self.by_word.keys()
-        # A text without any of these has no more than a few words of a template in a row.
-        self.hint = re.compile("licen|permission|redistribution|free software|source code form|public domain|cc by|cc.by.nc")
 
     def scan(self, text: str) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
         """n_words, n_base, first and last place, base labels, labels, score."""
@@ -218,3 +216,43 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
 
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return scan(docs)
+
+
+def _sql_pattern(template: str) -> str:
+    """A template as a regular expression over words that each end in a blank, for the check in SQL."""
+    out, last = "", 0
+    for m in _MARKUP.finditer(template):
+        out += "".join(f"{w} " for w in words_of(template[last : m.start()]))
+        last = m.end()
+        if m[1] == "beginOptional":
+            out += "(?:"
+        elif m[1] == "endOptional":
+            out += ")?"
+        else:
+            least, most = re.search(r"match=\.\{(\d+),(\d+)\}", m[1]).groups()
+            out += f"(?:[^ ]+ ){{{least},{most}}}"
+    return " " + out + "".join(f"{w} " for w in words_of(template[last:]))
+
+
+def _oracle() -> str:
+    phrases = list(PHRASES.items())
+    spots = ", ".join(f"CASE WHEN array_to_string(words[i + 1:i + {len(p.split())}], ' ') = '{p}' THEN i END AS p{n}" for n, (p, _) in enumerate(phrases))
+    base = " || ".join(f"CASE WHEN count(p{n}) > 0 THEN ['{label}'] ELSE [] END" for n, (_, label) in enumerate(phrases))
+    found = " || ".join(f"CASE WHEN {' OR '.join(f"regexp_matches(line, '{_sql_pattern(t)}')" for t in many)} THEN ['{label}'] ELSE [] END" for label, many in TEMPLATES.items())
+    count = " + ".join(f"count(p{n})" for n in range(len(phrases)))
+    least = ", ".join(f"min(p{n})" for n in range(len(phrases)))
+    most = ", ".join(f"max(p{n})" for n in range(len(phrases)))
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+x AS (SELECT doc_id, words, unnest(range(0, greatest(len(words), 1))) AS i FROM w),
+s AS (SELECT doc_id, i, {spots} FROM x),
+b AS (SELECT doc_id, {count} AS n_base, least({least}) AS first_word, greatest({most}) AS last_word, {base} AS base FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, len(words) AS n_words, {found} AS own FROM (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM w))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_base AS BIGINT) AS n_base, first_word, last_word,
+       array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') AS labels
+FROM b JOIN m USING (doc_id)
+"""
+
+
+#: Everything but the score, for small tables.
+ORACLE = _oracle()

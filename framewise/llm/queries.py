@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, near_dedup, quality_rules, sharding, winnowing
+from . import bpe, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, winnowing
 from .common import table
 
 
@@ -21,7 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules_ngram_logistic": quality_rules.op4,
     "op6_minmax_hash_near_dedup": _documents(near_dedup.op6),
     "op7_bpe_chunk_reuse": _documents(bpe.op7),
+    "op8_license_template_automata": _documents(license_scan.op8),
+    "op10_deletion_neighbourhood_lines": _documents(line_dedup.op10),
 }
 ORACLES: dict[str, str] = {
     "op6_minmax_hash_near_dedup": near_dedup.ORACLE,
+    "op10_deletion_neighbourhood_lines": line_dedup.ORACLE,
+    "op8_license_template_automata": license_scan.ORACLE,
 }
