@@ -28,6 +28,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import per_process
 
@@ -156,7 +157,7 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with ids array<int> of each text."""
+    """docs with ids array<int> of each text, and round_trip: whether they decode to it."""
     return _mapped(docs, path, text, True)
 
 
@@ -166,7 +167,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _mapped(docs: DataFrame, path: str, text: str, with_ids: bool) -> DataFrame:
-    names = [c for c in docs.columns if c != "ids"] if with_ids else ["doc_id"]
+    names = [c for c in docs.columns if c not in ("ids", "round_trip")] if with_ids else ["doc_id"]
     source = docs.select(*names, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,22 +178,23 @@ def _mapped(docs: DataFrame, path: str, text: str, with_ids: bool) -> DataFrame:
                 ids, counts, id_sha, text_sha, same = [], [], [], [], []
                 for x in texts.slice(lo, 256).to_pylist():
                     got = own.encode(x or "")
+                    back = own.decode(got)
                     if with_ids:
                         ids.append(got)
+                        same.append(back == (x or ""))
                         continue
-                    back = own.decode(got)
                     counts.append(len(got))
                     id_sha.append(hashlib.sha256(np.array(got, "<u4").tobytes()).hexdigest())
                     text_sha.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
                     same.append(back == (x or ""))
                 left = [batch.column(i).slice(lo, 256) for i in range(len(names))]
                 if with_ids:
-                    yield pa.RecordBatch.from_arrays([*left, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+                    yield pa.RecordBatch.from_arrays([*left, pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*names, "ids", "round_trip"])
                 else:
                     yield pa.RecordBatch.from_arrays([*left, pa.array(counts, pa.int64()), pa.array(id_sha), pa.array(text_sha), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     if with_ids:
-        schema = source.drop("_text").schema.add("ids", "array<int>")
+        schema = source.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
     else:
         schema = source.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
     return source.mapInArrow(run, schema)

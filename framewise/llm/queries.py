@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, winnowing
+from . import bpe, cotraining, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, surrogates, winnowing
 from .common import table
 
 
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_efraimidis_spirakis": _documents(mixing.op2),
     "op3_winnowing_fingerprints": _documents(winnowing.op3),
     "op4_quality_rules_ngram_logistic": quality_rules.op4,
+    "op5_surrogate_generation": _documents(surrogates.op5),
     "op6_minmax_hash_near_dedup": _documents(near_dedup.op6),
     "op7_bpe_chunk_reuse": _documents(bpe.op7),
     "op8_license_template_automata": _documents(license_scan.op8),
+    "op9_cotraining_quality": cotraining.op9,
     "op10_deletion_neighbourhood_lines": _documents(line_dedup.op10),
 }
 ORACLES: dict[str, str] = {
