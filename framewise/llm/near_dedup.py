@@ -4,10 +4,10 @@ Each permutation of a document's shingles keeps both its minimum and its maximum
 values costs p hash evaluations. Bands of the signature propose links; links are confirmed on the full
 shingle sets; components are found over the confirmed links.
 
-A band bucket never turns into all its pairs. Every member is first compared with the bucket's smallest
-member; when what links there is joined up, only members outside that member's component are compared
-with the rest of the bucket, so a bucket of m copies costs m comparisons. Equal word sequences are one
-node from the start.
+A band bucket never turns into all its pairs. Every member is compared with the bucket's hub, the member
+that meets most others; what stays apart is compared with a second hub; and what may still link is found
+by a prefix join on the sets' differences from the hub, which is exact and makes few pairs. Equal word
+sequences are one node from the start.
 
 Null and empty texts have no shingles and link with nothing. Rows that repeat are copies of one node. An
 empty table gives an empty result. A text with fewer words than a shingle is one shingle.
@@ -113,56 +113,97 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, doc_a, doc_b) of which 100 x intersection >= percent x union on full sets.
-
-    Sets are made again from the texts of documents that stand in a pair, so those of others are never kept.
-    """
-    ids = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = shingle_sets(some, k).select("node", "items").dropDuplicates(["node"])
-    left, right = sets.toDF("a", "_one"), sets.toDF("b", "_two")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which 100 x intersection >= percent x union on full sets (node, items)."""
+    both = pairs.select("a", "b").join(sets.toDF("a", "_one"), "a").join(sets.toDF("b", "_two"), "b")
     shared = F.size(F.array_intersect("_one", "_two"))
     return both.where(100 * shared >= percent * (F.size("_one") + F.size("_two") - shared)).select("a", "b")
 
 
+def _fitting(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets' sizes allow the similarity."""
+    one, two = info.select(F.col("node").alias("a"), F.col("n").alias("_n")), info.select(F.col("node").alias("b"), F.col("n").alias("_m"))
+    known = pairs.join(one, "a").join(two, "b")
+    return known.where(100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m")).select("a", "b")
+
+
+def _outsiders(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link among a hub's candidates, of different components; groups: hub, node.
+
+    Each set is its difference from the hub's. Two sets x, y link only if their differences share
+    (|x| + |y| parts of the difference less c times the sets' sizes) / 2 elements, and one of them at least
+    is too far from the hub to link with it, which bounds that number from below for either. So in one
+    order of the elements (those the hub lacks first) both begin with a shared element within a prefix, and
+    at the first shared one enough of both must be left. Copies with edits of their own share next to
+    nothing there, so this makes few pairs, however large the group.
+    """
+    tau = percent / 100
+    c = (1 - tau) / (1 + tau)
+    seen = labels.select("node", "component")
+    hub_seen = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_c"))
+    own = groups.join(seen, "node", "left").join(hub_seen, "hub", "left").select("hub", "node", F.coalesce("component", "node").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
+    live = own.groupBy("hub").agg(F.count("*").alias("_n"), F.bool_or(F.col("c") != F.col("hub_c")).alias("_odd")).where("_odd and _n > 1").select("hub")
+    known = own.join(live, "hub", "left_semi").join(sets.toDF("node", "_own"), "node").join(sets.toDF("hub", "_hub"), "hub")
+    parts = known.select("hub", "node", "c", F.size("_own").alias("n"), F.size("_hub").alias("h"), F.sort_array(F.array_except("_own", "_hub")).alias("more"), F.sort_array(F.array_except("_hub", "_own")).alias("less"))
+    parts = parts.select("hub", "node", "c", "n", "h", F.concat("more", "less").alias("d"))
+    d, n, h = F.size("d"), F.col("n"), F.col("h")
+    far = d > c * (n + h)
+    least = F.when(far, d - n * (1 - tau) / tau).otherwise((d - c * (n - h)) / 2)
+    least = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
+    rows = parts.select("hub", "node", "c", "n", d.alias("d_size"), far.alias("far"), F.posexplode(F.slice("d", 1, F.greatest(F.lit(0), d - least + 1))).alias("place", "element"))
+    rows = cut(rows)
+    x = rows.where("far").select("hub", "element", *[F.col(k).alias(f"{k}_x") for k in ("node", "c", "n", "d_size", "place")])
+    y = rows.select("hub", "element", *[F.col(k).alias(f"{k}_y") for k in ("node", "c", "n", "d_size", "place", "far")])
+    need = (F.col("d_size_x") + F.col("d_size_y") - c * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6
+    left = F.least(F.col("d_size_x") - F.col("place_x"), F.col("d_size_y") - F.col("place_y"))
+    apart = (F.col("c_x") != F.col("c_y")) & (~F.col("far_y") | (F.col("node_x") < F.col("node_y")))
+    met = x.join(y, (x["hub"] == y["hub"]) & (x["element"] == y["element"]) & apart & (need <= left))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
     rows = cut(signatures(docs, k))
-    # The smallest doc_id stands for a node; a node of null ids alone stays by itself.
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("items").alias("items"))
-    members = nodes.where("doc is not null").select(F.posexplode("items").alias("band", "bucket"), "node", "doc", "n")
-    hubs = members.groupBy("band", "bucket").agg(F.min(F.struct("node", "doc", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node != last").drop("last")
-    shared = cut(members.join(hubs, ["band", "bucket"]).select("band", "bucket", "node", "doc", "n", "hub"))
-    fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")  # sets of other sizes can't be so similar
-    star = shared.where("node != hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.col("hub.n").alias("n"), F.col("n").alias("n_b"))
-    tried = cut(star.where(fits).drop("n", "n_b").dropDuplicates(["a", "b"]))
-    links = cut(confirm(tried, docs, k, percent))
+    # The smallest doc_id stands for a node; rows of null ids alone stay by themselves.
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("items").alias("items")).where("doc is not null")
+    nodes = cut(nodes)
+    info = nodes.select("node", "doc", "n")
+    members = nodes.select(F.explode("items").alias("bucket"), "node")
+    counts = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(members.join(counts, "bucket"))
+    # A bucket's hub is the member that meets most others in all its buckets: the middle of a group of copies.
+    met = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    ranked = shared.select("bucket", "node").join(met, "node")
+    best = lambda df: df.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("_best")).select("bucket", F.col("_best.node").alias("hub"))
+    ranked = cut(ranked.join(best(ranked), "bucket"))
+    ids = info.join(ranked.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = cut(shingle_sets(some, k).select("node", "items").dropDuplicates(["node"]))
+
+    groups = ranked.where("node != hub").select("hub", "node").distinct()
+    first = cut(_fitting(groups.toDF("a", "b"), info, percent))
+    links = cut(confirm(first, sets, percent))
     labels = components(links)
 
-    # What lies outside its hub's component meets the rest of its bucket.
-    seen = labels.select("node", F.col("component").alias("c"))
-    own = shared.join(seen, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    hub_c = labels.select(F.col("node").alias("_hub"), F.col("component").alias("hub_c"))
-    own = own.join(hub_c, F.col("hub.node") == F.col("_hub"), "left").select("band", "bucket", "node", "doc", "n", "c", F.coalesce("hub_c", "hub.node").alias("hub_c"))
-    own = cut(own)
-    odd = own.where("c != hub_c").select("band", "bucket", F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("n"), F.col("c").alias("c_a"))
-    rest = own.select("band", "bucket", F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), (F.col("c") != F.col("hub_c")).alias("odd_b"))
-    more = odd.join(rest, ["band", "bucket"]).where((F.col("c_a") != F.col("c_b")) & (~F.col("odd_b") | (F.col("a") < F.col("b"))) & fits)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("doc_a")).otherwise(F.col("doc_b")).alias("doc_a"), F.when(F.col("a") < F.col("b"), F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc_b")).dropDuplicates(["a", "b"])
-    more = cut(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    # What lies outside its hub's component gets a hub of its own in each bucket.
+    seen, hub_seen = labels.toDF("node", "c"), labels.toDF("hub", "hub_c")
+    apart = ranked.join(seen, "node", "left").join(hub_seen, "hub", "left").where(F.coalesce("c", "node") != F.coalesce("hub_c", "hub")).select("bucket", "node", "met")
+    again = apart.join(best(apart), "bucket").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    again = cut(_fitting(again, info, percent).join(first, ["a", "b"], "left_anti"))
+    more = cut(confirm(again, sets, percent))
     if more.limit(1).count():
-        extra = cut(confirm(more, docs, k, percent))
-        if extra.limit(1).count():
-            labels = components(links.union(extra))
+        links = cut(links.union(more))
+        labels = components(links)
+
+    rest = cut(_fitting(_outsiders(groups, labels, sets, percent), info, percent))
+    last = cut(confirm(rest, sets, percent))
+    if last.limit(1).count():
+        labels = components(links.union(last))
 
-    narrow = rows.select("doc_id", "node", "n_shingles")
-    named = nodes.select("node", "doc").join(labels, "node").groupBy("component").agg(F.min("doc").alias("first"))
-    names = labels.join(named, "component").select("node", "first")
-    alone = nodes.select("node", "doc").join(names, "node", "left").select("node", F.coalesce("first", "doc").alias("component_id"))
-    return narrow.join(alone, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    firsts = info.join(labels, "node").groupBy("component").agg(F.min("doc").alias("first"))
+    names = labels.join(firsts, "component").select("node", "first")
+    named = info.join(names, "node", "left").select("node", F.coalesce("first", "doc").alias("component_id"))
+    return rows.select("doc_id", "node", "n_shingles").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -193,7 +234,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(words) - 1), i -> concat_ws(' ', words[i], words[i + 1], words[i + 2]))) END) AS g
+         ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: concat_ws(' ', words[i], words[i + 1], words[i + 2]))) END) AS g
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
