@@ -64,7 +64,7 @@ def voice_active(vad: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 def resolve_thresholds(configs: DataFrame) -> DataFrame:
     """configs (threshold, negative, offset) with entry and exit."""
-    entry = F.coalesce(F.least(F.lit(1.0), F.col("negative") + F.col("offset")), F.col("threshold"))
+    entry = F.when(F.col("negative").isNull(), F.col("threshold")).otherwise(F.least(F.lit(1.0), F.col("negative") + F.col("offset")))
     return configs.withColumn("entry", entry).withColumn("exit", F.coalesce("negative", F.greatest(F.col("entry") - 0.15, F.lit(0.01))))
 
 
