@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions alone.
 
-Lines are compared by their words, with A-Z in lower case. A line goes if an earlier line (by doc_id, then
+Lines are compared by their words. A line goes if an earlier line (by doc_id, then
 place) of the whole table has the same words, or if it has NEAR_WORDS words or more and an earlier line is
 within one word edit: a word replaced, inserted or deleted. Lines of fewer than MIN_WORDS words stay.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, lower_ascii
+from .common import WORD, cut, stored
 from .winnowing import let
 
 MIN_WORDS, NEAR_WORDS = 3, 8
@@ -31,15 +31,13 @@ BITMAP_BITS = 1 << 26
 ROUND = 8
 
 
-def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(line), F.lit(WORD), F.lit(0))
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """id, hash, place, line and its words, for every line with MIN_WORDS words or more."""
+def lines(docs: DataFrame, least: int) -> DataFrame:
+    """id, hash, place and words of every line with `least` words or more."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text").where("text is not null")
-    split = keyed.select("id", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return split.select("id", "hash", "place", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    words = lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    # Filtered inside the array: a filter after it would be pushed down and split the text twice.
+    found = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("place"), words(line).alias("words"))), lambda x: F.size(x["words"]) >= least)
+    return keyed.select("id", "hash", F.inline(found))
 
 
 def _half(m: Column) -> Column:
@@ -48,12 +46,12 @@ def _half(m: Column) -> Column:
     return F.when(c < ROUND, c).otherwise(c - c % ROUND)
 
 
-def half_keys(words: Column) -> Column:
-    """Hashes of the first and of the last half, for the line as the shorter and as the longer of a pair."""
+def half_keys(words: Column, side: int) -> Column:
+    """Hashes of the first (side 0) or last half, for the line as the shorter and as the longer of a pair."""
     m = F.size(words)
     halves = F.array_distinct(F.array(_half(m), _half(m - 1)))
-    sides = F.transform(halves, lambda h: F.array(F.xxhash64(F.slice(words, 1, h), h, F.lit(0)), F.xxhash64(F.slice(words, m - h + 1, h), h, F.lit(1))))
-    return F.when(m >= NEAR_WORDS - 1, F.flatten(sides)).otherwise(F.array().cast("array<bigint>"))
+    keys = F.transform(halves, lambda h: F.xxhash64(F.slice(words, 1 if side == 0 else m - h + 1, h), h, F.lit(side)))
+    return F.when(m >= NEAR_WORDS - 1, keys).otherwise(F.array().cast("array<bigint>"))
 
 
 def chained(values: Column) -> Column:
@@ -61,14 +59,14 @@ def chained(values: Column) -> Column:
     return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
 
 
-def variants(words: Column) -> Column:
-    """Keys of the line without word i, and of the line with a gap before word i."""
+def variants(words: Column, first: Column, last: Column) -> Column:
+    """Keys of the line without word i, and of the line with a gap before word i, for i from first to last."""
     m = F.size(words)
 
     def keys(before: Column) -> Column:
         def both(after: Column) -> Column:  # after[i]: hash of the last i words
-            without = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.xxhash64(i, m - 1, F.get(before, i), F.get(after, m - 1 - i)))
-            gaps = F.transform(F.sequence(F.lit(0), m), lambda i: F.xxhash64(i, m, F.get(before, i), F.get(after, m - i)))
+            without = F.transform(F.sequence(first, F.least(last, m - 1)), lambda i: F.xxhash64(i, m - 1, F.get(before, i), F.get(after, m - 1 - i)))
+            gaps = F.transform(F.sequence(first, last), lambda i: F.xxhash64(i, m, F.get(before, i), F.get(after, m - i)))
             return F.concat(without, gaps)
 
         return let(chained(F.reverse(words)), both)
@@ -86,42 +84,42 @@ def within_one(a: Column, b: Column) -> Column:
     return (gap == 0) & (F.size(other) <= 1) | (gap == 1) & (tail(short, first) == tail(long, first + 1))
 
 
-def _bits(key: Column) -> tuple[Column, Column]:
+def _bit(key: Column) -> tuple[Column, Column]:
     place = F.pmod(key, F.lit(BITMAP_BITS)) + 1
-    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place).cast("int")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """id, hash, place and near (false: same words) of every line to drop, once for equal rows."""
-    narrow = lines(docs).select("id", "hash", "place", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(1)).alias("k2"), half_keys(F.col("words")).alias("halves"))
-    narrow = cut(narrow)
+    words = F.col("words")
+    sides = F.concat(half_keys(words, 0), half_keys(words, 1))
+    k1, k2 = F.xxhash64("words"), F.xxhash64("words", F.lit(1))
+    narrow = stored(lines(docs, MIN_WORDS).select("id", "hash", "place", k1.alias("k1"), k2.alias("k2"), sides.alias("sides")))
     order = F.struct("id", "hash", "place")
-    firsts = cut(narrow.groupBy("k1", "k2").agg(F.min(order).alias("ord"), F.count("*").alias("n"), F.first("halves").alias("halves")))
-    again = firsts.where("n > 1").select("k1", "k2", "ord")
-    exact = narrow.select("id", "hash", "place", "k1", "k2").join(again, ["k1", "k2"]).where(order != F.col("ord")).select("id", "hash", "place", "k1", "k2")
-
-    sides = firsts.select(F.explode("halves").alias("side"), "k1")
-    paired = sides.groupBy("side").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least != most").select("side")
-    some = sides.join(paired, "side", "left_semi").select("k1")
-    bucket, position = _bits(F.col("k1"))
-    bitmap = cut(some.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap")))
-    near = (
-        lines(docs)
-        .where(F.size("words") >= NEAR_WORDS - 1)
-        .withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64("words", F.lit(1))})
-        .withColumns({"bucket": _bits(F.col("k1"))[0], "_at": _bits(F.col("k1"))[1]})
-        .join(F.broadcast(bitmap), "bucket")  # at most BITMAP_BITS / 32768 rows of 4 KB
-        .where(F.expr("shiftright({}, cast(_at % 8 as int)) & 1 = 1".format("cast(conv(hex(substring(bitmap, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")))
-    )
-    near = cut(near.groupBy("k1", "k2").agg(F.min(order).alias("ord"), F.first("words").alias("words")))
-    keys = near.select("k1", "k2", "ord", F.explode(F.array_distinct(variants(F.col("words")))).alias("key"))
+    again = narrow.groupBy("k1", "k2").agg(F.min(order).alias("ord"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "ord")
+    exact = narrow.select("id", "hash", "place", "k1", "k2").join(again, ["k1", "k2"]).where(order != F.col("ord")).select("id", "hash", "place")
+
+    paired = narrow.select(F.explode("sides").alias("side"), "k1").groupBy("side").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least != most")
+    bucket, position = _bit(F.col("side"))
+    cell = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.hex(F.substring("bitmap", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+    bitmap = cut(paired.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap")).select("bucket", cell.alias("cells")))
+    tag = lambda side: F.transform(half_keys(words, side), lambda k: F.struct(_bit(k)[0].alias("bucket"), _bit(k)[1].alias("at"), F.lit(side).alias("side")))
+    tried = lines(docs, NEAR_WORDS - 1).select("id", "hash", "place", "words", F.inline(F.concat(tag(0), tag(1))))
+    met = tried.join(F.broadcast(bitmap), "bucket")  # at most BITMAP_BITS / 32768 rows of 8 KB
+    met = met.where(F.expr("shiftright(get(cells, at div 32), cast((3 - (at div 8) % 4) * 8 + at % 8 as int)) & 1 = 1"))
+    near = met.select("id", "hash", "place", "words", k1.alias("k1"), k2.alias("k2"), "side").groupBy("k1", "k2").agg(F.min(order).alias("ord"), F.first("words").alias("words"), F.bool_or(F.col("side") == 0).alias("begins"), F.bool_or(F.col("side") == 1).alias("ends"))
+    near = stored(near.select("ord", "words", "begins", "ends"))
+    # A partner by the first half differs after it, one by the last half before it.
+    m = F.size("words")
+    least = F.least(_half(m), _half(m - 1))
+    from_, to = F.when(F.col("ends"), F.lit(0)).otherwise(least), F.when(F.col("begins"), m).otherwise(m - least)
+    keys = near.select("ord", F.explode(F.array_distinct(variants(words, from_, to))).alias("key"))
     heads = keys.groupBy("key").agg(F.min("ord").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(heads, "key").where("head < ord").select("k1", "k2", "ord", "head").distinct()
+    pairs = keys.join(heads, "key").where("head < ord").select("ord", "head").distinct()
     known = near.select("ord", "words")
     checked = pairs.join(known, "ord").join(known.toDF("head", "head_words"), "head").where(F.size("words") >= NEAR_WORDS).where(within_one(F.col("words"), F.col("head_words")))
-    gone = cut(checked.select("k1", "k2", "ord").distinct())
     # The first of equal lines goes for being near; the others go as its copies.
-    return exact.select("id", "hash", "place", F.lit(False).alias("near")).distinct().union(gone.select("ord.id", "ord.hash", "ord.place", F.lit(True)))
+    return exact.select("id", "hash", "place", F.lit(False).alias("near")).distinct().union(checked.select("ord.id", "ord.hash", "ord.place", F.lit(True)).distinct())
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -147,7 +145,7 @@ def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
 ORACLE = rf"""
 WITH l AS (
   SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS line FROM documents),
-w AS (SELECT doc_id, place, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM l),
+w AS (SELECT doc_id, place, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l),
 f AS (SELECT words, min((doc_id, place)) AS ord FROM w WHERE len(words) >= {MIN_WORDS} GROUP BY words),
 i AS (SELECT words, ord, unnest(range(0, len(words) + 1)) AS p FROM f WHERE len(words) >= {NEAR_WORDS} - 1),
 v AS (
