@@ -211,4 +211,4 @@ add("j11_compare", lambda s, d: evaluate.compare(fx.activity(s, d), fx.activity(
     "SELECT rec, CASE WHEN rec % 5 > 0 OR max(frame) < 3 THEN round(max(prob * 0.5), 9) ELSE 'inf'::DOUBLE END AS max_abs, CASE WHEN rec % 5 > 0 OR max(frame) < 3 THEN round(avg(prob * 0.5), 9) ELSE 'inf'::DOUBLE END AS mean_abs FROM fx1 GROUP BY rec", "fx1")
 
 # The remaining groups register themselves.
-from framewise.plans import catalog_features, catalog_scoring  # noqa: E402, F401
+from framewise.plans import catalog_features, catalog_scoring, catalog_streams  # noqa: E402, F401

@@ -14,15 +14,17 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], schema: str,
     """step(state, key, rows in order) for each key of each batch; step changes the state in place.
 
     Rows of a key are read in their order within a batch; batches come in order. The object must stay
-    bounded: it is written to the state store after every batch.
+    bounded: its attributes are written to the state store after every batch.
     """
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], store: Any) -> Iterator[pd.DataFrame]:
-        own = pickle.loads(store.get[0]) if store.exists else make()
+        own = make()
+        if store.exists:
+            vars(own).update(pickle.loads(store.get[0]))
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out = step(own, key, rows)
-        store.update((pickle.dumps(own),))
+        store.update((pickle.dumps(vars(own)),))
         if len(out):
             yield out[names]
 
