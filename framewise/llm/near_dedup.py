@@ -27,6 +27,8 @@ from .common import cut, mix64, shingles, slices, text_bytes, word_hashes
 
 #: 48 permutations give 96 values: 24 bands of 4. Two sets of similarity 0.85 miss all bands once in 5e7.
 PERMUTATIONS, ROWS = 48, 4
+#: Most nodes, of 16 bytes each, that are broadcast to pick their sets.
+BROADCAST_NODES = 100_000
 _SEEDS = np.random.default_rng(20240607)
 _ODD = _SEEDS.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEEDS.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -113,9 +115,16 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sets of the nodes given, without a shuffle of the others where the nodes are few; else all sets."""
+    few = nodes.distinct()
+    return sets.join(F.broadcast(few), "node", "left_semi") if few.count() <= BROADCAST_NODES else sets
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 x intersection >= percent x union on full sets (node, items)."""
-    both = pairs.select("a", "b").join(sets.toDF("a", "_one"), "a").join(sets.toDF("b", "_two"), "b")
+    some = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    both = pairs.select("a", "b").join(some.toDF("a", "_one"), "a").join(some.toDF("b", "_two"), "b")
     shared = F.size(F.array_intersect("_one", "_two"))
     return both.where(100 * shared >= percent * (F.size("_one") + F.size("_two") - shared)).select("a", "b")
 
@@ -143,7 +152,9 @@ def _outsiders(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     hub_seen = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_c"))
     own = groups.join(seen, "node", "left").join(hub_seen, "hub", "left").select("hub", "node", F.coalesce("component", "node").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
     live = own.groupBy("hub").agg(F.count("*").alias("_n"), F.bool_or(F.col("c") != F.col("hub_c")).alias("_odd")).where("_odd and _n > 1").select("hub")
-    known = own.join(live, "hub", "left_semi").join(sets.toDF("node", "_own"), "node").join(sets.toDF("hub", "_hub"), "hub")
+    own = cut(own.join(live, "hub", "left_semi"))
+    some = _only(sets, own.select(F.explode(F.array("hub", "node")).alias("node")))
+    known = own.join(some.toDF("node", "_own"), "node").join(some.toDF("hub", "_hub"), "hub")
     parts = known.select("hub", "node", "c", F.size("_own").alias("n"), F.size("_hub").alias("h"), F.sort_array(F.array_except("_own", "_hub")).alias("more"), F.sort_array(F.array_except("_hub", "_own")).alias("less"))
     parts = parts.select("hub", "node", "c", "n", "h", F.concat("more", "less").alias("d"))
     d, n, h = F.size("d"), F.col("n"), F.col("h")
@@ -176,9 +187,11 @@ def link_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     ranked = shared.select("bucket", "node").join(met, "node")
     best = lambda df: df.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("_best")).select("bucket", F.col("_best.node").alias("hub"))
     ranked = cut(ranked.join(best(ranked), "bucket"))
-    ids = info.join(ranked.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id"))
+    ids = cut(info.join(ranked.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id")))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = cut(shingle_sets(some, k).select("node", "items").dropDuplicates(["node"]))
+    sets = cut(shingle_sets(some, k).select("node", "items"))
+    if sets.count() > ids.count():  # rows that share a doc_id
+        sets = cut(sets.dropDuplicates(["node"]))
 
     groups = ranked.where("node != hub").select("hub", "node").distinct()
     first = cut(_fitting(groups.toDF("a", "b"), info, percent))

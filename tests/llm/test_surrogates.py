@@ -1,0 +1,57 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from framewise.llm import surrogates as s
+
+
+def test_permutations():
+    for size in (1, 2, 3, 10, 97, 256):
+        got = [s.permute(x, size, b"k", "l") for x in range(size)]
+        assert sorted(got) == list(range(size)) and (size == 1 or all(a != b for a, b in enumerate(got)))
+
+
+def test_formats():
+    k = b"key"
+    for kind, e in (("email", "Bob.Lee7@mail3.example.com"), ("phone", "+1 (212) 555-0123"), ("card", "4929348385146306"), ("ip", "97.51.17.173"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("family", "Müller")):
+        got = s.surrogate(kind, e, k)
+        assert got != e and s.surrogate(kind, e, k) == got
+        if kind != "ip":
+            assert len(got) == len(e) and [c.isupper() for c in got] == [c.isupper() for c in e] and re.sub(r"\w", "x", got) == re.sub(r"\w", "x", e)
+    a, b = s.surrogate("phone", "+1 (212) 555-0123", k), s.surrogate("phone", "+1 212-555-0123", k)
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    assert s.surrogate("email", "BOB@x.org", k).lower() == s.surrogate("email", "bob@x.org", k)
+    valid = "4539578763621486"
+    assert s.luhn(valid[:-1]) == int(valid[-1])
+    new = s.surrogate("card", valid, k)
+    assert s.luhn(new[:-1]) == int(new[-1])
+    for (script, gender), names in s.NAMES.items():
+        got = {s.surrogate(f"given|{script}|{gender}", n, k) for n in names}
+        assert got == set(names)
+
+
+def test_find():
+    text = "Mrs. Clara Schmidt wrote und.34@mail7.example.com, called +1 (017) 555-7713 from 1.2.3.4, paid 9807915762804490 with \"04dbebab91ab85687d33eeaaf9ac699e1188f962\". Plain 12.5 and 2024 stay."
+    kinds = [f[2].split("|")[0] for f in s.find(text)]
+    assert kinds == ["given", "family", "email", "phone", "ip", "card", "secret"]
+    new, found, _ = s.replace(text, b"k")
+    assert all(f[3] not in new for f in found) and "Plain 12.5 and 2024 stay." in new
+
+
+def test_distinct(spark):
+    rng = random.Random(3)
+    texts = [(i, f"mail {rng.choice('abcdef')}{rng.randint(0, 99)}@x{rng.randint(0, 9)}.example.com ip 10.0.{rng.randint(0, 255)}.{rng.randint(0, 255)}") for i in range(400)]
+    assert s.collisions(spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
+
+
+def test_op5(spark, docs, odd, empty):
+    out = {r.doc_id: r for r in s.op5(spark, docs).collect()}
+    for r in docs.collect():
+        for f in s.find(r.text):
+            assert f[3] not in out[r.doc_id].text or len(f[3]) < 5
+        if not s.find(r.text):
+            assert out[r.doc_id].text == r.text
+    assert s.anonymize(odd).count() == odd.count() and s.anonymize(odd).where("text is null").count() == odd.where("text is null").count()
+    assert s.op5(spark, empty).count() == 0
+    assert s.anonymize(docs).agg(F.sum("n_email")).first()[0] > 0
