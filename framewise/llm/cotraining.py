@@ -170,12 +170,12 @@ SCORES = ("p_text", "p_meta", "probability")
 def score(docs: DataFrame, views: Views | None) -> DataFrame:
     """docs with p_text, p_meta and the combined probability of good quality."""
     names = [c for c in docs.columns if c not in SCORES]
-    shared = docs.sparkSession.sparkContext.broadcast(views)  # a fixed number of weights
+    shared = docs.sparkSession.sparkContext.broadcast((vars(views.text), vars(views.meta), views.weights) if views else None)  # a fixed number of weights
     source = _with_metadata(docs.select(*names))
     place, width = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Views(Logistic.of(shared.value[0]), Logistic.of(shared.value[1]), shared.value[2]) if shared.value else None
         for batch in batches:
             texts = text_bytes(batch.column(place))
             values = list(zip(*(batch.column(width + i).to_pylist() for i in range(len(METADATA))), strict=True))

@@ -99,6 +99,13 @@ class Logistic:
     def __init__(self, buckets: int) -> None:
         self.w, self.bias, self.a, self.b = np.zeros(buckets), 0.0, 1.0, 0.0
 
+    @classmethod
+    def of(cls, values: dict) -> Logistic:
+        """A model from vars() of another; those are plain values, which any worker can load."""
+        own = cls(0)
+        vars(own).update(values)
+        return own
+
     def raw(self, at: np.ndarray, value: np.ndarray) -> float:
         return float(self.w[at] @ value) + self.bias
 
@@ -171,10 +178,10 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def score(docs: DataFrame, model: Logistic | None, buckets: int = BUCKETS) -> DataFrame:
     """Base statistics and calibrated probability of every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Logistic.of(shared.value) if shared.value else None
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for lo, hi in slices(texts):
