@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.timebase import time_to_frames
+from framewise.sources.shared import cut
 
 
 def speaker_order(turns: DataFrame, order: str) -> DataFrame:
@@ -77,6 +78,7 @@ def optimal_assignment(costs: DataFrame, most_tracks: int = 10) -> DataFrame:
     recording has at most 2^10 states.
     """
     by = Window.partitionBy("rec")
+    costs = cut(costs.select("rec", "ref_track", "pred_track", "cost"))  # small, and read at every level
     ranked = costs.select("*", (F.dense_rank().over(by.orderBy("ref_track")) - 1).alias("r"), (F.dense_rank().over(by.orderBy("pred_track")) - 1).alias("p"))
     ranked = ranked.withColumns({"nr": F.max("r").over(by) + 1, "np": F.max("p").over(by) + 1})
     flip = F.col("nr") > F.col("np")
@@ -116,7 +118,8 @@ def der(pred: DataFrame, ref: DataFrame, threshold: float = 0.5, median: int = 1
     """
     hard = median_filter(binarize(pred, threshold), median) if median > 1 else binarize(pred, threshold)
     mask = collar_mask(ref, collar)
-    assign = optimal_assignment(pair_counts(hard, ref, mask))
+    hard, mask = cut(hard), cut(mask)
+    assign = cut(optimal_assignment(pair_counts(hard, ref, mask)))
     valid = mask.where("valid").select("rec", "frame")
     named = hard.where("active = 1").join(assign.withColumnRenamed("pred_track", "track"), ["rec", "track"], "left")
     pn = named.groupBy("rec", "frame").agg(F.count("*").alias("p"))

@@ -5,14 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path under spark.checkpoint.dir; only local sessions without one use the temporary folder."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only local sessions without one use the temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/framewise-checkpoints"
-    return f"{root.rstrip('/')}/framewise-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/framewise-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, for tables that several branches of a plan read."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint(eager=True)
