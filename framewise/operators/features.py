@@ -48,6 +48,15 @@ def resample_linear(samples: DataFrame, rate_in: float, rate_out: float) -> Data
     return spot.join(known, ["rec", "sample"]).select("rec", F.col("i").alias("sample"), (F.col("x") + (F.col("after") - F.col("x")) * (F.col("i") * ratio - F.col("sample"))).alias("x"))
 
 
+def resync(writes: DataFrame) -> DataFrame:
+    """rec, sample, x of writes (rec, seq, start_sample, samples) at known places: the newest wins, gaps are 0."""
+    cells = writes.select("rec", "seq", "start_sample", F.posexplode("samples").alias("pos", "x")).select("rec", "seq", (F.col("start_sample") + F.col("pos")).alias("sample"), F.col("x").cast("double").alias("x"))
+    newest = cells.where("sample >= 0").groupBy("rec", "sample").agg(F.max_by("x", "seq").alias("x"))
+    ends = newest.groupBy("rec").agg(F.max("sample").alias("n"))
+    grid = ends.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("sample"))
+    return grid.join(newest, ["rec", "sample"], "left").select("rec", "sample", F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
 def preemphasis(chunks: DataFrame, a: float = 0.97, last: float = 0.0) -> DataFrame:
     """x[n] - a x[n-1] within and across chunks; `last` comes before the first sample."""
     w = Window.partitionBy("rec").orderBy("chunk")

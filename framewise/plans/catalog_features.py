@@ -43,6 +43,9 @@ add("a9_downmix", lambda s, d: rounded(features.downmix(features.to_samples(smal
 add("j12_resample_linear", lambda s, d: rounded(features.resample_linear(features.to_samples(small(s, d)), 16000, 10000), "x"),
     "WITH " + S_X + """, n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), o AS (SELECT rec, unnest(range(0, CAST(trunc(n / 1.6::DOUBLE) AS BIGINT))) AS i FROM n), k AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY rec ORDER BY sample), x) AS y FROM x)
     SELECT o.rec, i AS sample, round(x + (y - x) * (i * 1.6::DOUBLE - floor(i * 1.6::DOUBLE)), 6) + 0.0 AS x FROM o JOIN k ON k.rec = o.rec AND k.sample = CAST(floor(i * 1.6::DOUBLE) AS BIGINT)""", "fx5")
+add("t2_resync", lambda s, d: rounded(features.resync(small(s, d).select("rec", F.col("chunk").alias("seq"), (F.col("chunk") * 60 + F.floor(F.col("chunk") / 7) * 10).alias("start_sample"), "samples")), "x"),
+    """WITH w AS (SELECT rec, chunk, chunk * 60 + chunk // 7 * 10 + i AS sample, CAST(samples[i + 1] AS DOUBLE) AS x FROM (SELECT rec, chunk, samples, unnest(range(0, 64)) AS i FROM fx5) q), m AS (SELECT rec, sample, max_by(x, chunk) AS x FROM w GROUP BY rec, sample),
+    g AS (SELECT rec, unnest(range(0, n + 1)) AS sample FROM (SELECT rec, max(sample) AS n FROM m GROUP BY rec) q) SELECT g.rec, g.sample, round(coalesce(x, 0), 6) + 0.0 AS x FROM g LEFT JOIN m ON m.rec = g.rec AND m.sample = g.sample""", "fx5")
 add("w15_preemphasis", lambda s, d: rounded(features.to_samples(features.preemphasis(small(s, d))), "x"),
     "WITH " + S_X + " SELECT rec, sample, round(x - 0.97::DOUBLE * coalesce(lag(x) OVER (PARTITION BY rec ORDER BY sample), 0), 6) + 0.0 AS x FROM x", "fx5")
 for _mode, _n, _shift, _len in (("center", "n // 16", 16, 32), ("pre_padded", "(n - 32) // 16 + 1", 0, 32), ("plain", "(n - 24) // 16 + 1", 0, 24)):
