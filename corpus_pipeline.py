@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import bpe, cotraining, line_dedup, mixing, near_dedup
-from framewise.llm.common import n_words, shared_dir, table
+from framewise.llm.common import WORD, n_words, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; n_chars follows the text."""
+    """Lines that repeat an earlier one go, and documents of which that leaves no word; n_chars follows the text."""
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_exact") + F.col("n_near") > 0
+    out = out.where(~changed | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -14,7 +14,7 @@ def test_stages(spark, sf):
         out.write.parquet(path)
         docs = spark.read.parquet(path)
         seen.append(docs.count())
-    assert seen[0] >= seen[1] > 0.6 * seen[0] and seen[1] == seen[2] > seen[3] and seen[4] == seen[5]
+    assert seen[0] >= seen[1] > 0.6 * seen[0] and seen[1] > seen[2] >= seen[3] > 0.8 * seen[2] and seen[4] == seen[5]
     assert docs.where(~F.col("round_trip")).count() == 0 and docs.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
