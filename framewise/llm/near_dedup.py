@@ -95,24 +95,27 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_per_document(k, True), SCHEMA)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the undirected edges (a, b).
 
-    Each round passes labels over the edges and then to the label's own label, so chains shorten by half.
+    Each round passes labels over the edges, lowers with them the row of the label held so far (so a tree joins
+    its neighbour's tree whole), and then takes the label's own label. Labels only fall, and the rounds go on
+    until none does; on chains in random order their number grows with the logarithm of the length.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component"))
     labels = cut(labels)
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_heard"))
-        step = labels.join(heard, labels["node"] == heard["a"]).select("node", "component", F.least("component", "_heard").alias("_next"))
+        told = labels.join(heard, labels["node"] == heard["a"]).select("node", "component", "_heard")
+        offers = F.explode(F.array(F.struct("node", F.least("component", "_heard").alias("next"), F.col("component").alias("old")), F.struct(F.col("component").alias("node"), F.col("_heard").alias("next"), F.lit(None).cast(labels.schema["component"].dataType).alias("old")))).alias("_to")
+        step = told.select(offers).groupBy(F.col("_to.node").alias("node")).agg(F.min("_to.next").alias("_next"), F.max("_to.old").alias("component"))
         up = step.select(F.col("node").alias("_up"), F.col("_next").alias("_up_next"))
         jumped = step.join(up, step["_next"] == up["_up"]).select("node", F.col("_up_next").alias("component"), (F.col("_up_next") != F.col("component")).alias("_changed"))
         jumped = cut(jumped)
         labels = jumped.select("node", "component")
         if not jumped.where("_changed").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:

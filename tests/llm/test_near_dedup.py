@@ -74,6 +74,18 @@ def test_components_brute_force(spark):
     assert kept == set(want.values())
 
 
+def test_long_chains(spark):
+    rng = random.Random(7)
+    names = [rng.randbytes(16) for _ in range(1_130)]
+    # A chain of 1,000 links, one of 100, and a hub with 25 leaves.
+    edges = [(i, i + 1) for i in range(1_000)] + [(i, i + 1) for i in range(1_001, 1_101)] + [(1_102, i) for i in range(1_103, 1_128)]
+    edges = [(names[x], names[y]) for x, y in edges]
+    rng.shuffle(edges)
+    got = {bytes(r.node): bytes(r.component) for r in n.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    want = {x: min(group) for group in (names[:1_001], names[1_001:1_102], names[1_102:1_128]) for x in group}
+    assert got == want
+
+
 def test_odd_tables(spark, odd, empty):
     assert n.op6(spark, odd).count() == odd.count()
     assert n.op6(spark, empty).count() == 0 and n.keep_first(empty).count() == 0
