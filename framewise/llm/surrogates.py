@@ -7,7 +7,7 @@ pattern, without fixed points: the same entity has the same surrogate everywhere
 entities never share one (distinctness). Given names are permuted within the names of the same gender and
 script. collisions() checks distinctness over a whole table; resolve() takes the next key until it holds.
 
-Spellings that differ in case or separators only are one entity. Null texts stay null and empty texts stay
+Spellings that differ in case, separators or leading zeros of an address only are one entity. Null texts stay null and empty texts stay
 empty. Repeated rows give equal rows. Columns that clash with the counts are replaced.
 """
 
@@ -35,6 +35,8 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "
 #: The letters that may stand for each other, by script.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáåæéèêëíìîïóòôöøœúùûüýÿ", "çñšžčćđðþ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
 HEX = "0123456789abcdef"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|...")
 
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’-]+"
@@ -134,16 +136,16 @@ def surrogate(kind: str, entity: str, secret: bytes) -> str:
     if kind == "secret":
         return respell(entity, secret, "secret", [HEX])
     if kind == "ip":
-        parts = [int(x) for x in entity.split(".")]
+        parts = [int(x) for x in canonical(kind, entity).split(".")]
         y = permute(sum(p << 8 * (3 - i) for i, p in enumerate(parts)), 1 << 32, secret, "ip")
         return ".".join(str(y >> 8 * (3 - i) & 255) for i in range(4))
     if kind == "phone":
-        digits = re.sub(r"\D", "", entity)
-        code = re.match(r"\+(\d{1,3})(?=[ .(-])", entity)
-        keep = len(code[1]) if code else 0
-        return _digits_into(entity, digits[:keep] + respell(digits[keep:], secret, f"phone|{digits[:keep]}"))
+        digits = canonical(kind, entity)
+        code = COUNTRY.match(digits[1:])[0] if digits[0] == "+" else ""
+        digits = digits.removeprefix("+")
+        return _digits_into(entity, code + respell(digits[len(code) :], secret, f"phone|{code}"))
     if kind == "card":
-        digits = re.sub(r"\D", "", entity)
+        digits = canonical(kind, entity)
         offset = (int(digits[-1]) - luhn(digits[:-1])) % 10
         body = respell(digits[:-1], secret, f"card|{offset}")
         return _digits_into(entity, body + str((luhn(body) + offset) % 10))
@@ -155,9 +157,15 @@ def surrogate(kind: str, entity: str, secret: bytes) -> str:
 
 
 def canonical(kind: str, entity: str) -> str:
-    """What spellings of one entity have in common."""
+    """What spellings of one entity have in common; surrogates are derived from it. Digits are ASCII's.
+
+    A phone number keeps its plus sign: '+555 123 4567' and '555-123-4567' are two entities.
+    """
     if kind in ("phone", "card"):
-        return re.sub(r"\D", "", entity)
+        digits = "".join(str(int(c)) for c in entity if c.isdecimal())
+        return "+" + digits if entity.startswith("+") else digits
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in entity.split("."))
     return entity.lower() if kind in ("email", "secret") else entity
 
 

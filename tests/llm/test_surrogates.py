@@ -45,6 +45,22 @@ def test_distinct(spark):
     assert s.collisions(spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
 
 
+def test_spellings(spark):
+    """Spellings of one entity in one table agree, and other entities stay apart."""
+    phones = ["+1 555 123 4567", "+15551234567", "+1555 123 4567", "+1 (555) 123-4567", "+49 30 1234567", "+493 01234567", "+355 1234567", "+3551 234567"]
+    addresses = ["1.2.3.4", "01.2.3.4", "1.02.03.4"]
+    others = ["555-123-4567", "+555 123 4567", "1.2.3.40", "4929348385146306"]
+    table = spark.createDataFrame([(i, f"at {x} now") for i, x in enumerate(phones + addresses + others)], "doc_id long, text string")
+    assert s.collisions(table).count() == 0
+    out = [r.text[3:-4] for r in s.op5(spark, table).orderBy("doc_id").collect()]
+    plain = [re.sub(r"\D", "", x) for x in out]
+    assert len(set(plain[:4])) == len(set(plain[4:6])) == len(set(plain[6:8])) == len(set(out[8:11])) == 1
+    assert len({s.canonical(k, x) for k, x in zip(["phone"] * 8 + ["ip"] * 3 + ["phone"] * 2 + ["ip", "card"], out, strict=True)}) == 8
+    assert out[0].startswith("+1 ") and all(x != y for x, y in zip(phones + addresses + others, out, strict=True))
+    digits = "".join(chr(0x660 + int(c)) for c in "4929348385146306")
+    assert s.surrogate("card", digits, b"k") == s.surrogate("card", "4929348385146306", b"k")
+
+
 def test_op5(spark, docs, odd, empty):
     out = {r.doc_id: r for r in s.op5(spark, docs).collect()}
     for r in docs.collect():
