@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Detected are e-mail addresses, phone numbers, IPv4 addresses, card-like numbers, secret hexadecimal tokens
-and, after a title or as a listed given name, people's names. A surrogate has its entity's type, script,
+and, after a title or as a listed given name, people's names; a name found so is also replaced wherever else
+the same text has it as a whole word, in the same letter case. A surrogate has its entity's type, script,
 letter case, separators and length. It is made by a keyed permutation of all strings of the entity's
 pattern, without fixed points: the same entity has the same surrogate everywhere (coreference), and two
 entities never share one (distinctness). Given names are permuted within the names of the same gender and
@@ -13,6 +14,7 @@ empty. Repeated rows give equal rows. Columns that clash with the counts are rep
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -49,6 +51,9 @@ _PATTERNS: list[tuple[str, re.Pattern[str], Callable[[str], bool]]] = [
 ]
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})\.? ({_NAME})(?: ({_NAME}))?")
 _LISTED = re.compile(rf"\b({'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?: ({_NAME}))?(?![\w'’-])")
+_POSSESSIVE = re.compile(r"(?<=[^\W\d_]{2})(?:['’]s|['’-]+)$")
+_WORD = re.compile(rf"(?<!\w){_NAME}(?:['’-]\w+)*(?!\w)|\w+(?:['’-]\w+)+")
+_PART = re.compile(r"\w+")
 _HAS_DIGITS = re.compile(r"\d{2}|\d\.\d")
 _HAS_TITLE = re.compile(rf"\b(?:{'|'.join(TITLES)})\b")
 
@@ -195,9 +200,29 @@ def find(text: str) -> list[Found]:
             given, family = (2, 3) if with_title else (1, 2)
             for g in (given, family):
                 if m[g]:
-                    script_gender = _GIVEN.get(m[g])
-                    add(m.start(g), m.end(g), f"given|{script_gender[0]}|{script_gender[1]}" if script_gender else "family")
-    return sorted(found)
+                    name = _POSSESSIVE.sub("", m[g])
+                    script_gender = _GIVEN.get(name)
+                    kind = f"given|{script_gender[0]}|{script_gender[1]}" if script_gender else "family"
+                    add(m.start(g), m.start(g) + len(name), kind)
+    found.sort()
+    names = {entity: kind for _, _, kind, entity in found if kind == "family" or kind.startswith("given")}
+    return sorted(found + _mentions(text, names, found)) if names else found
+
+
+def _mentions(text: str, names: dict[str, str], found: list[Found]) -> list[Found]:
+    """All whole-word mentions of the names outside what was found, which is in order."""
+    ends = [f[1] for f in found]
+    out = []
+    for m in _WORD.finditer(text):
+        # A word is a name, or of its parts between hyphens and apostrophes some are.
+        whole = _POSSESSIVE.sub("", m[0])
+        parts = [(m.start(), whole)] if whole in names else [(m.start() + p.start(), p[0]) for p in _PART.finditer(m[0])]
+        for begin, name in parts:
+            if name in names:
+                i = bisect.bisect_right(ends, begin)
+                if i == len(found) or begin + len(name) <= found[i][0]:
+                    out.append((begin, begin + len(name), names[name], name))
+    return out
 
 
 def replace(text: str, secret: bytes, cache: dict | None = None) -> tuple[str, list[Found], list[str]]:

@@ -45,6 +45,18 @@ def test_distinct(spark):
     assert s.collisions(spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
 
 
+def test_later_mentions():
+    text = "Meier? Dr. Meier's car. Meier left; 'Meier', Meier-Schmidt and non-Meier. Mrs. Clara Schmidt met Schmidt's Clara. Meierhof and meier stay. Mail Meier@mail.example.com."
+    new, found, _ = s.replace(text, b"k")
+    family = {n: s.surrogate("family", n, b"k") for n in ("Meier", "Schmidt")}
+    clara = s.surrogate("given|latin|f", "Clara", b"k")
+    a, b = family["Meier"], family["Schmidt"]
+    want = f"{a}? Dr. {a}'s car. {a} left; '{a}', {a}-{b} and non-{a}. Mrs. {clara} {b} met {b}'s {clara}. Meierhof and meier stay. Mail "
+    assert new.startswith(want) and "Meier@" not in new
+    assert len({f[:2] for f in found}) == len(found) and all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+    assert s.replace("Meier left. Schmidt too.", b"k")[0] == "Meier left. Schmidt too."
+
+
 def test_spellings(spark):
     """Spellings of one entity in one table agree, and other entities stay apart."""
     phones = ["+1 555 123 4567", "+15551234567", "+1555 123 4567", "+1 (555) 123-4567", "+49 30 1234567", "+493 01234567", "+355 1234567", "+3551 234567"]
