@@ -73,6 +73,11 @@ add("m1_hann_window", lambda s, d: rounded(features.to_samples(small(s, d).withC
     "WITH " + S_X + " SELECT rec, sample, round(x * 0.5::DOUBLE * (1 - cos(2 * pi() * (sample % 64) / 32)), 6) + 0.0 AS x FROM x WHERE sample % 64 < 32", "fx5")
 add("m2_mel_filterbank", lambda s, d: rounded(power(s, d).select("rec", "frame", F.posexplode("power").alias("bin", "p")).where("frame % 4 = 0").join(F.broadcast(features.mel_filterbank_table(s, 32, 8, 16000)), "bin").select("rec", "frame", "mel", "bin", (F.col("weight") * 1000).alias("weight")), "weight"),
     "WITH " + S_X + "," + S_BANK + ", n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), f AS (SELECT rec, unnest(range(0, n // 16)) AS frame FROM n) SELECT rec, frame, mel, bin, round(weight * 1000, 6) + 0.0 AS weight FROM f CROSS JOIN bank WHERE weight > 0 AND frame % 4 = 0", "fx5")
+# m1 and m2 above read a part of their tables, as their SQL does; these read the whole.
+add("m1_hann_window_whole", lambda s, d: rounded(features.to_samples(small(s, d)).withColumn("i", (F.col("sample") % 32).cast("int")).join(F.broadcast(features.hann_table(s, 32)), "i").select("rec", "sample", (F.col("x") * F.col("weight")).alias("x")), "x"),
+    "WITH " + S_X + " SELECT rec, sample, round(x * 0.5::DOUBLE * (1 - cos(2 * pi() * (sample % 32) / 32)), 6) + 0.0 AS x FROM x", "fx5")
+add("m2_mel_filterbank_whole", lambda s, d: rounded(power(s, d).select("rec", "frame", F.posexplode("power").alias("bin", "p")).join(F.broadcast(features.mel_filterbank_table(s, 32, 8, 16000)), "bin").select("rec", "frame", "mel", "bin", (F.col("weight") * 1000).alias("weight")), "weight"),
+    "WITH " + S_X + "," + S_BANK + ", n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), f AS (SELECT rec, unnest(range(0, n // 16)) AS frame FROM n) SELECT rec, frame, mel, bin, round(weight * 1000, 6) + 0.0 AS weight FROM f CROSS JOIN bank WHERE weight > 0", "fx5")
 add("m3_power_spectrum", lambda s, d: rounded(power(s, d).select("rec", "frame", F.posexplode("power").alias("bin", "p")), "p", digits=5), "WITH " + S_POW + " SELECT rec, frame, bin, round(p, 5) + 0.0 AS p FROM pw", "fx5")
 add("m4_mel_project", lambda s, d: rounded(features.mel_project(power(s, d), features.mel_filterbank_table(s, 32, 8, 16000)), "value", digits=6),
     "WITH " + S_POW + "," + S_BANK + " SELECT rec, frame, mel, round(sum(weight * p), 6) + 0.0 AS value FROM pw JOIN bank USING (bin) WHERE weight > 0 GROUP BY rec, frame, mel", "fx5")

@@ -35,5 +35,12 @@ def test_equal(spark, sf, sql, name):
     assert plain(df.select(*names).collect()) == plain(want)
 
 
+@pytest.mark.parametrize("name", ["m1_hann_window", "m2_mel_filterbank", "j10_patch_frames", "j4_extract_segments"])
+def test_whole_tables(spark, sf, name):
+    """Each has a form over its whole tables; test_equal compares that with SQL."""
+    assert f"{name}_whole" in catalog.ORACLES
+    assert catalog.QUERIES[f"{name}_whole"](spark, sf).count() > 1.5 * catalog.QUERIES[name](spark, sf).count()
+
+
 def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() > 0
