@@ -175,8 +175,8 @@ def _outsiders(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def link_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def link_components(docs: DataFrame, k: int, percent: int, *more_columns: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text); its node too if asked for."""
     rows = cut(signatures(docs, k))
     # The smallest doc_id stands for a node; rows of null ids alone stay by themselves.
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("items").alias("items")).where("doc is not null")
@@ -219,7 +219,7 @@ def link_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     firsts = info.join(labels, "node").groupBy("component").agg(F.min("doc").alias("first"))
     names = labels.join(firsts, "component").select("node", "first")
     named = info.join(names, "node", "left").select("node", F.coalesce("first", "doc").alias("component_id"))
-    return rows.select("doc_id", "node", "n_shingles").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "node", "n_shingles").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more_columns)
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -227,10 +227,20 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows with the same doc_id and the same text one stays. Rows with a null doc_id are kept.
     """
-    found = link_components(docs.select("doc_id", "text"), k, percent)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    found = link_components(docs.select("doc_id", "text"), k, percent, "node")
+    gone = cut(found.where("doc_id != component_id").select("doc_id", "node").distinct())
+    # Where rows of other words share a doc_id that goes, only those of the node that goes are dropped.
+    mixed = found.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count_distinct(F.coalesce("node", F.lit(b""))).alias("_n"))
+    mixed = cut(mixed.where("_n > 1").select("doc_id"))
     once = Window.partitionBy("doc_id", "_text").orderBy(F.lit(0))
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    if mixed.limit(1).count():
+        some = docs.join(mixed, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
+        nodes = signatures(some.select(F.col("_text").alias("doc_id"), "text"), k).select(F.col("doc_id").alias("_text"), F.col("node").alias("_node")).distinct()
+        named = some.join(nodes, "_text", "left")
+        drop = gone.select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node"))
+        stay = named.join(drop, (named["doc_id"] == drop["_gone"]) & (named["_node"] == drop["_gone_node"]), "left_anti")
+        kept = kept.unionByName(stay.select(*docs.columns))
     twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
     if not twice.limit(1).count():
         return kept

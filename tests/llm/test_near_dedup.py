@@ -86,6 +86,15 @@ def test_long_chains(spark):
     assert got == want
 
 
+def test_shared_ids(spark):
+    """Of rows that share a doc_id only the duplicates go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, ""), (5, ""), (8, c), (5, None)]
+    kept = n.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    # The first row of each text stays, and texts without words all stay.
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, a), (5, b), (7, c), (7, ""), (5, ""), (5, None)}
+
+
 def test_odd_tables(spark, odd, empty):
     assert n.op6(spark, odd).count() == odd.count()
     assert n.op6(spark, empty).count() == 0 and n.keep_first(empty).count() == 0
