@@ -1,34 +1,38 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view sees hashed word and character n-grams. The metadata view sees what a page's record tells
-without its wording: language, source, length, and the layout of its lines. Both are logistic regressions.
-From a bounded set of labelled rows each view labels the rows of a bounded unlabelled pool that it is most
-sure of and hands them to the other, over some rounds. The views are calibrated on held-out labelled rows
-and combined there by logistic regression on their log odds; then every document is scored.
+The text view sees the wording: hashed word and character n-grams. The metadata view sees what a page's
+record tells without its wording: language, source, length, and the layout of its lines. Both are logistic
+regressions, first trained on a bounded set of labelled rows. Then, over some rounds, both views score all
+unlabelled documents, and each hands the ones it is most sure of, with its verdict as their label, to the
+other view's training rows, as many of either class; their number in a round is bounded, the documents
+that compete for it are not. The views are calibrated on one part of the labelled rows and combined on another by logistic
+regression on their log odds; neither part is trained on. Then every document is scored.
 
 Null texts are empty texts and are scored as such; missing or null metadata is a value of its own. With no
-labelled rows of both classes every document has probability 1. Repeated rows are scored alike. Columns
-that clash with the scores are replaced.
+labelled rows of both classes every document has probability 1. Repeated rows are scored alike, and ties
+for the places handed over go to the smallest hash of the id. An empty table gives an empty result. A very
+long text is scored whole, alone in its slice. Columns that clash with the scores are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes, word_hashes
-from .quality_rules import BUCKETS, Logistic, features, platt
+from .common import cut, per_process, slices, table, text_bytes
+from .quality_rules import BUCKETS, Logistic, csr, features, gram_buckets, platt, rows_of
 
-#: Most labelled rows and most rows of the unlabelled pool, each chosen by a hash of the id.
-LABELLED, POOL = 3000, 2000
-ROUNDS, SURE = 4, 0.95
-#: Share of the sure rows of each round that a view hands over.
-HANDED = 0.25
+#: Most labelled rows, chosen by a hash of the id.
+LABELLED = 3000
+#: Rounds of exchange, the least certainty, and most rows that a view hands over of each class in a round.
+ROUNDS, SURE, HANDED = 2, 0.95, 100
 #: Documents of a lower combined probability are rejected.
 KEEP_FROM = 0.35
 META_BUCKETS = 1 << 12
@@ -38,26 +42,26 @@ METADATA = ("lang", "source")
 def metadata_features(raw: bytes, values: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed indicators of the metadata and of the layout in coarse steps."""
     step = lambda x: int(np.log2(x + 1) * 2)
-    b = np.frombuffer(raw, np.uint8)
-    ends = np.flatnonzero(b == 10)
-    sizes = np.diff(np.concatenate(([-1], ends, [len(b)]))) - 1
-    blank, letters = int((b == 32).sum()), int((((b | 32) >= 97) & ((b | 32) <= 122) | (b >= 128)).sum())
-    upper = int(((b >= 65) & (b <= 90)).sum())
-    share = lambda x: int(20 * x / max(1, len(b)))
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    sizes = np.diff(np.concatenate(([-1], ends, [len(raw)]))) - 1
+    twice = len(sizes) - len(np.unique(sizes)) if len(sizes) > 1 else 0
     layout = [
-        ("length", step(len(b))), ("lines", step(len(sizes))), ("mean line", step(float(sizes.mean()))), ("longest line", step(int(sizes.max()))), ("short lines", int(10 * (sizes < 20).mean())),
-        ("blanks", share(blank)), ("letters", share(letters)), ("capitals", share(upper)), ("wide", share(int((b >= 192).sum()))),
+        ("length", step(len(raw))), ("lines", step(len(sizes))), ("mean line", step(float(sizes.mean()))), ("longest line", step(int(sizes.max()))),
+        ("short lines", int(10 * (sizes < 20).mean())), ("lines of equal length", int(10 * twice / len(sizes))), ("spread", step(float(sizes.std()))),
     ]
     keys = [f"{k}={v}" for k, v in layout] + [f"{k}={v}" for k, v in zip(METADATA, values, strict=True)]
     keys += [f"{values[0]}|{k}={v}" for k, v in layout]
-    at = np.array([int.from_bytes(_digest(k), "big") % META_BUCKETS for k in keys], np.int64)
-    return at, np.full(len(at), 1 / np.sqrt(len(at)))
+    at = np.array([_bucket(k) for k in keys], np.int16)
+    return at, np.full(len(at), 1 / np.sqrt(len(at)), np.float32)
 
 
-def _digest(key: str) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(key.encode(), digest_size=4).digest()
+def _bucket(key: str) -> int:
+    known = per_process("cotraining buckets", dict)
+    if key not in known:
+        if len(known) > 100_000:
+            known.clear()
+        known[key] = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=4).digest(), "big") % META_BUCKETS
+    return known[key]
 
 
 @dataclass
@@ -68,53 +72,48 @@ class Views:
 
     def combine(self, p_text: float | np.ndarray, p_meta: float | np.ndarray) -> float | np.ndarray:
         a, b, c = self.weights
-        odds = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
-        return 1 / (1 + np.exp(-np.clip(a * odds(p_text) + b * odds(p_meta) + c, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(a * _odds(p_text) + b * _odds(p_meta) + c, -30, 30)))
+
+
+def _odds(p: float | np.ndarray) -> float | np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
 
 
 Rows = list[tuple[np.ndarray, np.ndarray]]
 
 
-def cotrain(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows, rounds: int = ROUNDS) -> Views | None:
-    """Views trained on labelled rows and, by each other's sure labels, on the pool."""
-    held = np.arange(len(y)) % 3 == 0
-    if len(y) < 9 or len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        return None
-    own = np.flatnonzero(~held)
-    given: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    pools = {"text": pool_text, "meta": pool_meta}
-
-    def fitted(view: str, rows: Rows, buckets: int) -> Logistic:
-        extra = sorted(given[view].items())
-        use = [rows[i] for i in own] + [pools[view][i] for i, _ in extra]
-        goal = np.concatenate((y[own], np.array([v for _, v in extra])))
-        model = Logistic(buckets).fit(use, goal)
-        raw = np.array([model.raw(*rows[i]) for i in np.flatnonzero(held)])
-        model.a, model.b = platt(raw, y[held])
-        return model
-
-    views = Views(fitted("text", text, BUCKETS), fitted("meta", meta, META_BUCKETS))
-    for _ in range(rounds):
-        moved = 0
-        for giver, taker, model in (("text", "meta", views.text), ("meta", "text", views.meta)):
-            p = np.array([model.probability(model.raw(*r)) for r in pools[giver]])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                ready = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and i not in given[taker]]
-                for i in ready[: max(1, int(len(ready) * HANDED))]:
-                    given[taker][int(i)] = label
-                    moved += 1
-        if not moved:
-            break
-        views = Views(fitted("text", text, BUCKETS), fitted("meta", meta, META_BUCKETS))
-    p = [np.array([m.probability(m.raw(*rows[i])) for i in np.flatnonzero(held)]) for m, rows in ((views.text, text), (views.meta, meta))]
-    views.weights = _stack(*p, y[held])
-    return views
+@dataclass
+class Training:
+    """Labelled rows of both views: a quarter calibrates, a quarter combines, the rest and what is handed over trains."""
+
+    text: Rows
+    meta: Rows
+    y: np.ndarray
+
+    def __post_init__(self) -> None:
+        part = np.arange(len(self.y)) % 4
+        self.calibrate, self.combine, self.own = (np.flatnonzero(x) for x in (part == 0, part == 1, part > 1))
+        self.given: dict[str, tuple[Rows, list[float]]] = {"text": ([], []), "meta": ([], [])}
+
+    def possible(self) -> bool:
+        return all(len(np.unique(self.y[x])) == 2 for x in (self.calibrate, self.combine, self.own))
+
+    def _fitted(self, view: str, rows: Rows, buckets: int) -> Logistic:
+        more, labels = self.given[view]
+        model = Logistic(buckets).fit([rows[i] for i in self.own] + more, np.concatenate((self.y[self.own], np.array(labels))))
+        return model.calibrate(np.array([model.raw(*rows[i]) for i in self.calibrate]), self.y[self.calibrate])
+
+    def views(self) -> Views:
+        out = Views(self._fitted("text", self.text, BUCKETS), self._fitted("meta", self.meta, META_BUCKETS))
+        p, q = (np.array([m.probability(m.raw(*rows[i])) for i in self.combine]) for m, rows in ((out.text, self.text), (out.meta, self.meta)))
+        out.weights = _stack(p, q, self.y[self.combine])
+        return out
 
 
 def _stack(p: np.ndarray, q: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Weights of the views' log odds and an intercept, by regularised Newton steps."""
-    odds = lambda x: np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
-    x, prior = np.stack([odds(p), odds(q), np.ones_like(p)], 1), np.array([0.5, 0.5, 0.0])
+    x, prior = np.stack([_odds(p), _odds(q), np.ones_like(p)], 1), np.array([0.5, 0.5, 0.0])
     w = prior.copy()
     for _ in range(50):
         z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -129,47 +128,74 @@ def _with_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumns({f"_m{i}": (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")) for i, c in enumerate(METADATA)})
 
 
-def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[Rows, Rows, np.ndarray]:
-    """Both views' features and labels of the documents whose ids are given; ids are bounded."""
+def _features_of(docs: DataFrame, ids: DataFrame) -> tuple[Rows, Rows, dict[int, int]]:
+    """Both views' features of the documents whose ids (doc_id, y) are given, and the place of each id; ids are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            values = list(zip(*(batch.column(3 + i).to_pylist() for i in range(len(METADATA))), strict=True))
+            values = list(zip(*(batch.column(2 + i).to_pylist() for i in range(len(METADATA))), strict=True))
             for lo, hi in slices(texts):
-                words, starts = word_hashes(texts[lo:hi])
-                one = [features(words[starts[i] : starts[i + 1]], texts[lo + i]) for i in range(hi - lo)]
-                two = [metadata_features(texts[i], list(values[i])) for i in range(lo, hi)]
-                lists = [pa.array([r[0] for r in rows], pa.list_(pa.int64())) if k == 0 else pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32())) for rows in (one, two) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], names=["doc_id", "y", "at", "value", "meta_at", "meta_value"])
-
-    own = _with_metadata(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", *[f"_m{i}" for i in range(len(METADATA))]).dropDuplicates(["doc_id"])
-    got = own.mapInArrow(run, "doc_id long, y int, at array<long>, value array<float>, meta_at array<long>, meta_value array<float>").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy())
-    column = lambda c: got.column(c).combine_chunks()
-    pick = lambda a, b: [(a[int(i)].values.to_numpy(zero_copy_only=False), b[int(i)].values.to_numpy(zero_copy_only=False)) for i in order]
-    return pick(column("at"), column("value")), pick(column("meta_at"), column("meta_value")), got.column("y").to_numpy()[order].astype(float)
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Views | None:
-    by = lambda df: df.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id")
+                one = csr([features(g) for g in gram_buckets(texts[lo:hi])])
+                two = csr([metadata_features(texts[i], list(values[i])) for i in range(lo, hi)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *one, *two], names=["doc_id", "at", "value", "meta_at", "meta_value"])
+
+    own = _with_metadata(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    own = own.select("doc_id", "text", *[f"_m{i}" for i in range(len(METADATA))]).dropDuplicates(["doc_id"])
+    got = own.mapInArrow(run, "doc_id long, at array<short>, value array<float>, meta_at array<short>, meta_value array<float>").toArrow()
+    found = got.column("doc_id").to_numpy()
+    order = np.argsort(found)
+    rows = [rows_of(got.column(a), got.column(v), order) for a, v in (("at", "value"), ("meta_at", "meta_value"))]
+    return rows[0], rows[1], {int(found[i]): n for n, i in enumerate(order)}
+
+
+def surest(docs: DataFrame, labels: DataFrame, views: Views, handed: list[int]) -> list:
+    """(doc_id, giver, y): of all documents without a label, those that each view is surest of, by class."""
+    p = cut(score(docs.select("doc_id", "text", *[c for c in METADATA if c in docs.columns]), views, narrow=True).where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti"))
+    p = p.where(~F.col("doc_id").isin(handed)) if handed else p
+    best = []
+    for giver in ("text", "meta"):
+        for y, sure in ((1, F.col(f"p_{giver}")), (0, 1 - F.col(f"p_{giver}"))):
+            ranked = p.where(sure >= SURE).groupBy("doc_id").agg(F.max(sure).alias("sure")).orderBy(F.desc("sure"), F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(HANDED)
+            best.append(ranked.select("doc_id", F.lit(giver).alias("giver"), F.lit(y).alias("y"), "sure"))
+    rows = sorted(reduce(DataFrame.union, best).collect(), key=lambda r: (r.giver, r.y, -r.sure, r.doc_id))
+    # As many of either class: a view that is sure of the frequent class alone teaches nothing.
+    of = {g: [[r for r in rows if (r.giver, r.y) == (g, y)] for y in (0, 1)] for g in ("text", "meta")}
+    return [r for both in of.values() for one in both for r in one[: min(map(len, both))]]
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Views | None:
+    """Views trained on labelled rows and, by each other's sure labels, on documents without a label."""
     y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    some = by(y.join(ids, "doc_id", "left_semi")).limit(labelled)
-    rest = by(ids.join(y, "doc_id", "left_anti").distinct()).limit(pool).withColumn("y", F.lit(-1))
-    chosen = some.union(rest)
-    text, meta, goal = _sampled(docs, chosen)
-    mine = [i for i, v in enumerate(goal) if v >= 0]
-    theirs = [i for i, v in enumerate(goal) if v < 0]
-    return cotrain([text[i] for i in mine], [meta[i] for i in mine], goal[mine], [text[i] for i in theirs], [meta[i] for i in theirs])
+    some = cut(y.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(labelled))
+    text, meta, place = _features_of(docs, some)
+    goal = {r.doc_id: float(r.y) for r in some.collect()}
+    training = Training(text, meta, np.array([goal[i] for i in place]))
+    if not training.possible():
+        return None
+    handed: list[int] = []
+    for _ in range(rounds):
+        chosen = surest(docs, y, training.views(), handed)
+        if not chosen:
+            break
+        spark = docs.sparkSession
+        text, meta, place = _features_of(docs, spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in chosen})], "doc_id long"))
+        for r in chosen:
+            taker, rows = ("meta", meta) if r.giver == "text" else ("text", text)
+            training.given[taker][0].append(rows[place[r.doc_id]])
+            training.given[taker][1].append(float(r.y))
+        handed += sorted({r.doc_id for r in chosen})
+    return training.views()
 
 
 SCORES = ("p_text", "p_meta", "probability")
 
 
-def score(docs: DataFrame, views: Views | None) -> DataFrame:
-    """docs with p_text, p_meta and the combined probability of good quality."""
+def score(docs: DataFrame, views: Views | None, narrow: bool = False) -> DataFrame:
+    """docs with p_text, p_meta and the combined probability of good quality; if narrow, doc_id alone with them."""
     names = [c for c in docs.columns if c not in SCORES]
+    kept = ["doc_id"] if narrow else names
     shared = docs.sparkSession.sparkContext.broadcast((vars(views.text), vars(views.meta), views.weights) if views else None)  # a fixed number of weights
     source = _with_metadata(docs.select(*names))
     place, width = names.index("text"), len(names)
@@ -180,17 +206,15 @@ def score(docs: DataFrame, views: Views | None) -> DataFrame:
             texts = text_bytes(batch.column(place))
             values = list(zip(*(batch.column(width + i).to_pylist() for i in range(len(METADATA))), strict=True))
             for lo, hi in slices(texts):
-                out = [(1.0, 1.0, 1.0)] * (hi - lo)
+                p, q, both = np.ones((3, hi - lo))
                 if own:
-                    words, starts = word_hashes(texts[lo:hi])
-                    for i in range(hi - lo):
-                        p = float(own.text.probability(own.text.raw(*features(words[starts[i] : starts[i + 1]], texts[lo + i]))))
-                        q = float(own.meta.probability(own.meta.raw(*metadata_features(texts[lo + i], list(values[lo + i])))))
-                        out[i] = (p, q, float(own.combine(p, q)))
+                    p = own.text.probability(np.array([own.text.raw_of(g) for g in gram_buckets(texts[lo:hi])]))
+                    q = own.meta.probability(np.array([own.meta.raw(*metadata_features(texts[i], list(values[i]))) for i in range(lo, hi)]))
+                    both = own.combine(p, q)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(width)), *(pa.array([r[k] for r in out], pa.float64()) for k in range(3))], names=[*names, *SCORES])
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), *map(pa.array, (p, q, both))], names=[*kept, *SCORES])
 
-    schema = docs.select(*names).schema
+    schema = docs.select(*kept).schema
     for c in SCORES:
         schema = schema.add(c, "double")
     return source.mapInArrow(run, schema)

@@ -5,8 +5,9 @@ text. The model is trained on a bounded sample of labelled rows, its scores are
 part by Platt's method, and every document is scored in Arrow batches against a fixed threshold.
 
 Null and empty texts have no words and fail the base rule. Ties and repeated rows are scored alike. With
-no labelled rows of both classes the verdict is true wherever the base rule holds. Only doc_id and text
-are read, so other columns never clash.
+no labelled rows of both classes the verdict is true wherever the base rule holds. An empty table gives an
+empty result. A very long text is scored whole, alone in its slice, with some arrays of 8 bytes for each of
+its bytes. Only doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, table, text_bytes, word_hashes
+from .common import SLICE_BYTES, mix64, slices, table, text_bytes, word_hashes
 
 #: Most labelled rows that the model sees; they are chosen by a hash of their id.
 SAMPLE = 4000
-#: Buckets of the hashed features.
+#: Buckets of the hashed features; at most 2**15, as they are kept in 16 bits.
 BUCKETS = 1 << 14
 #: Documents below this calibrated probability of good quality are dropped.
 KEEP_FROM = 0.4
@@ -56,26 +57,55 @@ def base_statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def features(words: np.ndarray, raw: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of a text as (bucket, value): square roots of counts, scaled to length 1 for each kind."""
-    kinds = [words]
-    if len(words) > 1:
-        kinds.append(mix64(words[:-1] * np.uint64(3) + words[1:]))
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    if len(b) > 2:
-        kinds.append(mix64(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]))
-    where, value = [], []
-    for seed, x in enumerate(kinds):
-        if len(x):
-            at, count = np.unique((mix64(x + np.uint64(seed)) >> np.uint64(40)).astype(np.int64) % buckets, return_counts=True)
-            v = np.sqrt(count)
-            where.append(at)
-            value.append(v / np.sqrt((v * v).sum()))
-    if not where:
-        return np.zeros(0, np.int64), np.zeros(0)
+def gram_buckets(texts: list[bytes], buckets: int = BUCKETS) -> list[list[np.ndarray]]:
+    """For each text the buckets of its words, pairs of words and runs of three bytes, in order."""
+    words, starts = word_hashes(texts)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+
+    def bucket(x: np.ndarray, seed: int) -> np.ndarray:
+        return ((mix64(x + np.uint64(seed)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+
+    def runs(lo: int, hi: int) -> np.ndarray:
+        b = raw[lo : hi + 2].astype(np.uint64)
+        return bucket(mix64(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]), 2)
+
+    n = max(0, len(raw) - 2)
+    kinds = [
+        (bucket(words, 0), starts, 0),
+        (bucket(mix64(words[:-1] * np.uint64(3) + words[1:]), 1), starts, 1),
+        (np.concatenate([runs(lo, min(n, lo + SLICE_BYTES)) for lo in range(0, n, SLICE_BYTES)] or [np.zeros(0, np.int32)]), offsets, 2),
+    ]
+    return [[x[begin[i] : max(begin[i], begin[i + 1] - short)] for x, begin, short in kinds] for i in range(len(texts))]
+
+
+def features(grams: list[np.ndarray], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """A text's grams as (bucket, value): square roots of counts, scaled to length 1 for each kind."""
+    where, value = [np.zeros(0, np.int16)], [np.zeros(0, np.float32)]
+    for x in grams:
+        count = np.bincount(x, minlength=buckets)
+        at = np.flatnonzero(count)
+        where.append(at.astype(np.int16))
+        value.append(np.sqrt(count[at] / max(1, len(x))).astype(np.float32))
     return np.concatenate(where), np.concatenate(value)
 
 
+def csr(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array]:
+    """Sparse rows as two list columns."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))).astype(np.int32))
+    at, value = (np.concatenate([r[k] for r in rows] or [np.zeros(0)]) for k in (0, 1))
+    return pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))
+
+
+def rows_of(at: pa.ChunkedArray, value: pa.ChunkedArray, order: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Views of the columns of csr(), row by row in the order given; nothing is copied."""
+    found = []
+    for a, v in zip(at.chunks, value.chunks, strict=True):
+        x, y, ends = a.values.to_numpy(), v.values.to_numpy(), a.offsets.to_numpy()
+        found += [(x[i:j], y[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return [found[i] for i in order]
+
+
 def hashed(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """docs (doc_id, text, y) to doc_id, y, at, value for training; used on bounded samples."""
 
@@ -83,14 +113,11 @@ def hashed(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for lo, hi in slices(texts):
-                words, starts = word_hashes(texts[lo:hi])
-                rows = [features(words[starts[i] : starts[i + 1]], texts[lo + i], buckets) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
-                    names=["doc_id", "y", "at", "value"],
-                )
+                rows = [features(g, buckets) for g in gram_buckets(texts[lo:hi], buckets)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *csr(rows)], names=["doc_id", "y", "at", "value"])
 
-    return docs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, at array<long>, value array<float>")
+    return docs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, at array<short>, value array<float>")
 
 
 class Logistic:
@@ -109,6 +136,10 @@ class Logistic:
     def raw(self, at: np.ndarray, value: np.ndarray) -> float:
         return float(self.w[at] @ value) + self.bias
 
+    def raw_of(self, grams: list[np.ndarray]) -> float:
+        """raw(*features(grams)), without the list of the buckets that have a count."""
+        return sum(float(self.w @ np.sqrt(np.bincount(x, minlength=len(self.w)))) / np.sqrt(len(x)) for x in grams if len(x)) + self.bias
+
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5) -> Logistic:
         rng, seen, seen_bias = np.random.default_rng(1), np.full(len(self.w), 1e-3), 1e-3
         share = np.clip(y.mean(), 0.02, 0.98)
@@ -164,8 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
     found = hashed(labelled_sample(docs, labels, sample), buckets).toArrow()
     order = np.argsort(found.column("doc_id").to_numpy())
     y = found.column("y").to_numpy()[order].astype(float)
-    at, value = found.column("at").combine_chunks(), found.column("value").combine_chunks()
-    rows = [(at[int(i)].values.to_numpy(zero_copy_only=False), value[int(i)].values.to_numpy(zero_copy_only=False)) for i in order]
+    rows = rows_of(found.column("at"), found.column("value"), order)
     held = np.arange(len(rows)) % 4 == 0
     if len(rows) < 8 or len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         return None
@@ -185,11 +215,8 @@ def score(docs: DataFrame, model: Logistic | None, buckets: int = BUCKETS) -> Da
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for lo, hi in slices(texts):
-                words, starts = word_hashes(texts[lo:hi])
-                stats, chance = [], []
-                for i in range(hi - lo):
-                    stats.append(base_statistics(texts[lo + i].decode("utf-8", "replace")))
-                    chance.append(float(own.probability(own.raw(*features(words[starts[i] : starts[i + 1]], texts[lo + i], buckets)))) if own else 1.0)
+                stats = [base_statistics(t.decode("utf-8", "replace")) for t in texts[lo:hi]]
+                chance = [float(own.probability(own.raw_of(g))) for g in gram_buckets(texts[lo:hi], buckets)] if own else [1.0] * (hi - lo)
                 columns = [pa.array(x, pa.int64()) for x in zip(*stats, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns, pa.array(chance)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability"])
 
