@@ -6,14 +6,15 @@ within one word edit: a word replaced, inserted or deleted. Lines of fewer than
 
 Near lines are found in three steps. (1) Two lines within one edit share all words before or all words
 after it, so they share a hash of about their first or last half: only lines with such a partner go on,
-which a bitmap of fixed size lets a second scan recognise. (2) Each of these emits its deletion variants
-as hashed keys: for every place, the line without that word, and the line itself with a gap there. Lines
-that share a key agree everywhere but in that place, so all lines of a key are within one edit of each
-other and the earliest stands for all: no pairs are formed. (3) The edit distance to it is verified.
+which a bitmap lets a second scan recognise. (2) Each of these emits its deletion variants as hashed keys:
+for every place, the line without that word, and the line itself with a gap there. Lines that share a key
+agree everywhere but in that place, so all lines of a key are within one edit of each other and the
+earliest stands for all: no pairs are formed. (3) The edit distance to it is verified.
 
 Null texts stay null; empty texts stay. Rows equal in doc_id and text count as one document and come out
 alike. Null ids come first in order. Texts whose lines all go become empty. An empty table gives an empty
-result. Columns that clash with the counts are replaced.
+result. A line of very many words is one row with all its words; the hashes of its beginnings and ends are
+found block by block. Columns that clash with the counts are replaced.
 """
 
 from __future__ import annotations
@@ -21,22 +22,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, stored
+from .common import cut, stored
 from .winnowing import let
 
 MIN_WORDS, NEAR_WORDS = 3, 8
-#: Bits of the bitmap of lines that have a partner; it is 8 MB at any size of the table.
-BITMAP_BITS = 1 << 26
+#: Bits of the bitmap of half lines with a partner: BITS_EACH for each, rounded up to a power of two within these
+#: bounds. It is broadcast, so 64 MB at most; above 32 million half lines more lines than need be emit variants.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 22, 1 << 29
 #: Half lengths from here on are rounded down to multiples of it, so that lines of m and m + 1 words mostly agree.
 ROUND = 8
+#: The blanks of the word rule besides the space and the end of a line.
+_BLANKS = "\t\x0b\x0c\r"
 
 
 def lines(docs: DataFrame, least: int) -> DataFrame:
     """id, hash, place and words of every line with `least` words or more."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text").where("text is not null")
-    words = lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    text = F.when(F.col("text").rlike(f"[{_BLANKS}]"), F.translate("text", _BLANKS, " " * len(_BLANKS))).otherwise(F.col("text"))
+    words = lambda line: F.array_remove(F.split(line, " "), "")
     # Filtered inside the array: a filter after it would be pushed down and split the text twice.
-    found = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("place"), words(line).alias("words"))), lambda x: F.size(x["words"]) >= least)
+    found = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("place"), words(line).alias("words"))), lambda x: F.size(x["words"]) >= least)
     return keyed.select("id", "hash", F.inline(found))
 
 
@@ -46,32 +51,54 @@ def _half(m: Column) -> Column:
     return F.when(c < ROUND, c).otherwise(c - c % ROUND)
 
 
-def half_keys(words: Column, side: int) -> Column:
-    """Hashes of the first (side 0) or last half, for the line as the shorter and as the longer of a pair."""
+def half_keys(words: Column, side: int) -> list[Column]:
+    """Hashes of the first (side 0) or last half, for the line as the shorter and as the longer of a pair.
+
+    The second is null where it equals the first, both are where the line is too short to be near any.
+    """
     m = F.size(words)
-    halves = F.array_distinct(F.array(_half(m), _half(m - 1)))
-    keys = F.transform(halves, lambda h: F.xxhash64(F.slice(words, 1 if side == 0 else m - h + 1, h), h, F.lit(side)))
-    return F.when(m >= NEAR_WORDS - 1, keys).otherwise(F.array().cast("array<bigint>"))
+    one, two = _half(m), _half(m - 1)
+    key = lambda h: F.xxhash64(F.slice(words, 1 if side == 0 else m - h + 1, h), h, F.lit(side))
+    return [F.when(m >= NEAR_WORDS - 1, key(one)), F.when((m >= NEAR_WORDS - 1) & (one != two), key(two))]
 
 
-def chained(values: Column) -> Column:
-    """Hash of the first i values for i from 0 to all."""
-    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
+def _running(values: Column) -> Column:
+    """0 and, after each value, the exclusive or of all values so far; quadratic, so for short arrays."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(x))))
 
 
-def variants(words: Column, first: Column, last: Column) -> Column:
-    """Keys of the line without word i, and of the line with a gap before word i, for i from first to last."""
-    m = F.size(words)
+def with_beginnings(hashes: Column, use) -> Column:
+    """use(at), where at(i) is the exclusive or of the first i hashes: found in blocks of the root of their number."""
+    def sized(h: Column, size: Column) -> Column:
+        def known(inner: Column) -> Column:
+            before = _running(F.transform(inner, lambda b: F.element_at(b, -1)))
+            return let(before, lambda b: use(lambda i: F.get(b, F.floor(i / size).cast("int")).bitwiseXOR(F.get(F.get(inner, F.floor(i / size).cast("int")), (i % size).cast("int")))))
+
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(h) / size).cast("int")), lambda k: _running(F.slice(h, k * size + 1, size)))
+        return let(blocks, known)
+
+    # Each step is a variable of its own: an expression would be computed again at each use.
+    return let(hashes, lambda h: let(F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(h))).cast("int")), lambda size: sized(h, size)))
+
 
-    def keys(before: Column) -> Column:
-        def both(after: Column) -> Column:  # after[i]: hash of the last i words
-            without = F.transform(F.sequence(first, F.least(last, m - 1)), lambda i: F.xxhash64(i, m - 1, F.get(before, i), F.get(after, m - 1 - i)))
-            gaps = F.transform(F.sequence(first, last), lambda i: F.xxhash64(i, m, F.get(before, i), F.get(after, m - i)))
+def variants(words: Column, first: Column, last: Column) -> Column:
+    """Keys of the line without word i, and of the line with a gap before word i, for i from first to last.
+
+    A word before the gap is hashed with its distance from the line's begin, one after it with that from its end.
+    """
+    m = F.size(words)  # words and the bounds are columns, read in place
+    begins = F.transform(words, lambda w, j: F.xxhash64(w, j))
+    ends = F.transform(F.reverse(words), lambda w, j: F.xxhash64(w, j, F.lit(1)))
+
+    def keys(before) -> Column:
+        def both(after) -> Column:  # after(i): of the last i words
+            without = F.transform(F.sequence(first, F.least(last, m - 1)), lambda i: F.xxhash64(i, m - 1, before(i), after(m - 1 - i)))
+            gaps = F.transform(F.sequence(first, last), lambda i: F.xxhash64(i, m, before(i), after(m - i)))
             return F.concat(without, gaps)
 
-        return let(chained(F.reverse(words)), both)
+        return with_beginnings(ends, both)
 
-    return let(chained(words), keys)
+    return with_beginnings(begins, keys)
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -84,40 +111,55 @@ def within_one(a: Column, b: Column) -> Column:
     return (gap == 0) & (F.size(other) <= 1) | (gap == 1) & (tail(short, first) == tail(long, first + 1))
 
 
-def _bit(key: Column) -> tuple[Column, Column]:
-    place = F.pmod(key, F.lit(BITMAP_BITS)) + 1
-    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place).cast("int")
+def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """bucket, cells: bit sets of the keys (side), 32 bits in each cell."""
+    place = F.pmod("side", F.lit(bits)) + 1
+    cell = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.hex(F.substring("bitmap", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+    made = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    return cut(made.select("bucket", cell.alias("cells")))
+
+
+def _marked(rows: DataFrame, keys: list[str], bitmap: DataFrame, bits: int) -> DataFrame:
+    """rows with <key>_met: whether the bitmap has the key; null keys it never has."""
+    for k in keys:
+        place = F.pmod(k, F.lit(bits)) + 1
+        rows = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": F.bitmap_bit_position(place).cast("int")})
+        # At most MOST_BITS / 32768 rows of 8 KB.
+        rows = rows.join(F.broadcast(bitmap.withColumnRenamed("bucket", "_bucket")), "_bucket", "left")
+        bit = F.expr("shiftright(get(cells, _at div 32), cast((3 - (_at div 8) % 4) * 8 + _at % 8 as int)) & 1 = 1")
+        rows = rows.withColumn(f"{k}_met", F.coalesce(bit, F.lit(False))).drop("_bucket", "_at", "cells")
+    return rows
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """id, hash, place and near (false: same words) of every line to drop, once for equal rows."""
     words = F.col("words")
-    sides = F.concat(half_keys(words, 0), half_keys(words, 1))
+    halves = {f"s{side}{n}": key for side in (0, 1) for n, key in enumerate(half_keys(words, side))}
     k1, k2 = F.xxhash64("words"), F.xxhash64("words", F.lit(1))
-    narrow = stored(lines(docs, MIN_WORDS).select("id", "hash", "place", k1.alias("k1"), k2.alias("k2"), sides.alias("sides")))
+    narrow = stored(lines(docs, MIN_WORDS).select("id", "hash", "place", k1.alias("k1"), k2.alias("k2"), *[v.alias(k) for k, v in halves.items()]))
     order = F.struct("id", "hash", "place")
     again = narrow.groupBy("k1", "k2").agg(F.min(order).alias("ord"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "ord")
     exact = narrow.select("id", "hash", "place", "k1", "k2").join(again, ["k1", "k2"]).where(order != F.col("ord")).select("id", "hash", "place")
 
-    paired = narrow.select(F.explode("sides").alias("side"), "k1").groupBy("side").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least != most")
-    bucket, position = _bit(F.col("side"))
-    cell = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.hex(F.substring("bitmap", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
-    bitmap = cut(paired.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap")).select("bucket", cell.alias("cells")))
-    tag = lambda side: F.transform(half_keys(words, side), lambda k: F.struct(_bit(k)[0].alias("bucket"), _bit(k)[1].alias("at"), F.lit(side).alias("side")))
-    tried = lines(docs, NEAR_WORDS - 1).select("id", "hash", "place", "words", F.inline(F.concat(tag(0), tag(1))))
-    met = tried.join(F.broadcast(bitmap), "bucket")  # at most BITMAP_BITS / 32768 rows of 8 KB
-    met = met.where(F.expr("shiftright(get(cells, at div 32), cast((3 - (at div 8) % 4) * 8 + at % 8 as int)) & 1 = 1"))
-    near = met.select("id", "hash", "place", "words", k1.alias("k1"), k2.alias("k2"), "side").groupBy("k1", "k2").agg(F.min(order).alias("ord"), F.first("words").alias("words"), F.bool_or(F.col("side") == 0).alias("begins"), F.bool_or(F.col("side") == 1).alias("ends"))
-    near = stored(near.select("ord", "words", "begins", "ends"))
+    sides = narrow.select(F.explode(F.array_compact(F.array(*halves))).alias("side"), "k1")
+    paired = cut(sides.groupBy("side").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least != most").select("side"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * paired.count()).bit_length()))
+    tried = lines(docs, NEAR_WORDS - 1).select("id", "hash", "place", "words", *[v.alias(k) for k, v in halves.items()])
+    begins, ends = F.col("s00_met") | F.col("s01_met"), F.col("s10_met") | F.col("s11_met")
+    met = _marked(tried, list(halves), _bitmap(paired, bits), bits).where(begins | ends)
+    near = met.groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.min(order).alias("ord"), F.first("words").alias("words"), F.first(begins).alias("begins"), F.first(ends).alias("ends"))
+    # Numbers that rise with the order, as partitions follow it: the least number of a key is its earliest line.
+    near = stored(near.orderBy("ord").select("ord", "words", "begins", "ends", F.monotonically_increasing_id().alias("line")))
     # A partner by the first half differs after it, one by the last half before it.
     m = F.size("words")
     least = F.least(_half(m), _half(m - 1))
     from_, to = F.when(F.col("ends"), F.lit(0)).otherwise(least), F.when(F.col("begins"), m).otherwise(m - least)
-    keys = near.select("ord", F.explode(F.array_distinct(variants(words, from_, to))).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("ord").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(heads, "key").where("head < ord").select("ord", "head").distinct()
-    known = near.select("ord", "words")
-    checked = pairs.join(known, "ord").join(known.toDF("head", "head_words"), "head").where(F.size("words") >= NEAR_WORDS).where(within_one(F.col("words"), F.col("head_words")))
+    keys = near.select("line", F.explode(variants(words, from_, to)).alias("key"))
+    heads = keys.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("_most")).where("head != _most").drop("_most")
+    pairs = keys.join(heads, "key").where("head < line").select("line", "head").distinct()
+    known = near.select("line", "ord", "words")
+    checked = pairs.join(known, "line").join(known.select(F.col("line").alias("head"), F.col("words").alias("head_words")), "head")
+    checked = checked.where(F.size("words") >= NEAR_WORDS).where(within_one(F.col("words"), F.col("head_words")))
     # The first of equal lines goes for being near; the others go as its copies.
     return exact.select("id", "hash", "place", F.lit(False).alias("near")).distinct().union(checked.select("ord.id", "ord.hash", "ord.place", F.lit(True)).distinct())
 
