@@ -7,10 +7,13 @@ all mandatory words, in exactly the template's wording. Words are runs of letter
 characters in lower case, so punctuation, case and white space never matter.
 
 Besides, fixed phrases label a text wherever their words stand consecutively. The score is the largest
-share of a template's mandatory words that one place of the text reads through, 1.0 where a template or a
-phrase is found.
+share, in whole tenths, of a template's mandatory words that one place of the text reads through, and 1.0
+where a phrase is found.
 
-Null and empty texts have no words, no labels and score 0. Repeated rows give equal rows.
+Null and empty texts have no words, no labels and score 0. Repeated rows give equal rows; labels found at
+several places or by several templates are named once. An empty table gives an empty result. A very long
+text is read whole, as one list of words; an automaton stops where no state is left. Only doc_id and text
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,32 +33,82 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+_VAR = "<<var;name={};original={};match=.{{{},{}}}>>"
+_HOLDERS = _VAR.format("holders", "the copyright holders and contributors", 1, 8)
 #: License wordings as templates, with the label that each gives.
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    f"<<beginOptional>>3.<<endOptional>> Neither the name of {_HOLDERS} nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_TAIL = (
+    f"THIS SOFTWARE IS PROVIDED BY {_HOLDERS} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS "
+    f"FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {_HOLDERS} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+    "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES: dict[str, list[str]] = {
     "mit": [
-        "<<var;name=verb;original=Released;match=.{1,2}>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name=work;original=this software and associated documentation files;match=.{1,8}>> (the \"Software\"), "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        f"{_VAR.format('verb', 'Released', 1, 2)} under the <<beginOptional>>terms of the<<endOptional>> MIT License",
+        f"Permission is hereby granted, free of charge, to any person obtaining a copy of {_VAR.format('work', 'this software and associated documentation files', 1, 8)} (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+        "<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        f"NONINFRINGEMENT. IN NO EVENT SHALL {_HOLDERS} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache-2": [
         "Licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        f"{_VAR.format('url', 'http://www.apache.org/licenses/LICENSE-2.0', 1, 10)} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+        "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "gpl-3": [
         "<<beginOptional>>This work is<<endOptional>> licensed under the GNU General Public License, <<beginOptional>>version<<endOptional>> 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        f"{_VAR.format('program', 'This program', 1, 4)} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>.",
+    ],
+    "gpl-2": [
+        "licensed under the GNU General Public License, version 2",
+        f"{_VAR.format('program', 'This program', 1, 4)} is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation; either version 2 of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>.",
     ],
-    "gpl-2": ["licensed under the GNU General Public License, version 2"],
     "lgpl": ["licensed under the GNU Lesser General Public License"],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License <<beginOptional>>version<<endOptional>> 2.0"],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "<<var;name=verb;original=Released;match=.{1,2}>> under the <<var;name=kind;original=3-clause;match=.{1,3}>> BSD License",
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        f"{_VAR.format('url', 'https://mozilla.org/MPL/2.0/', 1, 8)}",
+        "licensed under the Mozilla Public License <<beginOptional>>version<<endOptional>> 2.0",
+    ],
+    "bsd": [f"{_VAR.format('verb', 'Released', 1, 2)} under the {_VAR.format('kind', '3-clause', 1, 3)} BSD License"],
+    "bsd-2": [_BSD_HEAD + _BSD_TAIL],
+    "bsd-3": [_BSD_HEAD + _BSD_NAMES + _BSD_TAIL],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
+        f"appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND {_VAR.format('author', 'THE AUTHOR', 1, 6)} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        f"WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {_VAR.format('author', 'THE AUTHOR', 1, 6)} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE "
+        "OF THIS SOFTWARE.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "<<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, "
+        "an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must "
+        "not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form "
+        "or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "cc-by": ["Licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY 4.0"],
-    "cc-by-sa": ["Licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY-SA <<var;name=version;original=4.0;match=.{2,2}>>"],
-    "cc-by-nc": ["Licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY-NC <<var;name=version;original=4.0;match=.{2,2}>>"],
+    "cc-by-sa": [f"Licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY-SA {_VAR.format('version', '4.0', 2, 2)}"],
+    "cc-by-nc": [f"Licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY-NC {_VAR.format('version', '4.0', 2, 2)}"],
     "cc0": ["dedicated to the public domain under <<beginOptional>>the<<endOptional>> CC0 1.0"],
 }
 _MARKUP = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
@@ -187,7 +240,7 @@ class Scanner:
             for a, back in self.by_word.get(w, ()):
                 if i >= back:
                     end, read = a.read(words, i - back)
-                    score = max(score, read / a.mandatory())
+                    score = max(score, 10 * read // a.mandatory() / 10)
                     if end >= 0:
                         labels.add(a.label)
         if base:
@@ -218,20 +271,46 @@ def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return scan(docs)
 
 
-def _sql_pattern(template: str) -> str:
-    """A template as a regular expression over words that each end in a blank, for the check in SQL."""
-    out, last = "", 0
+def _sql_pattern(template: str, most: int | None = None) -> str:
+    """A template as a regular expression over words that each end in a blank, for the check in SQL.
+
+    With `most`, of its begin that ends with so many mandatory words.
+    """
+    out, last, read, inside = "", 0, 0, False
+
+    def wording(text: str) -> bool:
+        nonlocal out, read
+        for w in words_of(text):
+            out += f"{w} "
+            read += not inside
+            if read == most and not inside:
+                return True
+        return False
+
     for m in _MARKUP.finditer(template):
-        out += "".join(f"{w} " for w in words_of(template[last : m.start()]))
+        if wording(template[last : m.start()]):
+            return " " + out
         last = m.end()
         if m[1] == "beginOptional":
-            out += "(?:"
+            out, inside = out + "(?:", True
         elif m[1] == "endOptional":
-            out += ")?"
+            out, inside = out + ")?", False
         else:
-            least, most = re.search(r"match=\.\{(\d+),(\d+)\}", m[1]).groups()
-            out += f"(?:[^ ]+ ){{{least},{most}}}"
-    return " " + out + "".join(f"{w} " for w in words_of(template[last:]))
+            least, longest = re.search(r"match=\.\{(\d+),(\d+)\}", m[1]).groups()
+            out += f"(?:[^ ]+ ){{{least},{longest}}}"
+    wording(template[last:])
+    return " " + out
+
+
+def _sql_share(template: str) -> str:
+    """Tenths of the template's mandatory words that a line reads through; the next tenth is tried only after the last."""
+    words = compile_template("", template).mandatory()
+    steps = {-(-t * words // 10): t for t in range(1, 11)}  # words needed to the largest tenth that they give
+    cases, done = "", 0
+    for n, t in steps.items():
+        cases += f" WHEN NOT regexp_matches(line, '{_sql_pattern(template, n)}') THEN {done}"
+        done = t
+    return f"CASE{cases} ELSE 10 END"
 
 
 def _oracle() -> str:
@@ -242,17 +321,19 @@ def _oracle() -> str:
     count = " + ".join(f"count(p{n})" for n in range(len(phrases)))
     least = ", ".join(f"min(p{n})" for n in range(len(phrases)))
     most = ", ".join(f"max(p{n})" for n in range(len(phrases)))
+    share = ", ".join(_sql_share(t) for many in TEMPLATES.values() for t in many)
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 x AS (SELECT doc_id, words, unnest(range(0, greatest(len(words), 1))) AS i FROM w),
 s AS (SELECT doc_id, i, {spots} FROM x),
 b AS (SELECT doc_id, {count} AS n_base, least({least}) AS first_word, greatest({most}) AS last_word, {base} AS base FROM s GROUP BY doc_id),
-m AS (SELECT doc_id, len(words) AS n_words, {found} AS own FROM (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM w))
+m AS (SELECT doc_id, len(words) AS n_words, {found} AS own, greatest({share}) AS tenths FROM (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM w))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_base AS BIGINT) AS n_base, first_word, last_word,
-       array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') AS labels
+       array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') AS labels,
+       CASE WHEN n_base > 0 THEN CAST(1 AS DOUBLE) ELSE tenths / CAST(10 AS DOUBLE) END AS score
 FROM b JOIN m USING (doc_id)
 """
 
 
-#: Everything but the score, for small tables.
+#: For small tables.
 ORACLE = _oracle()

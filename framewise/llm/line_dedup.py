@@ -27,8 +27,8 @@ from .winnowing import let
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 #: Bits of the bitmap of half lines with a partner: BITS_EACH for each, rounded up to a power of two within these
-#: bounds. It is broadcast, so 64 MB at most; above 32 million half lines more lines than need be emit variants.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 22, 1 << 29
+#: bounds. It is broadcast, as 128 MB at most; from some 10 million half lines on more lines than need be emit variants.
+BITS_EACH, LEAST_BITS, MOST_BITS = 256, 1 << 22, 1 << 29
 #: Half lengths from here on are rounded down to multiples of it, so that lines of m and m + 1 words mostly agree.
 ROUND = 8
 #: The blanks of the word rule besides the space and the end of a line.
