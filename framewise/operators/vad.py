@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,64 +102,89 @@ def pad_regions(regions: DataFrame, totals: DataFrame, pad: int) -> DataFrame:
     return known.select("rec", F.least(start, F.col("total")).cast("long").alias("start_sample"), end.cast("long").alias("end_sample")).where("end_sample > start_sample")
 
 
-def fold_regions(probs: list[float], total: int, cfg: VadConfig) -> list[tuple[int, int]]:
-    """Speech with a longest duration: an overlong stretch is split at a silence inside it, or cut.
+def longest_region(cfg: VadConfig) -> int | None:
+    """Samples that a region may have before it is split: max_speech less a chunk and both paddings."""
+    return None if cfg.max_speech == float("inf") else max(0, samples(cfg.max_speech) - CHUNK - 2 * samples(cfg.pad))
 
-    A region may be as long as max_speech less a chunk and both paddings. The split is the longest silence
-    that falls to split_threshold; else the longest (longest_silence) or the last; else the current chunk.
+
+def bounded_regions(loud: np.ndarray, quiet: np.ndarray, prob: np.ndarray, chunks: int, cfg: VadConfig) -> list[tuple[int, int]]:
+    """Regions in chunks, from the sorted chunks at or above the entry threshold and below the exit threshold.
+
+    It goes from one decision to the next: a region, counted afresh from some chunk, either ends in a silence
+    (quiet chunks without a loud one between them) that lasts min_silence, or first passes its longest duration.
+    Then it is split at a silence that a loud chunk has ended by then: the longest of those that fall to
+    split_threshold, else the longest or the last of all; without one it is cut, and the next loud chunk begins anew.
     """
-    most = max(0, samples(cfg.max_speech) - CHUNK - 2 * samples(cfg.pad)) if cfg.max_speech != float("inf") else None
-    out: list[tuple[int, int]] = []
-    start: int | None = None
-    quiet: tuple[int, float] | None = None  # where the silence in progress began, and its least probability
-    splits: list[tuple[int, int, float]] = []  # begin, end, least probability
-
-    def close(end: int) -> None:
-        if end > start and end - start >= samples(cfg.min_speech):
-            out.append((start, min(end, total)))
-
-    for i, p in enumerate(probs):
-        now = i * CHUNK
-        if p >= cfg.entry:
-            if quiet and now - quiet[0] > samples(cfg.split_silence):
-                splits.append((quiet[0], now, quiet[1]))
-            quiet = None
-            if start is None:
-                start = now
-                continue
-        if start is not None and most is not None and now - start > most:
-            deep = [s for s in splits if s[2] <= cfg.split_threshold]
-            pick = None
-            if deep or splits and cfg.longest_silence:
-                pick = max(deep or splits, key=lambda s: s[1] - s[0])
-            elif splits:
-                pick = splits[-1]
-            close(pick[0] if pick else now)
-            start = pick[1] if pick and pick[1] < now else None
-            splits, quiet = [], None
-            if start is None:
-                continue
-        if p < cfg.exit and start is not None:
-            quiet = (quiet[0], min(quiet[1], p)) if quiet else (now, p)
-            if now - quiet[0] >= samples(cfg.min_silence):
-                close(quiet[0])
-                start, quiet, splits = None, None, []
-    if start is not None:
-        close(total)
-    return out
+    most, chunk_of = longest_region(cfg), lambda n: -(-n // CHUNK)
+    group = np.searchsorted(loud, quiet, "right")
+    found: list[tuple[int, int]] = []
+    start = fresh = int(loud[0]) if len(loud) else None
+    checked = -1  # the last chunk at which the duration was looked at
+    while start is not None:
+        over = chunks if most is None else max(start + most // CHUNK + 1, checked + 1)
+        at = slice(*np.searchsorted(quiet, (fresh, min(over, chunks) + 1)))
+        q, g, p = quiet[at], group[at], prob[at]
+        heads = np.flatnonzero(np.diff(g, prepend=-1))
+        first = np.repeat(q[heads], np.diff(np.append(heads, len(q))))
+        done = np.flatnonzero((q - first >= chunk_of(samples(cfg.min_silence))) & (q < over))
+        if len(done):
+            found.append((start, int(first[done[0]])))
+            start = fresh = _after(loud, int(q[done[0]]))
+            continue
+        if over >= chunks:
+            found.append((start, chunks))
+            break
+        ended = [(int(q[h]), int(loud[g[h]]), float(low)) for h, low in zip(heads, np.minimum.reduceat(p, heads) if len(heads) else (), strict=True) if g[h] < len(loud) and loud[g[h]] <= over]
+        splits = [x for x in ended if (x[1] - x[0]) * CHUNK > samples(cfg.split_silence)]
+        deep = [x for x in splits if x[2] <= cfg.split_threshold]
+        if deep or (splits and cfg.longest_silence):
+            end, again, _ = max(deep or splits, key=lambda x: x[1] - x[0])
+        else:
+            end, again, _ = splits[-1] if splits else (over, over, 0.0)
+        found.append((start, end))
+        checked, fresh = over, over
+        if again < over:
+            start = again
+        else:
+            start = fresh = _after(loud, over)
+    return found
+
+
+def _after(loud: np.ndarray, chunk: int) -> int | None:
+    i = int(np.searchsorted(loud, chunk, "right"))
+    return int(loud[i]) if i < len(loud) else None
 
 
 def split_regions(vad: DataFrame, cfg: VadConfig | None = None) -> DataFrame:
-    """speech_regions with the longest duration of cfg; a recording's chunks are folded in order."""
+    """speech_regions with the longest duration of cfg.
+
+    Only loud and quiet chunks go on. A silence of three times min_silence ends any region, whatever was split
+    in it (a split in a silence makes it count afresh, and that happens twice at most), so a recording falls
+    apart there into parts that are worked on independently.
+    """
     cfg = cfg or VadConfig()
+    w = Window.partitionBy("rec").orderBy("chunk")
+    loud = F.col("prob") >= cfg.entry
+    known = vad.select("rec", "chunk", "prob", loud.alias("loud"), (F.max("chunk").over(Window.partitionBy("rec")) + 1).alias("total"))
+    known = known.where(F.col("loud") | (F.col("prob") < cfg.exit)).withColumn("anchor", F.sum(F.col("loud").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("anchor > 0")
+    silence = Window.partitionBy("rec", "anchor")
+    calm = F.when(~F.col("loud"), F.col("chunk"))
+    span = F.coalesce(F.max(calm).over(silence) - F.min(calm).over(silence), F.lit(0))
+    ends = F.col("loud") & (span >= 3 * (samples(cfg.min_silence) // CHUNK + 2))
+    parts = known.withColumn("ends", ends.cast("int")).withColumn("part", F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # The quiet chunks after a part's last loud one count to that part.
+    parts = parts.withColumn("part", F.col("part") - F.when(F.col("loud"), F.lit(0)).otherwise(F.max("ends").over(silence)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        found = fold_regions(pdf["prob"].tolist(), len(pdf) * CHUNK, cfg)
-        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]] * len(found), "start_sample": [a for a, _ in found], "end_sample": [b for _, b in found]})
+        total, on = int(pdf["total"].iloc[0]), pdf["loud"].to_numpy()
+        at, prob = pdf["chunk"].to_numpy(), pdf["prob"].to_numpy()
+        found = [(x * CHUNK, y * CHUNK) for x, y in bounded_regions(at[on], at[~on], prob[~on], total, cfg)]
+        found = [(x, y) for x, y in found if y > x and y - x >= samples(cfg.min_speech)]
+        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]] * len(found), "start_sample": [x for x, _ in found], "end_sample": [y for _, y in found]})
 
     kind = dict(vad.dtypes)["rec"]
-    return vad.select("rec", "chunk", "prob").groupBy("rec").applyInPandas(run, f"rec {kind}, start_sample long, end_sample long")
+    return parts.select("rec", "part", "chunk", "prob", "loud", "total").groupBy("rec", "part").applyInPandas(run, f"rec {kind}, start_sample long, end_sample long")
 
 
 def stream_events(vad: DataFrame, cfg: VadConfig | None = None, resolution: int | None = None) -> DataFrame:

@@ -93,3 +93,43 @@ def test_assignment_is_cheapest(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "rec int, frame long, track int, prob double")
     assert segments.build_segments(df).count() == 0 and segments.hysteresis(df).count() == 0
+
+
+def test_split_regions_cases():
+    """Regions in chunks, worked out by hand: 0.256 s a chunk, at most 5 chunks (1.536 s less a chunk)."""
+    cfg = vad.VadConfig(threshold=0.5, offset=0.2, min_speech=0, min_silence=0.75, max_speech=1.536, pad=0, split_silence=0.2)
+
+    def regions(text, **other):
+        p = np.array([{"L": 0.9, "m": 0.4, "q": 0.2, "d": 0.1}[c] for c in text])
+        own, at = vad.VadConfig(**{**vars(cfg), **other}), np.arange(len(p))
+        return vad.bounded_regions(at[p >= own.entry], at[p < own.exit], p[p < own.exit], len(p), own)
+
+    assert regions("mLLLm") == [(1, 5)]
+    assert regions("LLqqqL") == [(0, 6)]  # the third quiet chunk begins 0.512 s after the first: too short
+    assert regions("LLqqqqL") == [(0, 2), (6, 7)]  # the fourth begins 0.768 s after it
+    assert regions("LLLLLLLLL") == [(0, 6), (7, 9)]  # no silence: cut, and the next loud chunk begins anew
+    assert regions("LqLLLLLL") == [(0, 1), (2, 8)]  # split at the only silence
+    assert regions("LqLqqLLL") == [(0, 3), (5, 8)]  # the longest of two
+    assert regions("LqqLqLLL", longest_silence=False, split_threshold=0.0) == [(0, 4), (5, 8)]  # the last
+    assert regions("LdLqqLLL", split_threshold=0.15) == [(0, 1), (2, 8)]  # a deep one before a longer one
+    assert regions("") == [] and regions("mmq") == []
+
+
+def test_split_regions_in_parts(spark):
+    """Long silences part a recording; the regions are those of the whole recording."""
+    rng, rows = random.Random(6), []
+    for rec in range(12):
+        p = []
+        while len(p) < 400:
+            p += [min(1.0, rng.choice((0.05, 0.15, 0.35, 0.7, 0.9)) + rng.uniform(0, 0.1))] * rng.choice((1, 2, 4, 9, 30))
+        rows += [(rec, i, x) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "rec long, chunk long, prob double")
+    for most, least in ((1.0, 0.3), (3.0, 0.75), (20.0, 0.0)):
+        cfg = vad.VadConfig(threshold=0.5, offset=0.2, min_speech=0.1, min_silence=least, max_speech=most, pad=0.05)
+        want = set()
+        for rec in range(12):
+            p = np.array([x for r, _, x in rows if r == rec])
+            at, loud, calm = np.arange(len(p)), p >= cfg.entry, p < cfg.exit
+            found = vad.bounded_regions(at[loud], at[calm], p[calm], len(p), cfg)
+            want |= {(rec, x * vad.CHUNK, y * vad.CHUNK) for x, y in found if (y - x) * vad.CHUNK >= max(1, vad.samples(cfg.min_speech))}
+        assert {tuple(r) for r in vad.split_regions(df, cfg).collect()} == want
