@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from framewise.operators import evaluate, segments, vad
