@@ -5,7 +5,8 @@ turns: rec, start, duration, speaker. binary: rec, frame, track, active.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.timebase import time_to_frames
@@ -45,59 +46,110 @@ def median_filter(binary: DataFrame, width: int) -> DataFrame:
     return binary.select("rec", "frame", "track", (F.sum("active").over(w) * 2 >= F.count("*").over(w)).cast("int").alias("active"))
 
 
-def collar_mask(dense: DataFrame, collar: int) -> DataFrame:
-    """rec, frame, valid: false within collar frames of a change of any track, or of an end that is active."""
+def _near_change(dense: DataFrame, collar: int) -> DataFrame:
+    """dense with near: within collar frames of a change of the track, or of its end if that is active."""
     if collar == 0:
-        return dense.select("rec", "frame", F.lit(True).alias("valid")).distinct()
-    w = Window.partitionBy("rec", "track").orderBy("frame")
-    change = dense.select("rec", "track", "frame", "active", (F.col("active") != F.lag("active", 1, 0).over(w)).cast("int").alias("change"), F.max("frame").over(Window.partitionBy("rec", "track")).alias("last"))
-    last_on = F.max(F.when(F.col("frame") == F.col("last"), F.col("active"))).over(Window.partitionBy("rec", "track"))
+        return dense.select("rec", "track", "frame", "active", F.lit(False).alias("near"))
+    w, track = Window.partitionBy("rec", "track").orderBy("frame"), Window.partitionBy("rec", "track")
+    change = dense.select("rec", "track", "frame", "active", (F.col("active") != F.lag("active", 1, 0).over(w)).cast("int").alias("change"), F.max("frame").over(track).alias("last"))
+    last_on = F.max(F.when(F.col("frame") == F.col("last"), F.col("active"))).over(track)
     near = (F.max("change").over(w.rowsBetween(-(collar - 1), collar)) == 1) | ((last_on == 1) & (F.col("frame") > F.col("last") - collar))
-    return change.select("rec", "frame", near.alias("near")).groupBy("rec", "frame").agg((~F.bool_or("near")).alias("valid"))
+    return change.select("rec", "track", "frame", "active", near.alias("near"))
 
 
-def pair_counts(pred: DataFrame, ref: DataFrame, mask: DataFrame) -> DataFrame:
-    """rec, ref_track, pred_track, ref_frames, pred_frames, overlap and cost over valid frames, for all pairs."""
-    valid = mask.where("valid").select("rec", "frame")
-    p = pred.join(valid, ["rec", "frame"], "left_semi")
-    r = ref.join(valid, ["rec", "frame"], "left_semi")
-    pn = p.groupBy("rec", F.col("track").alias("pred_track")).agg(F.sum("active").cast("long").alias("pred_frames"))
-    rn = r.groupBy("rec", F.col("track").alias("ref_track")).agg(F.sum("active").cast("long").alias("ref_frames"))
-    both = p.where("active = 1").select("rec", "frame", F.col("track").alias("pred_track")).join(r.where("active = 1").select("rec", "frame", F.col("track").alias("ref_track")), ["rec", "frame"])
+def collar_mask(dense: DataFrame, collar: int) -> DataFrame:
+    """rec, frame, valid: false within collar frames of a change of any track, or of an end that is active."""
+    return _near_change(dense, collar).groupBy("rec", "frame").agg((~F.bool_or("near")).alias("valid"))
+
+
+def _frame_sets(pred: DataFrame, ref: DataFrame) -> DataFrame:
+    """rec, frame, ref and pred, the tracks of a frame with their active flags, for the frames that count.
+
+    ref: rec, frame, track, active and near; its frames are the grid. All that follows is worked out from
+    these rows, one for each frame.
+    """
+    track = F.struct("track", "active")
+    one = ref.select("rec", "frame", track.alias("r"), F.lit(None).cast(pred.select(track.alias("x")).schema["x"].dataType).alias("p"), "near")
+    two = pred.select("rec", "frame", F.lit(None).cast(one.schema["r"].dataType).alias("r"), track.alias("p"), F.lit(False).alias("near"))
+    both = one.union(two).groupBy("rec", "frame")
+    sets = both.agg(F.collect_list("r").alias("ref"), F.collect_list("p").alias("pred"), F.bool_or("near").alias("near"))
+    return sets.where("size(ref) > 0 and not near").drop("near")
+
+
+def _active(tracks: str) -> Column:
+    return F.transform(F.filter(tracks, lambda x: x["active"] == 1), lambda x: x["track"])
+
+
+def _pair_counts(sets: DataFrame) -> DataFrame:
+    count = lambda side, name: sets.select("rec", F.inline(side)).groupBy("rec", F.col("track").alias(f"{name}_track")).agg(F.sum("active").cast("long").alias(f"{name}_frames"))
+    both = sets.select("rec", _active("ref").alias("r"), F.explode(_active("pred")).alias("pred_track")).select("rec", "pred_track", F.explode("r").alias("ref_track"))
     hits = both.groupBy("rec", "ref_track", "pred_track").agg(F.count("*").alias("overlap"))
-    out = rn.join(pn, "rec").join(hits, ["rec", "ref_track", "pred_track"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
+    out = count("ref", "ref").join(count("pred", "pred"), "rec").join(hits, ["rec", "ref_track", "pred_track"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
     a, b, o = F.col("ref_frames"), F.col("pred_frames"), F.col("overlap")
     return out.withColumn("cost", F.greatest(a - b, F.lit(0)) + F.greatest(b - a, F.lit(0)) + F.least(a, b) - o)
 
 
-def optimal_assignment(costs: DataFrame, most_tracks: int = 10) -> DataFrame:
+def pair_counts(pred: DataFrame, ref: DataFrame, mask: DataFrame) -> DataFrame:
+    """rec, ref_track, pred_track, ref_frames, pred_frames, overlap and cost over valid frames, for all pairs."""
+    valid = mask.where("valid").select("rec", "frame")
+    return _pair_counts(_frame_sets(pred, ref.join(valid, ["rec", "frame"], "left_semi").withColumn("near", F.lit(False))))
+
+
+def cheapest(cost: list[list[int]]) -> list[int]:
+    """The column of each row in the cheapest one-to-one matching, of equals the smallest in order; rows <= columns.
+
+    Each row in turn is brought in by a shortest path over reduced costs. Costs carry the columns as digits
+    below them, so that no two matchings cost the same.
+    """
+    rows, columns = len(cost), len(cost[0]) if cost else 0
+    weight = [columns ** (rows - 1 - i) for i in range(rows)]
+    exact = [[c * columns**rows + j * weight[i] for j, c in enumerate(line)] for i, line in enumerate(cost)]
+    row_price, column_price = [0] * rows, [0] * columns
+    owner: dict[int, int] = {}
+    for new in range(rows):
+        reach: dict[int, tuple[int, int | None]] = {}  # column: cost of the cheapest path to it, column before it
+        settled: dict[int, int] = {}
+        row, base, via = new, 0, None
+        while True:
+            for j in range(columns):
+                step = base + exact[row][j] - row_price[row] - column_price[j]
+                if j not in settled and (j not in reach or step < reach[j][0]):
+                    reach[j] = (step, via)
+            via = min((j for j in reach if j not in settled), key=lambda j: (reach[j][0], j))
+            base = settled[via] = reach[via][0]
+            if via not in owner:
+                break
+            row = owner[via]
+        row_price[new] += base
+        for j, at in settled.items():
+            if j in owner:
+                row_price[owner[j]] += base - at
+            column_price[j] -= base - at
+        while via is not None:
+            before = reach[via][1]
+            owner[via] = new if before is None else owner[before]
+            via = before
+    return [j for _, j in sorted((i, j) for j, i in owner.items())]
+
+
+def optimal_assignment(costs: DataFrame) -> DataFrame:
     """rec, ref_track, pred_track of the cheapest one-to-one matching; of equals the smallest path.
 
-    costs: rec, ref_track, pred_track, cost for all pairs. Each level gives the next track of the shorter
-    side a free track of the other, and keeps the cheapest path for each set of tracks in use, so a
-    recording has at most 2^10 states.
+    costs: rec, ref_track, pred_track, cost for all pairs. The path is the partners' order for each track of the
+    shorter side in order. A recording's matrix, which has no more rows than tracks, is solved as one group.
     """
-    by = Window.partitionBy("rec")
-    costs = cut(costs.select("rec", "ref_track", "pred_track", "cost"))  # small, and read at every level
-    ranked = costs.select("*", (F.dense_rank().over(by.orderBy("ref_track")) - 1).alias("r"), (F.dense_rank().over(by.orderBy("pred_track")) - 1).alias("p"))
-    ranked = ranked.withColumns({"nr": F.max("r").over(by) + 1, "np": F.max("p").over(by) + 1})
-    flip = F.col("nr") > F.col("np")
-    sided = ranked.select("rec", "ref_track", "pred_track", "cost", F.when(flip, F.col("p")).otherwise(F.col("r")).alias("row"), F.when(flip, F.col("r")).otherwise(F.col("p")).alias("col"), F.least("nr", "np").alias("levels"))
-    top = sided.agg(F.max("levels"), F.max("col")).first()
-    if top[0] is None:
-        return costs.select("rec", "ref_track", "pred_track").where(F.lit(False))
-    if top[1] >= most_tracks:
-        raise ValueError(f"more than {most_tracks} tracks in a recording")
-    cells = sided.select("rec", "row", "col", "cost")
-    empty = F.array().cast("array<int>")
-    states = sided.groupBy("rec").agg(F.max("levels").alias("levels")).select("rec", "levels", F.lit(0).alias("mask"), F.struct(F.lit(0).cast("long").alias("cost"), empty.alias("path")).alias("best"))
-    for level in range(top[0]):
-        done = states.where(F.col("levels") <= level)
-        step = states.where(F.col("levels") > level).join(cells.where(F.col("row") == level).drop("row"), "rec").where(F.expr("mask & shiftleft(1, col) = 0"))
-        moved = step.select("rec", "levels", F.expr("mask | shiftleft(1, col)").alias("mask"), F.struct((F.col("best.cost") + F.col("cost")).alias("cost"), F.concat("best.path", F.array("col")).alias("path")).alias("best"))
-        states = done.unionByName(moved.groupBy("rec", "levels", "mask").agg(F.min("best").alias("best")))
-    best = states.groupBy("rec").agg(F.min("best").alias("best")).select("rec", F.posexplode("best.path").alias("row", "col"))
-    return sided.join(best, ["rec", "row", "col"]).select("rec", "ref_track", "pred_track")
+    kinds = dict(costs.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = pdf.pivot(index="ref_track", columns="pred_track", values="cost").sort_index().sort_index(axis=1)
+        flip = len(grid) > len(grid.columns)
+        table = grid.T if flip else grid
+        pairs = [(table.index[i], table.columns[j]) for i, j in enumerate(cheapest([[int(x) for x in line] for line in table.to_numpy()]))]
+        pairs = [(b, a) for a, b in pairs] if flip else pairs
+        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]] * len(pairs), "ref_track": [a for a, _ in pairs], "pred_track": [b for _, b in pairs]})
+
+    some = costs.where("rec is not null").select("rec", "ref_track", "pred_track", "cost")
+    return some.groupBy("rec").applyInPandas(run, f"rec {kinds['rec']}, ref_track {kinds['ref_track']}, pred_track {kinds['pred_track']}")
 
 
 def apply_assignment(pred: DataFrame, assignment: DataFrame, grid: DataFrame) -> DataFrame:
@@ -117,15 +169,12 @@ def der(pred: DataFrame, ref: DataFrame, threshold: float = 0.5, median: int = 1
     count as false alarms; der is 0 where nothing is scored.
     """
     hard = median_filter(binarize(pred, threshold), median) if median > 1 else binarize(pred, threshold)
-    mask = collar_mask(ref, collar)
-    hard, mask = cut(hard), cut(mask)
-    assign = cut(optimal_assignment(pair_counts(hard, ref, mask)))
-    valid = mask.where("valid").select("rec", "frame")
-    named = hard.where("active = 1").join(assign.withColumnRenamed("pred_track", "track"), ["rec", "track"], "left")
-    pn = named.groupBy("rec", "frame").agg(F.count("*").alias("p"))
-    rn = ref.where("active = 1").groupBy("rec", "frame").agg(F.count("*").alias("r"))
-    hit = named.where("ref_track is not null").select("rec", "frame", F.col("ref_track").alias("track")).join(ref.where("active = 1").select("rec", "frame", "track"), ["rec", "frame", "track"]).groupBy("rec", "frame").agg(F.count("*").alias("o"))
-    per = valid.join(rn, ["rec", "frame"], "left").join(pn, ["rec", "frame"], "left").join(hit, ["rec", "frame"], "left").fillna(0, ["r", "p", "o"])
+    sets = cut(_frame_sets(hard, _near_change(ref, collar)))
+    assign = optimal_assignment(_pair_counts(sets)).groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("pred_track", "ref_track"))).alias("to"))
+    named = sets.join(assign, "rec", "left").select("rec", _active("ref").alias("ref"), _active("pred").alias("pred"), "to")
+    r, p = F.size("ref"), F.size("pred")
+    o = F.coalesce(F.size(F.array_intersect("ref", F.transform("pred", lambda t: F.try_element_at("to", t)))), F.lit(0))
+    per = named.select("rec", r.alias("r"), p.alias("p"), F.greatest(o, F.lit(0)).alias("o"))
     total = lambda x: F.sum(x).cast("double")
     sums = per.groupBy("rec").agg(
         total(F.col("r")).alias("scored"), total(F.greatest(F.col("r") - F.col("p"), F.lit(0))).alias("miss"),

@@ -91,6 +91,28 @@ def test_assignment_is_cheapest(spark):
         assert sum(m[a][b] for a, b in got[r]) == best
 
 
+def test_cheapest():
+    """Against all permutations, ties by order included; and a recording of 12 by 14 tracks with a known answer."""
+    import itertools
+
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randint(1, 5)
+        m = rng.randint(n, 6)
+        cost = [[rng.randint(0, 3) for _ in range(m)] for _ in range(n)]
+        assert evaluate.cheapest(cost) == min((sum(cost[i][j] for i, j in enumerate(p)), list(p)) for p in itertools.permutations(range(m), n))[1]
+    right = rng.sample(range(14), 12)
+    assert evaluate.cheapest([[0 if right[i] == j else 5 + (i * j) % 7 for j in range(14)] for i in range(12)]) == right
+
+
+def test_many_tracks(spark):
+    """der has no limit on tracks: 12 speakers, renamed, and silent for a frame each."""
+    ref = [(1, f, t, int(f % 12 == t)) for f in range(240) for t in range(12)]
+    pred = [(1, f, 11 - t, 0.9 if a and f >= 12 else 0.1) for _, f, t, a in ref]
+    got = evaluate.der(spark.createDataFrame(pred, "rec int, frame long, track int, prob double"), spark.createDataFrame(ref, "rec int, frame long, track int, active int")).collect()
+    assert [tuple(r) for r in got] == [(1, 240.0, 12.0, 0.0, 0.0, 0.05)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "rec int, frame long, track int, prob double")
     assert segments.build_segments(df).count() == 0 and segments.hysteresis(df).count() == 0
