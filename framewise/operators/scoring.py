@@ -105,8 +105,19 @@ def emission_ledger(chunks: DataFrame, rate: float, nfft: int, hop: int, sub: in
 
 
 def refresh(chunks: DataFrame, every: int) -> DataFrame:
-    """Chunks at which a refresh of at least `every` samples is due: rec, chunk, refresh (its number)."""
-    w = Window.partitionBy("rec").orderBy("chunk")
-    total = F.sum(F.size("samples")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    counted = chunks.select("rec", "chunk", F.floor(total / max(1, every)).alias("refresh"))
-    return counted.withColumn("_before", F.coalesce(F.lag("refresh").over(w), F.lit(0))).where("refresh > _before").drop("_before")
+    """Chunks at which a refresh is due: rec, chunk, refresh (its number from 1).
+
+    One is due at the first chunk by which at least `every` samples (1 at least) have come since the last one.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk", ignore_index=True)
+        total, due, at = pdf["n"].cumsum().to_numpy(), [], 0
+        while (i := int(np.searchsorted(total, at + max(1, every)))) < len(total):
+            due.append(i)
+            at = total[i]
+        return pdf.loc[due, ["rec", "chunk"]].assign(refresh=range(1, len(due) + 1))
+
+    kind = dict(chunks.dtypes)
+    sizes = chunks.select("rec", "chunk", F.greatest(F.size("samples"), F.lit(0)).cast("long").alias("n"))
+    return sizes.groupBy("rec").applyInPandas(run, f"rec {kind['rec']}, chunk {kind['chunk']}, refresh long")

@@ -12,8 +12,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from framewise.operators.cache import CacheConfig
 from framewise.operators.features import MelConfig, mel_filterbank
@@ -179,11 +181,12 @@ def _close(own: Builder, cfg: SegmentConfig, a: int, b: int, long: bool) -> tupl
     return done
 
 
-def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = False) -> DataFrame:
+def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = False, late: Accumulator | None = None) -> DataFrame:
     """rec, track, start_frame, end_frame, finalized: segments as build_segments makes them.
 
     stream: rec, track, frame, prob, is_last. A segment is final once no later frame can reach it. Frames
-    at or before the last one taken are dropped and counted in the state. With tentative rows the query
+    at or before the last one taken are dropped, counted in the state and added to the accumulator `late`
+    (a batch that runs again adds its frames again). With tentative rows the query
     must run in update mode; each batch then tells the current state of what is still open.
     """
     schema = "rec string, track int, start_frame long, end_frame long, finalized boolean"
@@ -198,6 +201,8 @@ def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = Fal
         for f, p, end in zip(rows["frame"], rows["prob"], rows["is_last"], strict=True):
             if f < own.seen:
                 own.late += 1
+                if late is not None:
+                    late.add(1)
                 continue
             own.seen = int(f) + 1
             if not own.on and p > cfg.on:
@@ -387,3 +392,20 @@ def sessions(events: DataFrame, gap: str, delay: str = "10 minutes") -> DataFram
 def to_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> Any:
     """Runs a stream over what is there now and hands each batch to a function, with the batch's number."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Tells a function of each batch of every query of the session: name, batch, rows, seconds. For addListener."""
+
+    def __init__(self, tell: Callable[[str | None, int, int, float], None]) -> None:
+        self.tell = tell
+
+    def onQueryProgress(self, event: Any) -> None:
+        p = event.progress
+        self.tell(p.name, p.batchId, p.numInputRows, p.durationMs.get("triggerExecution", 0) / 1000)
+
+    def onQueryStarted(self, event: Any) -> None: ...
+
+    def onQueryIdle(self, event: Any) -> None: ...
+
+    def onQueryTerminated(self, event: Any) -> None: ...

@@ -1,9 +1,12 @@
 """Streams over many small files give what the batch forms give."""
 
+import random
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from framewise.operators import features, segments, vad
+from framewise.operators import features, scoring, segments, vad
 from framewise.operators.features import MelConfig
 from framewise.operators.segments import SegmentConfig
 from framewise.plans.catalog_streams import last
@@ -73,3 +76,49 @@ def test_cache_matches_batch(spark, sf):
         for r in own:
             m[r.frame, r.track] = r.prob
         assert streams.compress(m, cfg) == got[rec]
+
+
+def test_tentative_and_late(spark, tmp_path):
+    """Two batches: what is open is told as tentative, frames that come late are counted, the rest ends as in one batch."""
+    cfg = SegmentConfig(0.5, 0.5, 0, 0, 0, 0)
+    first = [("a", 0, f, p, False) for f, p in enumerate((0.9, 0.9, 0.1, 0.1, 0.8, 0.8))]
+    second = [("a", 0, 2, 0.9, False), ("a", 0, 5, 0.1, False), ("a", 0, 6, 0.9, False), ("a", 0, 7, 0.1, True)]
+    kind = "rec string, track int, frame long, prob double, is_last boolean"
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
+    late, batches, told = spark.sparkContext.accumulator(0), {}, []
+    listener = streams.Progress(lambda *x: told.append(x))
+    spark.streams.addListener(listener)
+    source = streams.stream_segments(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/b=*"), cfg, True, late)
+    write = lambda x, n: batches.setdefault(n, []).extend((r.start_frame, r.end_frame, r.finalized) for r in x.collect())
+    q = source.writeStream.queryName("segments").outputMode("update").foreachBatch(write).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    time.sleep(2)  # progress comes after the batch
+    spark.streams.removeListener(listener)
+    assert sorted(batches[0]) == [(0, 2, True), (4, 6, False)]
+    assert sorted(batches[1]) == [(4, 7, True)]
+    assert late.value == 2
+    assert {(name, batch, rows) for name, batch, rows, _ in told if rows} == {("segments", 0, 6), ("segments", 1, 4)} and all(x[3] >= 0 for x in told)
+
+
+def test_to_sink(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    seen = []
+    streams.to_sink(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda x, n: seen.append((n, x.count())), f"{tmp_path}/state").awaitTermination()
+    assert sum(n for _, n in seen) == 5
+
+
+def test_refresh(spark):
+    """A refresh counts from the one before, not on a grid: sizes by a plain loop."""
+    rng, rows, want = random.Random(2), [], set()
+    for rec in range(6):
+        waiting, number = 0, 0
+        for chunk in range(40):
+            n = rng.choice((0, 10, 64, 64, 250))
+            rows.append((rec, chunk, [0.0] * n))
+            waiting += n
+            if waiting >= 100:
+                waiting, number = 0, number + 1
+                want.add((rec, chunk, number))
+    df = spark.createDataFrame(rows, "rec int, chunk long, samples array<float>")
+    assert {tuple(r) for r in scoring.refresh(df, 100).collect()} == want
