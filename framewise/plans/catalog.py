@@ -204,11 +204,8 @@ add("j9_upsert_speaker", lambda s, d: segments.upsert_speaker(speakers(s, d).whe
     fr AS (SELECT l.rec, CAST(min(i) AS INT) AS track FROM (SELECT rec, unnest(range(0, 7)) AS i FROM loose) l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.rec = l.rec AND k.track = l.i) AND NOT EXISTS (SELECT 1 FROM fixed f WHERE f.rec = l.rec AND f.track = l.i) GROUP BY l.rec),
     nw AS (SELECT rec, track, name FROM fixed UNION ALL SELECT rec, fr.track, loose.name FROM loose JOIN fr USING (rec))
     SELECT coalesce(k.rec, nw.rec) AS rec, coalesce(k.track, nw.track) AS track, coalesce(nw.name, k.name) AS name FROM k FULL JOIN nw ON k.rec = nw.rec AND k.track = nw.track""", "fx1")
-add("j10_patch_frames", lambda s, d: reshape.patch_frames(fx.activity(s, d).where("frame < 20"), fx.activity(s, d).where("frame % 4 = 1 AND frame < 30").withColumn("prob", F.lit(0.75))),
-    """WITH b AS (SELECT rec, frame, track, CASE WHEN frame % 4 = 1 THEN 0.75::DOUBLE ELSE prob END AS prob FROM fx1 WHERE frame < 20 OR frame % 4 = 1 AND frame < 30), z AS (SELECT rec, max(frame) AS n, max(track) AS t FROM b GROUP BY rec),
-    g AS (SELECT rec, frame, CAST(unnest(range(0, t + 1)) AS INT) AS track FROM (SELECT rec, t, unnest(range(0, n + 1)) AS frame FROM z)) SELECT g.rec, g.frame, g.track, coalesce(b.prob, 0.0::DOUBLE) AS prob FROM g LEFT JOIN b USING (rec, frame, track)""", "fx1")
-# j10 above reads a part of its table, as its SQL does; here the base is the whole, and a patch of every other frame reaches past its end.
-add("j10_patch_frames_whole", lambda s, d: reshape.patch_frames(fx.activity(s, d), fx.activity(s, d).withColumn("frame", F.col("frame") * 2).withColumn("prob", F.lit(0.75))),
+# The base is the whole table, and a patch of every other frame reaches past its end.
+add("j10_patch_frames", lambda s, d: reshape.patch_frames(fx.activity(s, d), fx.activity(s, d).withColumn("frame", F.col("frame") * 2).withColumn("prob", F.lit(0.75))),
     """WITH p AS (SELECT rec, frame * 2 AS frame, track, 0.75::DOUBLE AS q FROM fx1), b AS (SELECT rec, frame, track, coalesce(q, prob) AS prob FROM fx1 FULL JOIN p USING (rec, frame, track)), z AS (SELECT rec, max(frame) AS n, max(track) AS t FROM b GROUP BY rec),
     g AS (SELECT rec, frame, CAST(unnest(range(0, t + 1)) AS INT) AS track FROM (SELECT rec, t, unnest(range(0, n + 1)) AS frame FROM z)) SELECT g.rec, g.frame, g.track, coalesce(b.prob, 0.0::DOUBLE) AS prob FROM g LEFT JOIN b USING (rec, frame, track)""", "fx1")
 add("j11_compare", lambda s, d: evaluate.compare(fx.activity(s, d), fx.activity(s, d).where("rec % 5 > 0 OR frame < 3").withColumn("prob", F.col("prob") * 0.5)).select("rec", F.round("max_abs", 9).alias("max_abs"), F.round("mean_abs", 9).alias("mean_abs")),

@@ -20,6 +20,8 @@ from .catalog import RATE, add
 
 MEL = MelConfig()
 CACHE = CacheConfig()
+#: For the five tracks of the activity table: four places for each, and one of silence.
+CACHE_5 = CacheConfig(capacity=25, tracks=5)
 
 
 def small(s: SparkSession, d: str) -> DataFrame:
@@ -64,27 +66,35 @@ S_POW = S_X + """, n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec),
 fr AS (SELECT f.rec, f.frame, x.sample - f.frame * 16 + 16 AS i, x.x FROM f JOIN x ON x.rec = f.rec AND x.sample BETWEEN f.frame * 16 - 16 AND f.frame * 16 + 15),
 pw AS (SELECT rec, frame, b AS bin, pow(sum(x * cos(2 * pi() * b * i / 32)), 2) + pow(sum(x * sin(2 * pi() * b * i / 32)), 2) AS p FROM fr CROSS JOIN (SELECT CAST(unnest(range(0, 17)) AS INT) AS b) q GROUP BY rec, frame, b)"""
 
+#: Log mel bands: emphasised samples, windowed; bands without a bin are the logarithm of the floor.
+S_MEL = S_X + """, pe AS (SELECT rec, sample, x - 0.97::DOUBLE * coalesce(lag(x) OVER (PARTITION BY rec ORDER BY sample), 0) AS x FROM x),
+n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), f AS (SELECT rec, unnest(range(0, n // 16)) AS frame FROM n),
+fr AS (SELECT f.rec, f.frame, pe.sample - f.frame * 16 + 16 AS i, pe.x FROM f JOIN pe ON pe.rec = f.rec AND pe.sample BETWEEN f.frame * 16 - 16 AND f.frame * 16 + 15),
+fw AS (SELECT rec, frame, i, x * 0.5::DOUBLE * (1 - cos(2 * pi() * i / 32)) AS x FROM fr),
+pw AS (SELECT rec, frame, b AS bin, pow(sum(x * cos(2 * pi() * b * i / 32)), 2) + pow(sum(x * sin(2 * pi() * b * i / 32)), 2) AS p FROM fw CROSS JOIN (SELECT CAST(unnest(range(0, 17)) AS INT) AS b) q GROUP BY rec, frame, b),""" + S_BANK + """,
+lm AS (SELECT rec, frame, mel, ln(sum(weight * p) + 5.9604644775390625e-8::DOUBLE) AS value FROM pw JOIN bank USING (bin) GROUP BY rec, frame, mel)"""
+#: Model input: running mean taken off, every second frame with two on both sides. The last analysis frame is left out.
+S_ROWS = S_MEL + """, nm AS (SELECT rec, frame, mel, value / ln(10::DOUBLE) - avg(value / ln(10::DOUBLE)) OVER (PARTITION BY rec, mel ORDER BY frame) AS value FROM lm JOIN n USING (rec) WHERE frame < n // 32 * 2 - 1),
+nr AS (SELECT rec, unnest(range(0, (max(frame) + 2) // 2)) AS frame FROM nm GROUP BY rec), ns AS (SELECT rec, frame, CAST(unnest(range(0, 40)) AS INT) AS dim FROM nr),
+mi AS (SELECT ns.rec, ns.frame, ns.dim, round(coalesce(value, 0), 5) + 0.0 AS value FROM ns LEFT JOIN nm ON nm.rec = ns.rec AND nm.frame = ns.frame * 2 - 2 + ns.dim // 8 AND nm.mel = ns.dim % 8)"""
+
 
 def power(s: SparkSession, d: str) -> DataFrame:
     return features.power_spectrum(features.analysis_frames(small(s, d), 32, 32, 16), 32)
 
 
-add("m1_hann_window", lambda s, d: rounded(features.to_samples(small(s, d).withColumn("samples", F.slice("samples", 1, 32))).withColumn("i", (F.col("sample") % 64).cast("int")).join(F.broadcast(features.hann_table(s, 32)), "i").select("rec", "sample", (F.col("x") * F.col("weight")).alias("x")), "x"),
-    "WITH " + S_X + " SELECT rec, sample, round(x * 0.5::DOUBLE * (1 - cos(2 * pi() * (sample % 64) / 32)), 6) + 0.0 AS x FROM x WHERE sample % 64 < 32", "fx5")
-add("m2_mel_filterbank", lambda s, d: rounded(power(s, d).select("rec", "frame", F.posexplode("power").alias("bin", "p")).where("frame % 4 = 0").join(F.broadcast(features.mel_filterbank_table(s, 32, 8, 16000)), "bin").select("rec", "frame", "mel", "bin", (F.col("weight") * 1000).alias("weight")), "weight"),
-    "WITH " + S_X + "," + S_BANK + ", n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), f AS (SELECT rec, unnest(range(0, n // 16)) AS frame FROM n) SELECT rec, frame, mel, bin, round(weight * 1000, 6) + 0.0 AS weight FROM f CROSS JOIN bank WHERE weight > 0 AND frame % 4 = 0", "fx5")
-# m1 and m2 above read a part of their tables, as their SQL does; these read the whole.
-add("m1_hann_window_whole", lambda s, d: rounded(features.to_samples(small(s, d)).withColumn("i", (F.col("sample") % 32).cast("int")).join(F.broadcast(features.hann_table(s, 32)), "i").select("rec", "sample", (F.col("x") * F.col("weight")).alias("x")), "x"),
+add("m1_hann_window", lambda s, d: rounded(features.to_samples(small(s, d)).withColumn("i", (F.col("sample") % 32).cast("int")).join(F.broadcast(features.hann_table(s, 32)), "i").select("rec", "sample", (F.col("x") * F.col("weight")).alias("x")), "x"),
     "WITH " + S_X + " SELECT rec, sample, round(x * 0.5::DOUBLE * (1 - cos(2 * pi() * (sample % 32) / 32)), 6) + 0.0 AS x FROM x", "fx5")
-add("m2_mel_filterbank_whole", lambda s, d: rounded(power(s, d).select("rec", "frame", F.posexplode("power").alias("bin", "p")).join(F.broadcast(features.mel_filterbank_table(s, 32, 8, 16000)), "bin").select("rec", "frame", "mel", "bin", (F.col("weight") * 1000).alias("weight")), "weight"),
+add("m2_mel_filterbank", lambda s, d: rounded(power(s, d).select("rec", "frame", F.posexplode("power").alias("bin", "p")).join(F.broadcast(features.mel_filterbank_table(s, 32, 8, 16000)), "bin").select("rec", "frame", "mel", "bin", (F.col("weight") * 1000).alias("weight")), "weight"),
     "WITH " + S_X + "," + S_BANK + ", n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), f AS (SELECT rec, unnest(range(0, n // 16)) AS frame FROM n) SELECT rec, frame, mel, bin, round(weight * 1000, 6) + 0.0 AS weight FROM f CROSS JOIN bank WHERE weight > 0", "fx5")
 add("m3_power_spectrum", lambda s, d: rounded(power(s, d).select("rec", "frame", F.posexplode("power").alias("bin", "p")), "p", digits=5), "WITH " + S_POW + " SELECT rec, frame, bin, round(p, 5) + 0.0 AS p FROM pw", "fx5")
 add("m4_mel_project", lambda s, d: rounded(features.mel_project(power(s, d), features.mel_filterbank_table(s, 32, 8, 16000)), "value", digits=6),
     "WITH " + S_POW + "," + S_BANK + " SELECT rec, frame, mel, round(sum(weight * p), 6) + 0.0 AS value FROM pw JOIN bank USING (bin) WHERE weight > 0 GROUP BY rec, frame, mel", "fx5")
 add("m5_log_floor", lambda s, d: fx.features(s, d).select("rec", "frame", "dim", (F.round(features.log_floor(F.abs("value")), 6) + 0.0).alias("added"), (F.round(features.log_floor(F.abs("value"), 1e-3, "clamp"), 6) + 0.0).alias("clamped")),
     "SELECT rec, frame, dim, round(ln(abs(value) + 5.9604644775390625e-8::DOUBLE), 6) + 0.0 AS added, round(ln(greatest(abs(value), 1e-3::DOUBLE)), 6) + 0.0 AS clamped FROM fx6", "fx6")
-add("m6_log_mel", lambda s, d: rounded(features.log_mel(small(s, d), MEL).select("rec", "frame", F.posexplode("values").alias("mel", "value")), "value", digits=5))
-add("m7_offline_features", lambda s, d: features.offline_features(small(s, d), MEL).select("rec", "frame", F.posexplode("values").alias("dim", "value")).withColumn("value", F.round("value", 5)))
+add("m6_log_mel", lambda s, d: rounded(features.log_mel(small(s, d), MEL).select("rec", "frame", F.posexplode("values").alias("mel", "value")), "value", digits=5),
+    "WITH " + S_MEL + " SELECT rec, frame, mel, round(value, 5) + 0.0 AS value FROM lm", "fx5")
+add("m7_offline_features", lambda s, d: rounded(features.offline_features(small(s, d), MEL).select("rec", "frame", F.posexplode("values").alias("dim", "value")), "value", digits=5), "WITH " + S_ROWS + " SELECT * FROM mi", "fx5")
 add("m8_context_chunks", lambda s, d: features.context_chunks(fx.chunks(s, d).select("rec", F.col("chunk").alias("frame"), F.col("samples").alias("values")), 4, 1, 2).select("rec", "window", F.size("values").alias("n"), "left", "right"),
     "WITH n AS (SELECT rec, max(chunk) + 1 AS n FROM fx5 GROUP BY rec), w AS (SELECT rec, n, unnest(range(0, (n - 2) // 4)) AS w FROM n) SELECT rec, w AS window, CAST(6 + CASE WHEN w > 0 THEN 1 ELSE 0 END AS INT) AS n, CAST(CASE WHEN w > 0 THEN 1 ELSE 0 END AS BIGINT) AS \"left\", CAST(2 AS BIGINT) AS \"right\" FROM w", "fx5")
 add("w1_cumulative_mean_norm", lambda s, d: rounded(features.cumulative_mean_norm(fx.features(s, d)), "value"),
@@ -97,20 +107,21 @@ add("w2_splice_subsample", lambda s, d: rounded(features.splice_subsample(fx.chu
 
 
 def probs(s: SparkSession, d: str) -> DataFrame:
-    return fx.activity(s, d).where("track < 4")
+    """All five event types are tracks."""
+    return fx.activity(s, d)
 
 
-S_PR = """pr AS (SELECT * FROM fx1 WHERE track < 4),
+S_PR = """pr AS (SELECT * FROM fx1),
 sc AS (SELECT *, ln(greatest(prob, 0.25::DOUBLE)) - ln(1 - least(greatest(prob, 0), 0.75::DOUBLE)) + sum(ln(1 - least(greatest(prob, 0), 0.75::DOUBLE))) OVER (PARTITION BY rec, frame) + ln(2::DOUBLE) AS score FROM pr),
 dl AS (SELECT rec, frame, track, prob, CASE WHEN prob <= 0.5 OR score <= 0 AND count(*) FILTER (prob > 0.5 AND score > 0) OVER (PARTITION BY rec, track) >= 2 THEN '-inf'::DOUBLE ELSE score END AS score FROM sc),
-bl AS (SELECT rec, frame, track, CASE WHEN frame >= 20 THEN score + 0.05::DOUBLE ELSE score END AS score FROM dl),
+bl AS (SELECT rec, frame, track, CASE WHEN frame >= 25 THEN score + 0.05::DOUBLE ELSE score END AS score FROM dl),
 bs AS (SELECT rec, frame, track, CASE WHEN row_number() OVER (PARTITION BY rec, track ORDER BY round(score, 9) DESC, frame) <= 3 AND score > '-inf'::DOUBLE THEN score + 2 * ln(2::DOUBLE) ELSE score END AS score FROM bl),
 bw AS (SELECT rec, frame, track, CASE WHEN row_number() OVER (PARTITION BY rec, track ORDER BY round(score, 9) DESC, frame) <= 6 AND score > '-inf'::DOUBLE THEN score + ln(2::DOUBLE) ELSE score END AS score FROM bs),
 sz AS (SELECT rec, max(frame) + 1 AS n, max(track) + 1 AS t FROM bw GROUP BY rec),
 fl AS (SELECT bw.rec, track, frame, round(score, 9) AS score, n FROM bw JOIN sz USING (rec) UNION ALL SELECT rec, unnest(range(0, t)), n, 'inf'::DOUBLE, n FROM sz),
 rk AS (SELECT *, track * (n + 1) + frame AS place, row_number() OVER (PARTITION BY rec ORDER BY score DESC, track * (n + 1) + frame) AS r FROM fl),
-kp AS (SELECT rec, frame, score, n, row_number() OVER (PARTITION BY rec ORDER BY CASE WHEN score = '-inf'::DOUBLE THEN 1 ELSE 0 END, place) - 1 AS slot FROM rk WHERE r <= 20),
-sl AS (SELECT rec, unnest(range(0, 20)) AS slot FROM sz),
+kp AS (SELECT rec, frame, score, n, row_number() OVER (PARTITION BY rec ORDER BY CASE WHEN score = '-inf'::DOUBLE THEN 1 ELSE 0 END, place) - 1 AS slot FROM rk WHERE r <= 25),
+sl AS (SELECT rec, unnest(range(0, 25)) AS slot FROM sz),
 cc AS (SELECT sl.rec, CAST(sl.slot AS INT) AS slot, CASE WHEN score > '-inf'::DOUBLE AND frame < n THEN frame END AS frame, NOT coalesce(score > '-inf'::DOUBLE AND frame < n, false) AS disabled FROM sl LEFT JOIN kp ON kp.rec = sl.rec AND kp.slot = sl.slot)"""
 
 
@@ -123,14 +134,14 @@ def _finite(source: str) -> str:
     return f"SELECT rec, frame, track, CASE WHEN score = '-inf'::DOUBLE THEN -999.0::DOUBLE ELSE round(score, 6) + 0.0 END AS score FROM {source}"
 
 
-low = lambda s, d: cache.disable_low_scores(cache.log_pred_score(probs(s, d)), CACHE.quota(CACHE.positive))
-latest = lambda s, d: cache.boost_latest(low(s, d), CACHE.capacity)
+low = lambda s, d: cache.disable_low_scores(cache.log_pred_score(probs(s, d)), CACHE_5.quota(CACHE_5.positive))
+latest = lambda s, d: cache.boost_latest(low(s, d), CACHE_5.capacity)
 add("w11_log_pred_score", lambda s, d: finite(cache.log_pred_score(probs(s, d))), "WITH " + S_PR + " " + _finite("sc"), "fx1")
 add("w12_disable_low_scores", lambda s, d: finite(low(s, d)), "WITH " + S_PR + " " + _finite("dl"), "fx1")
 add("w13_boost_latest", lambda s, d: finite(latest(s, d)), "WITH " + S_PR + " " + _finite("bl"), "fx1")
 add("w14_boost_topk", lambda s, d: finite(cache.boost_topk(latest(s, d), 3, 2.0)), "WITH " + S_PR + " " + _finite("bs"), "fx1")
-add("k2_top_frames", lambda s, d: cache.top_frames(cache.boost_topk(cache.boost_topk(latest(s, d), 3, 2.0), 6, 1.0), 20, 1), "WITH " + S_PR + " SELECT * FROM cc", "fx1")
-add("k3_compress_cache", lambda s, d: cache.compress_cache(probs(s, d), CACHE), "WITH " + S_PR + " SELECT * FROM cc", "fx1")
+add("k2_top_frames", lambda s, d: cache.top_frames(cache.boost_topk(cache.boost_topk(latest(s, d), 3, 2.0), 6, 1.0), 25, 1), "WITH " + S_PR + " SELECT * FROM cc", "fx1")
+add("k3_compress_cache", lambda s, d: cache.compress_cache(probs(s, d), CACHE_5), "WITH " + S_PR + " SELECT * FROM cc", "fx1")
 
 
 def quiet_probs(s: SparkSession, d: str) -> DataFrame:
@@ -148,8 +159,8 @@ add("a6_silence_profile", lambda s, d: rounded(cache.silence_profile(embeddings(
 
 
 def smoother(state: Any, row: np.ndarray, ingest: bool, decode: bool) -> tuple[np.ndarray, Any]:
-    """Exponential mean of the first two values of each row."""
-    x = np.asarray(row, float).ravel()[:2]
+    """Exponential mean of each row's values."""
+    x = np.asarray(row, float).ravel()
     state = x * 0.5 if state is None else state * 0.5 + x * 0.5
     return state, state
 
@@ -162,9 +173,12 @@ def spread(state: Any, row: np.ndarray, ingest: bool, decode: bool) -> tuple[np.
 
 
 add("u1_score_sequences", lambda s, d: reshape.sigmoid(scoring.score_sequences(embeddings(s, d), smoother, 0)).select("rec", "frame", "track", F.round("prob", 6).alias("prob")),
-    """WITH v AS (SELECT rec, frame, dim, value FROM fx6 WHERE dim < 2) SELECT a.rec, a.frame, a.dim AS track, round(1 / (1 + exp(-sum(b.value * pow(0.5::DOUBLE, a.frame - b.frame + 1)))), 6) AS prob
-    FROM v a JOIN v b ON b.rec = a.rec AND b.dim = a.dim AND b.frame <= a.frame GROUP BY a.rec, a.frame, a.dim""", "fx6")
-add("u2_score_chunks", lambda s, d: rounded(scoring.score_chunks(small(s, d), spread), "prob"))
+    """SELECT a.rec, a.frame, a.dim AS track, round(1 / (1 + exp(-sum(b.value * pow(0.5::DOUBLE, a.frame - b.frame + 1)))), 6) AS prob
+    FROM fx6 a JOIN fx6 b ON b.rec = a.rec AND b.dim = a.dim AND b.frame <= a.frame GROUP BY a.rec, a.frame, a.dim""", "fx6")
+add("u2_score_chunks", lambda s, d: rounded(scoring.score_chunks(small(s, d), spread), "prob"),
+    # A chunk is scored after the 64 values before it; its mean magnitude is smoothed, the first one as it is.
+    """WITH m AS (SELECT rec, frame, sum(abs(value)) AS t FROM fx6 GROUP BY rec, frame), c AS (SELECT rec, frame, (t + coalesce(lag(t) OVER (PARTITION BY rec ORDER BY frame), 0)) / 128 AS m FROM m)
+    SELECT a.rec, a.frame AS chunk, round(sum(b.m * pow(0.5::DOUBLE, a.frame - b.frame + CASE WHEN b.frame = 0 THEN 0 ELSE 1 END)), 6) + 0.0 AS prob FROM c a JOIN c b ON b.rec = a.rec AND b.frame <= a.frame GROUP BY a.rec, a.frame""", "fx6")
 add("u3_score_context_windows", lambda s, d: scoring.score_context_windows(features.context_chunks(embeddings(s, d), 4, 1, 2), spread).select("rec", "window", F.size("values").alias("n"), F.round(F.get("values", F.lit(0)), 6).alias("first")))
 add("w17_align_delay", lambda s, d: scoring.align_delay(fx.voice(s, d).select("rec", F.col("chunk").alias("step"), F.col("prob").alias("score")), 3),
     "WITH n AS (SELECT rec, max(chunk) + 1 - 3 AS n FROM fx7 GROUP BY rec) SELECT rec, chunk - 3 AS frame, prob AS score, chunk - 3 >= n - 3 AS tail FROM fx7 JOIN n USING (rec) WHERE chunk >= 3", "fx7")

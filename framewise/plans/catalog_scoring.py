@@ -122,23 +122,18 @@ add("w10_pad_regions", padded,
 add("a10_track_activity", lambda s, d: vad.track_activity(fx.voice(s, d), totals(s, d).select("rec", F.floor(F.col("total") / 1280).alias("n_frames")), RATE),
     """WITH n AS (SELECT rec, (max(chunk) + 1) * 4096 // 1280 AS n FROM fx7 GROUP BY rec), g AS (SELECT rec, unnest(range(0, n)) AS frame FROM n),
     o AS (SELECT DISTINCT rec, unnest(range(CAST(floor(chunk * 3.2::DOUBLE) AS BIGINT), CAST(ceil((chunk + 1) * 3.2::DOUBLE) AS BIGINT))) AS frame FROM fx7 WHERE prob >= 0.85) SELECT g.rec, g.frame, o.frame IS NOT NULL AS active FROM g LEFT JOIN o ON o.rec = g.rec AND o.frame = g.frame""", "fx7")
-add("t5_vad_events", lambda s, d: vad.stream_events(fx.voice(s, d), VC, 3),
-    f"""WITH a AS (SELECT rec, chunk, prob, sum(CASE WHEN prob >= 0.85 THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY chunk) AS g FROM fx7),
+S_EVENTS = f"""a AS (SELECT rec, chunk, prob, sum(CASE WHEN prob >= 0.85 THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY chunk) AS g FROM fx7),
     b AS (SELECT rec, g, (min(chunk) + 1) * 4096 AS seen, min(CASE WHEN prob < {VC.exit!r} THEN (chunk + 1) * 4096 END) AS t0, max(CASE WHEN prob < {VC.exit!r} THEN (chunk + 1) * 4096 END) AS t1 FROM a WHERE g > 0 GROUP BY rec, g),
     c AS (SELECT *, coalesce(t1 - t0 >= 8000, false) AS e FROM b), f AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY rec ORDER BY g), true) AS st FROM c),
-    u AS (SELECT rec, 'speechStart' AS kind, CAST(greatest(0, seen - 6400 - 4096) AS BIGINT) AS sample FROM f WHERE st UNION ALL SELECT rec, 'speechEnd', CAST(greatest(0, t0 + 6400 - 4096) AS BIGINT) FROM f WHERE e)
-    SELECT rec, kind, sample, round(sample / 16000.0::DOUBLE, 3) AS time FROM u""", "fx7")
+    u AS (SELECT rec, 'speechStart' AS kind, CAST(greatest(0, seen - 6400 - 4096) AS BIGINT) AS sample FROM f WHERE st UNION ALL SELECT rec, 'speechEnd', CAST(greatest(0, t0 + 6400 - 4096) AS BIGINT) FROM f WHERE e)"""
+add("t5_vad_events", lambda s, d: vad.stream_events(fx.voice(s, d), VC, 3), "WITH " + S_EVENTS + " SELECT rec, kind, sample, round(sample / 16000.0::DOUBLE, 3) AS time FROM u", "fx7")
 
 
 def _spans(s: SparkSession, d: str) -> DataFrame:
-    c = fx.chunks(s, d)
-    return c.where("chunk % 3 = 1").select("rec", (F.col("start_sample") - 10).alias("start_sample"), (F.col("start_sample") + 100).alias("end_sample"))
+    """One span for each chunk, from a little before it to within the next."""
+    return fx.chunks(s, d).select("rec", (F.col("start_sample") - 10).alias("start_sample"), (F.col("start_sample") + 100).alias("end_sample"))
 
 
 add("j4_extract_segments", lambda s, d: vad.extract_segments(fx.chunks(s, d), _spans(s, d), 64).select("rec", "start_sample", "end_sample", F.size("samples").alias("n"), F.get("samples", F.lit(0)).cast("double").alias("first"), F.element_at("samples", -1).cast("double").alias("last")),
-    """WITH l AS (SELECT rec, start_sample + i AS sample, CAST(samples[i + 1] AS DOUBLE) AS x FROM (SELECT rec, start_sample, samples, unnest(range(0, 64)) AS i FROM fx5) q), p AS (SELECT rec, start_sample - 10 AS a, start_sample + 100 AS b FROM fx5 WHERE chunk % 3 = 1)
-    SELECT p.rec, a AS start_sample, b AS end_sample, CAST(count(*) AS INT) AS n, min_by(x, sample) AS first, max_by(x, sample) AS last FROM p JOIN l ON l.rec = p.rec AND sample >= a AND sample < b GROUP BY p.rec, a, b""", "fx5")
-# j4 above takes spans of one chunk in three, as its SQL does; here each chunk has one.
-add("j4_extract_segments_whole", lambda s, d: vad.extract_segments(fx.chunks(s, d), fx.chunks(s, d).select("rec", (F.col("start_sample") - 10).alias("start_sample"), (F.col("start_sample") + 100).alias("end_sample")), 64).select("rec", "start_sample", "end_sample", F.size("samples").alias("n"), F.get("samples", F.lit(0)).cast("double").alias("first"), F.element_at("samples", -1).cast("double").alias("last")),
     """WITH l AS (SELECT rec, start_sample + i AS sample, CAST(samples[i + 1] AS DOUBLE) AS x FROM (SELECT rec, start_sample, samples, unnest(range(0, 64)) AS i FROM fx5) q), p AS (SELECT rec, start_sample - 10 AS a, start_sample + 100 AS b FROM fx5)
     SELECT p.rec, a AS start_sample, b AS end_sample, CAST(count(*) AS INT) AS n, min_by(x, sample) AS first, max_by(x, sample) AS last FROM p JOIN l ON l.rec = p.rec AND sample >= a AND sample < b GROUP BY p.rec, a, b""", "fx5")
