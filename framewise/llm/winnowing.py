@@ -1,13 +1,17 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text is a run of tokens: stretches of at most 8 characters of its words. Every run of K tokens is hashed
-from its tokens' hashes, as the window of K rolls over the text; of each W successive hashes the least is
-kept, the rightmost of equals, together with its position. Any run of K + W - 1 tokens that two texts
-share leaves at least one common hash.
+A text is a run of tokens: stretches of at most 8 characters of its words. The window of K tokens rolls over
+the text; its hash is the cyclic polynomial of its tokens' hashes (each token further from the end is rotated
+by one more bit, all are joined by XOR), which is put together from hashes of shorter windows, so that no
+token is hashed again for each window. Of each W successive hashes the least is kept, the rightmost of equals,
+together with its position. Any run of K + W - 1 tokens that two texts share leaves at least one common hash.
 
 Null is an empty text, which has no hashes; two texts without hashes are alike (1.0). A text with fewer
 than K tokens has one hash, of all of them; with fewer than W hashes it keeps the least. Documents of null
-id come first in order, those of equal id by their text's hash. Copies of a row follow each other.
+id come first in order, those of equal id by their text's hash. Copies of a row follow each other. An empty
+table gives an empty result. A text of any length is one row, with some 50 bytes of arrays for each token
+while it is winnowed. K and W are small, so that a text of 60 characters still shares a hash with its copy of
+which a quarter was replaced. Only doc_id and text are read, so further columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, W = 5, 8
+K, W = 3, 4
 TOKEN = r"[^\x20\x09-\x0D]{1,8}"
 #: A kept value is 36 bits of hash above 27 bits of position, which count down so that the rightmost is least.
 HASH_BITS, PLACE_BITS = 36, 27
@@ -31,13 +35,31 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def turned(value: Column, bits: int) -> Column:
+    """64 bits, rotated to the left."""
+    bits %= 64
+    return F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(value, 64 - bits)) if bits else value
+
+
 def gram_hashes(text: Column, k: int = K) -> Column:
-    """Hashes of the runs of k tokens in order; of a shorter text the one hash of all; of an empty text none."""
+    """Hashes of the runs of k tokens in order; of a shorter text the one hash of all; of an empty text none.
+
+    A window's hash is that of its first part, turned by the length of the rest, XOR that of the rest.
+    """
+
+    def windows(h: Column, n: int, use: Callable[[Column], Column]) -> Column:
+        """use(hashes of the windows of n); those that reach past the end are null."""
+        if n == 1:
+            return use(h)
+        if n % 2:
+            grown = lambda g: F.transform(g, lambda x, i: turned(x, 1).bitwiseXOR(F.get(h, i + (n - 1))))
+            return windows(h, n - 1, lambda g: let(grown(g), use))
+        double = lambda g: F.transform(g, lambda x, i: turned(x, n // 2).bitwiseXOR(F.get(g, i + n // 2)))
+        return windows(h, n // 2, lambda g: let(double(g), use))
 
     def grams(h: Column) -> Column:
-        n = F.size(h)
-        rolled = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-        return F.when(n >= k, rolled).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        rolled = windows(h, k, lambda g: F.slice(g, 1, F.greatest(F.lit(0), F.size(g) - k + 1)))
+        return F.when(F.size(h) >= k, rolled).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return let(F.transform(tokens, lambda t: F.xxhash64(t)), grams)
