@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
-Detected are e-mail addresses, phone numbers, IPv4 addresses, card-like numbers, secret hexadecimal tokens
-and, after a title or as a listed given name, people's names; a name found so is also replaced wherever else
+Detected are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card-like numbers, IBANs whose check
+digits hold, US social security numbers, secret hexadecimal tokens, keys of known prefixes and, after a title
+or as a listed given name, people's names; a name found so is also replaced wherever else
 the same text has it as a whole word, in the same letter case. A surrogate has its entity's type, script,
 letter case, separators and length. It is made by a keyed permutation of all strings of the entity's
 pattern, without fixed points: the same entity has the same surrogate everywhere (coreference), and two
@@ -9,7 +10,9 @@ entities never share one (distinctness). Given names are permuted within the nam
 script. collisions() checks distinctness over a whole table; resolve() takes the next key until it holds.
 
 Spellings that differ in case, separators or leading zeros of an address only are one entity. Null texts stay null and empty texts stay
-empty. Repeated rows give equal rows. Columns that clash with the counts are replaced.
+empty. Repeated rows give equal rows. Columns that clash with the counts are replaced. An empty table gives an empty
+result. Texts of any length are searched whole, one at a time. Where two kinds claim the same characters, the
+one listed first in _PATTERNS has them. n_ip counts both kinds of address, n_secret tokens and keys.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -40,13 +44,21 @@ HEX = "0123456789abcdef"
 #: Country codes of one and two digits; all others have three.
 COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|...")
 
+#: How keys of some services begin.
+KEY_PREFIX = re.compile(r"AKIA|ASIA|sk-|gh[pousr]_|xox[abp]-")
+KEY_LETTERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz"]
+
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’-]+"
 _PATTERNS: list[tuple[str, re.Pattern[str], Callable[[str], bool]]] = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), lambda t: "@" in t),
+    ("key", re.compile(r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{20,})(?![\w-])"), lambda t: "IA" in t or "sk-" in t or "gh" in t or "xox" in t),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), lambda t: True),
-    ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d|\d)"), lambda t: True),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), lambda t: True),
+    ("ipv6", re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:])(?!\.\d)"), lambda t: ":" in t),
+    ("ip", re.compile(r"(?<![\d.])(?<!\bv)(?<!ersion )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d|\d)"), lambda t: True),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])"), lambda t: True),
+    ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), lambda t: "-" in t),
     ("card", re.compile(r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w-])"), lambda t: True),
 ]
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})\.? ({_NAME})(?: ({_NAME}))?")
@@ -126,6 +138,26 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(country: str, rest: str) -> str:
+    """The two digits that make an IBAN's remainder by 97 one; letters count from 10 on."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{rest}{country}00')) % 97:02d}"
+
+
+def is_ipv6(text: str) -> bool:
+    """An IPv6 address of more than one group, so that neither times nor '::1' are taken."""
+    try:
+        return len({*ipaddress.IPv6Address(text).exploded.split(":")} - {"0000"}) > 1 or text.count(":") == 7
+    except ValueError:
+        return False
+
+
+_VALID: dict[str, Callable[[str], bool]] = {
+    "iban": lambda t: (x := t.replace(" ", "")) and iban_check(x[:2], x[4:]) == x[2:4],
+    "ipv6": is_ipv6,
+}
+_SSN = dict((k, p) for k, p, _ in _PATTERNS)["ssn"]
+
+
 def _digits_into(form: str, digits: str) -> str:
     rest = iter(digits)
     return "".join(next(rest) if c.isdigit() else c for c in form)
@@ -140,6 +172,32 @@ def surrogate(kind: str, entity: str, secret: bytes) -> str:
         return f"{mixed}{dot}{top}"
     if kind == "secret":
         return respell(entity, secret, "secret", [HEX])
+    if kind == "key":
+        head = KEY_PREFIX.match(entity)[0]
+        return head + respell(entity[len(head) :], secret, f"key|{head}", KEY_LETTERS)
+    if kind == "iban":
+        x = canonical(kind, entity)
+        rest = respell(x[4:], secret, f"iban|{x[:2]}")
+        new = iter(x[:2] + iban_check(x[:2], rest) + rest)
+        return "".join(c if c == " " else next(new) for c in entity)
+    if kind == "ssn":
+        # Numbers that are never given out are passed over, which leaves a permutation of the others.
+        new = respell(entity, secret, "ssn")
+        while not _SSN.fullmatch(new):
+            new = respell(new, secret, "ssn")
+        return new
+    if kind == "ipv6":
+        # Groups of zero stay, the others are permuted together, so short spellings stay short.
+        groups = [int(g, 16) for g in canonical(kind, entity).split(":")]
+        live = [g for g in groups if g]
+        y = permute(sum((g - 1) * 65535**i for i, g in enumerate(live)), 65535 ** len(live), secret, f"ipv6|{[bool(g) for g in groups]}")
+        for i, g in enumerate(groups):
+            if g:
+                y, rest = divmod(y, 65535)
+                groups[i] = rest + 1
+        full = ":".join(f"{g:04x}" for g in groups)
+        new = ipaddress.IPv6Address(full).compressed if "::" in entity else full if len(entity) == 39 else ":".join(f"{g:x}" for g in groups)
+        return new.upper() if entity.upper() == entity and entity.lower() != entity else new
     if kind == "ip":
         parts = [int(x) for x in canonical(kind, entity).split(".")]
         y = permute(sum(p << 8 * (3 - i) for i, p in enumerate(parts)), 1 << 32, secret, "ip")
@@ -171,6 +229,10 @@ def canonical(kind: str, entity: str) -> str:
         return "+" + digits if entity.startswith("+") else digits
     if kind == "ip":
         return ".".join(str(int(x)) for x in entity.split("."))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(entity).exploded
+    if kind == "iban":
+        return entity.replace(" ", "")
     return entity.lower() if kind in ("email", "secret") else entity
 
 
@@ -189,8 +251,10 @@ def find(text: str) -> list[Found]:
 
     digits = bool(_HAS_DIGITS.search(text))
     for kind, pattern, worth in _PATTERNS:
-        if worth(text) and (digits or kind == "email"):
+        if worth(text) and (digits or kind in ("email", "key")):
             for m in pattern.finditer(text):
+                if kind in _VALID and not _VALID[kind](m[0]):
+                    continue
                 add(m.start(), m.end(), kind)
     titled = _HAS_TITLE.search(text) is not None
     for pattern, with_title in ((_TITLED, True), (_LISTED, False)):
@@ -243,7 +307,8 @@ def replace(text: str, secret: bytes, cache: dict | None = None) -> tuple[str, l
     return "".join([*out, text[at:]]), found, new
 
 
-KINDS = ("email", "phone", "ip", "card", "secret", "name")
+KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name")
+_COUNTED = {"ipv6": "ip", "key": "secret"}
 
 
 def anonymize(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
@@ -260,7 +325,7 @@ def anonymize(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
                 for x in part.column(place).to_pylist():
                     text, found, _ = (x, [], []) if x is None else replace(x, secret, cache)
                     texts.append(text)
-                    kinds = [f[2] if f[2] in KINDS else "name" for f in found]
+                    kinds = [k if (k := _COUNTED.get(f[2], f[2])) in KINDS else "name" for f in found]
                     counts.append([kinds.count(k) for k in KINDS])
                 columns = [pa.array(texts, pa.string()) if i == place else part.column(i) for i in range(len(names))]
                 numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
