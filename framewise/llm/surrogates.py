@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 KEY = b"framewise surrogate key"
 #: Given names by script and gender.
 NAMES = {
@@ -46,13 +48,14 @@ COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58
 
 #: How keys of some services begin.
 KEY_PREFIX = re.compile(r"AKIA|ASIA|sk-|gh[pousr]_|xox[abp]-")
+_KEY_MARKS = ("AKIA", "ASIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-")
 KEY_LETTERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz"]
 
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’-]+"
 _PATTERNS: list[tuple[str, re.Pattern[str], Callable[[str], bool]]] = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), lambda t: "@" in t),
-    ("key", re.compile(r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{20,})(?![\w-])"), lambda t: "IA" in t or "sk-" in t or "gh" in t or "xox" in t),
+    ("key", re.compile(r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{20,})(?![\w-])"), lambda t: any(x in t for x in _KEY_MARKS)),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), lambda t: True),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), lambda t: True),
     ("ipv6", re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:])(?!\.\d)"), lambda t: ":" in t),
@@ -66,8 +69,8 @@ _LISTED = re.compile(rf"\b({'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?:
 _POSSESSIVE = re.compile(r"(?<=[^\W\d_]{2})(?:['’]s|['’-]+)$")
 _WORD = re.compile(rf"(?<!\w){_NAME}(?:['’-]\w+)*(?!\w)|\w+(?:['’-]\w+)+")
 _PART = re.compile(r"\w+")
-_HAS_DIGITS = re.compile(r"\d{2}|\d\.\d")
-_HAS_TITLE = re.compile(rf"\b(?:{'|'.join(TITLES)})\b")
+_HAS_DIGITS = re.compile(r"\d(?:\d|\.\d)")
+_CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞА-Я]\w*")
 
 
 def permute(x: int, size: int, secret: bytes, label: str) -> int:
@@ -256,9 +259,10 @@ def find(text: str) -> list[Found]:
                 if kind in _VALID and not _VALID[kind](m[0]):
                     continue
                 add(m.start(), m.end(), kind)
-    titled = _HAS_TITLE.search(text) is not None
+    # Most texts hold neither a title nor a listed name; their capitalised words tell it sooner than the patterns.
+    words = set(_CAPITALISED.findall(text))
     for pattern, with_title in ((_TITLED, True), (_LISTED, False)):
-        if with_title and not titled:
+        if words.isdisjoint(TITLES if with_title else _GIVEN):
             continue
         for m in pattern.finditer(text):
             given, family = (2, 3) if with_title else (1, 2)
@@ -354,8 +358,11 @@ def entities(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
 
 
 def collisions(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
-    """Surrogates that two entities share, and entities with two surrogates."""
-    pairs = entities(docs, secret).distinct()
+    """Surrogates that two entities share, and entities with two surrogates.
+
+    The texts are searched once: distinct pairs are written to the shared folder, and both checks read those.
+    """
+    pairs = stored(entities(docs, secret).distinct())
     shared = pairs.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a != b").select("kind", F.lit("shared").alias("what"))
     split = pairs.groupBy("kind", "entity").agg(F.min("surrogate").alias("a"), F.max("surrogate").alias("b")).where("a != b").select("kind", F.lit("split").alias("what"))
     return shared.union(split)
