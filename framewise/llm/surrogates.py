@@ -9,6 +9,10 @@ pattern, without fixed points: the same entity has the same surrogate everywhere
 entities never share one (distinctness). Given names are permuted within the names of the same gender and
 script. collisions() checks distinctness over a whole table; resolve() takes the next key until it holds.
 
+Some listed names are words as well. common_words() counts over a whole table which of them stand more often in
+lower case than capitalised within a sentence; such a word is no name by itself where a sentence begins, unless the
+text has it as a name elsewhere. After a title, before a family name or within a sentence it is one.
+
 Spellings that differ in case, separators or leading zeros of an address only are one entity. Null texts stay null and empty texts stay
 empty. Repeated rows give equal rows. Columns that clash with the counts are replaced. An empty table gives an empty
 result. Texts of any length are searched whole, one at a time. Where two kinds claim the same characters, the
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded, stored
 
 KEY = b"framewise surrogate key"
 #: Given names by script and gender.
@@ -71,6 +75,9 @@ _WORD = re.compile(rf"(?<!\w){_NAME}(?:['’-]\w+)*(?!\w)|\w+(?:['’-]\w+)+")
 _PART = re.compile(r"\w+")
 _HAS_DIGITS = re.compile(r"\d(?:\d|\.\d)")
 _CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞА-Я]\w*")
+_QUOTES = " \t\"'‘’“”«»()[]¿¡"
+#: For each listed name its lower-case form and itself, each with the pattern of the whole word.
+_WHOLE = {n: tuple((w, re.compile(rf"{w}(?!\w)(?<!\w{w})")) for w in (n.lower(), n)) for n in _GIVEN}
 
 
 def permute(x: int, size: int, secret: bytes, label: str) -> int:
@@ -242,8 +249,18 @@ def canonical(kind: str, entity: str) -> str:
 Found = tuple[int, int, str, str]
 
 
-def find(text: str) -> list[Found]:
-    """(begin, end, kind, entity) of all entities, in order, without overlaps; earlier kinds win."""
+def _begins_sentence(text: str, at: int) -> bool:
+    """Whether only quotes and brackets stand between a place and the text's, line's or sentence's beginning."""
+    while at and text[at - 1] in _QUOTES:
+        at -= 1
+    return not at or text[at - 1] in ".!?…:\n\r"
+
+
+def find(text: str, common: frozenset[str] = frozenset()) -> list[Found]:
+    """(begin, end, kind, entity) of all entities, in order, without overlaps; earlier kinds win.
+
+    Names in `common` need more than the first place of a sentence.
+    """
     found: list[Found] = []
     taken: list[tuple[int, int]] = []
 
@@ -266,6 +283,8 @@ def find(text: str) -> list[Found]:
             continue
         for m in pattern.finditer(text):
             given, family = (2, 3) if with_title else (1, 2)
+            if not with_title and not m[2] and m[1] in common and _begins_sentence(text, m.start()):
+                continue
             for g in (given, family):
                 if m[g]:
                     name = _POSSESSIVE.sub("", m[g])
@@ -293,9 +312,9 @@ def _mentions(text: str, names: dict[str, str], found: list[Found]) -> list[Foun
     return out
 
 
-def replace(text: str, secret: bytes, cache: dict | None = None) -> tuple[str, list[Found], list[str]]:
+def replace(text: str, secret: bytes, cache: dict | None = None, common: frozenset[str] = frozenset()) -> tuple[str, list[Found], list[str]]:
     """The text with surrogates, what was found, and what stands in its place."""
-    found = find(text)
+    found = find(text, common)
     if not found:
         return text, found, []
     cache = {} if cache is None else cache
@@ -315,7 +334,28 @@ KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name")
 _COUNTED = {"ipv6": "ip", "key": "secret"}
 
 
-def anonymize(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
+def common_words(docs: DataFrame) -> frozenset[str]:
+    """Listed given names that the table has more often in lower case than capitalised within a sentence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {n: [0, 0] for n in _GIVEN}
+        for batch in batches:
+            for x in batch.column(0):
+                text = x.as_py() or ""
+                for name, (plain, inner) in _WHOLE.items():
+                    # Words of a text are looked for only where it has their letters.
+                    if plain[0] in text:
+                        seen[name][0] += len(plain[1].findall(text))
+                    if inner[0] in text:
+                        seen[name][1] += sum(not _begins_sentence(text, m.start()) for m in inner[1].finditer(text))
+        yield pa.RecordBatch.from_pylist([{"name": n, "plain": a, "inner": b} for n, (a, b) in seen.items()])
+
+    counts = docs.select("text").mapInArrow(run, "name string, plain long, inner long")
+    rows = counts.groupBy("name").agg(F.sum("plain").alias("plain"), F.sum("inner").alias("inner")).where("plain > inner")
+    return frozenset(r.name for r in bounded(rows, len(_GIVEN), "given names"))
+
+
+def anonymize(docs: DataFrame, secret: bytes = KEY, common: frozenset[str] = frozenset()) -> DataFrame:
     """docs with surrogates in text, and n_<kind> of each kind."""
     names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     place = names.index("text")
@@ -327,7 +367,7 @@ def anonymize(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
                 part = batch.slice(lo, 256)
                 texts, counts = [], []
                 for x in part.column(place).to_pylist():
-                    text, found, _ = (x, [], []) if x is None else replace(x, secret, cache)
+                    text, found, _ = (x, [], []) if x is None else replace(x, secret, cache, common)
                     texts.append(text)
                     kinds = [k if (k := _COUNTED.get(f[2], f[2])) in KINDS else "name" for f in found]
                     counts.append([kinds.count(k) for k in KINDS])
@@ -341,7 +381,7 @@ def anonymize(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
     return docs.select(*names).mapInArrow(run, schema)
 
 
-def entities(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
+def entities(docs: DataFrame, secret: bytes = KEY, common: frozenset[str] = frozenset()) -> DataFrame:
     """kind, hashes of entity and surrogate in their canonical spelling: one row for each find."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,33 +390,34 @@ def entities(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
         for batch in batches:
             rows = set()
             for x in batch.column(0):
-                _, found, new = replace(x.as_py() or "", secret, cache)
+                _, found, new = replace(x.as_py() or "", secret, cache, common)
                 rows.update((f[2], digest(f[2], f[3]), digest(f[2], n)) for f, n in zip(found, new, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["kind", "entity", "surrogate"])
 
     return docs.select("text").mapInArrow(run, "kind string, entity binary, surrogate binary")
 
 
-def collisions(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, secret: bytes = KEY, common: frozenset[str] = frozenset()) -> DataFrame:
     """Surrogates that two entities share, and entities with two surrogates.
 
     The texts are searched once: distinct pairs are written to the shared folder, and both checks read those.
     """
-    pairs = stored(entities(docs, secret).distinct())
+    pairs = stored(entities(docs, secret, common).distinct())
     shared = pairs.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a != b").select("kind", F.lit("shared").alias("what"))
     split = pairs.groupBy("kind", "entity").agg(F.min("surrogate").alias("a"), F.max("surrogate").alias("b")).where("a != b").select("kind", F.lit("split").alias("what"))
     return shared.union(split)
 
 
-def resolve(docs: DataFrame, secret: bytes = KEY, most: int = 4) -> bytes:
+def resolve(docs: DataFrame, secret: bytes = KEY, most: int = 4, common: frozenset[str] = frozenset()) -> bytes:
     """The first of successive keys under which the table has no collisions."""
     for n in range(most):
         key = secret if not n else hashlib.sha256(secret + bytes([n])).digest()
-        if not collisions(docs, key).limit(1).count():
+        if not collisions(docs, key, common).limit(1).count():
             return key
     raise RuntimeError(f"collisions under {most} keys")
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
     part = docs.select("doc_id", "text")
-    return anonymize(part, resolve(part))
+    common = common_words(part)
+    return anonymize(part, resolve(part, common=common), common)

@@ -110,3 +110,20 @@ def test_identifiers(spark):
     assert s.collisions(table).count() == 0
     row = s.anonymize(table).selectExpr(*[f"sum(n_{k}) n_{k}" for k in s.KINDS]).first()
     assert (row.n_iban, row.n_ssn, row.n_ip, row.n_secret, row.n_email) == (2, 1, 3, 3, 0)
+
+
+def test_names_that_are_words(spark):
+    """Names that a table uses as words count only where more than a sentence's beginning tells them."""
+    words = ["the nora of nora, and nora. noraX Xnora", "so nora"]
+    texts = ["Nora is good. Clara left.", '"Nora\n(Nora) is', "To Nora it is. Nora too.", "Dr. Nora came.", "Nora Smith came.", "It ends. Nora is", None, ""]
+    table = spark.createDataFrame([(x,) for x in words + texts], "text string")
+    common = s.common_words(table)
+    assert common == frozenset({"Nora"})
+    got = [[f[3] for f in s.find(x, common)] for x in texts if x is not None]
+    assert got == [["Clara"], [], ["Nora", "Nora"], ["Nora"], ["Nora", "Smith"], [], []]
+    # As often a name within a sentence as a word: it stays a name.
+    even = spark.createDataFrame([("nora and Nora, nora",), ("See Nora. Nora",)], "text string")
+    assert s.common_words(even) == frozenset()
+    assert s.common_words(table.limit(0)) == frozenset()
+    cyrillic = spark.createDataFrame([("вера и вера. Вера есть",), ("Она Нина. Нина",)], "text string")
+    assert s.common_words(cyrillic) == frozenset({"Вера"})
