@@ -40,6 +40,7 @@ def reference_frames(spark: SparkSession, sf_dir: str, longer: float = 0.0) -> D
     return t.where(b > a).select("rec", "speaker", F.explode(F.sequence(a, b - 1)).alias("frame")).distinct()
 
 
+VECTORS = 250
 SPEAKERS = [("user", 0), ("system", 1), ("assistant", 2)]
 
 
@@ -55,10 +56,14 @@ def predicted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec, chunk, start_sample, samples: a label is a recording, a vector a chunk of 64 samples."""
-    w = Window.partitionBy("label").orderBy("vec_id")
+    """rec, chunk, start_sample, samples: a vector is a chunk of 64 samples.
+
+    A recording is a label within VECTORS successive vectors, so that their number grows with the table, not their length.
+    """
+    rec = F.floor(F.col("vec_id") / VECTORS) * 1_000_000 + F.col("label")
+    w = Window.partitionBy("rec").orderBy("vec_id")
     n = (F.row_number().over(w) - 1).cast("long")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("rec"), n.alias("chunk"), (n * 64).alias("start_sample"), F.col("embedding").alias("samples"))
+    return table(spark, sf_dir, "embeddings").withColumn("rec", rec.cast("long")).select("rec", n.alias("chunk"), (n * 64).alias("start_sample"), F.col("embedding").alias("samples"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +91,9 @@ fx3p AS (SELECT DISTINCT rec, speaker, unnest(generate_series(CAST(round_even(st
     "fx4": """t0 AS (SELECT * FROM (VALUES ('user', 0), ('system', 1), ('assistant', 2)) v(speaker, track)),
 fx4 AS (SELECT g.rec, g.frame, t0.track, CASE WHEN (g.frame * 7 + t0.track * 3) % 11 = 0 THEN 0.3::DOUBLE WHEN a.frame IS NOT NULL THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS prob
   FROM (SELECT DISTINCT rec, frame FROM fx3) g CROSS JOIN t0 LEFT JOIN fx3 a ON a.rec = g.rec AND a.speaker = t0.speaker AND a.frame = g.frame - 1)""",
-    "fx5": """fx5 AS (SELECT label AS rec, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS chunk,
-  CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 AS BIGINT) AS start_sample, embedding AS samples FROM embeddings)""",
+    "fx5": f"""fx5 AS (SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY vec_id) - 1 AS BIGINT) AS chunk,
+  CAST((row_number() OVER (PARTITION BY rec ORDER BY vec_id) - 1) * 64 AS BIGINT) AS start_sample, embedding AS samples
+  FROM (SELECT CAST(vec_id // {VECTORS} * 1000000 + label AS BIGINT) AS rec, vec_id, embedding FROM embeddings) q)""",
     "fx6": "fx6 AS (SELECT rec, chunk AS frame, CAST(unnest(range(0, len(samples))) AS INT) AS dim, CAST(unnest(samples) AS DOUBLE) AS value FROM fx5)",
     "fx7": """fx7 AS (SELECT user_id AS rec, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS chunk,
   least(1.0::DOUBLE, value / 100.0::DOUBLE) AS prob FROM events)""",
