@@ -16,14 +16,23 @@ from .catalog_features import CACHE, MEL, S_ROWS, embeddings, rounded, smoother
 from .catalog_scoring import S_EVENTS, VC
 
 
-def run_stream(source: DataFrame, op: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """op over source as a stream of its files; the result of the append sink."""
+def run_stream(source: DataFrame, op: Callable[[DataFrame], DataFrame], order: str) -> DataFrame:
+    """op over source as a stream; the result of the append sink.
+
+    The upper half of `order` arrives after a first run has ended, so a second run goes on from the state
+    that the first one left in the checkpoint.
+    """
     spark = source.sparkSession
     root = shared_dir(spark)
-    source.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{root}/in")
-    query = op(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    source.write.parquet(f"{root}/all")
+    whole = spark.read.schema(source.schema).parquet(f"{root}/all")
+    half = whole.agg(F.max(order) / 2).first()[0] or 0
+    early = F.coalesce(F.col(order) <= half, F.lit(True))
+    for part in (whole.where(early), whole.where(~early)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{root}/in")
+        query = op(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
@@ -31,19 +40,19 @@ def last(df: DataFrame, order: str, *keys: str) -> DataFrame:
     return df.withColumn("is_last", F.col(order) == F.max(order).over(Window.partitionBy(*keys)))
 
 
-add("t1_stream_rechunk", lambda s, d: run_stream(last(fx.chunks(s, d).select("rec", F.col("chunk").alias("seq"), "samples"), "seq", "rec").withColumn("end_time", F.lit(None).cast("double")), lambda x: streams.rechunk(x, 100.0, 1.0, 0.5)).select("rec", "chunk", "start_time", F.size("samples").alias("n"), F.round(F.get("samples", F.lit(0)), 6).alias("first")),
+add("t1_stream_rechunk", lambda s, d: run_stream(last(fx.chunks(s, d).select("rec", F.col("chunk").alias("seq"), "samples"), "seq", "rec").withColumn("end_time", F.lit(None).cast("double")), lambda x: streams.rechunk(x, 100.0, 1.0, 0.5), "seq").select("rec", "chunk", "start_time", F.size("samples").alias("n"), F.round(F.get("samples", F.lit(0)), 6).alias("first")),
     """WITH n AS (SELECT rec, max(chunk + 1) * 64 AS n FROM fx5 GROUP BY rec), c AS (SELECT rec, unnest(range(0, greatest(0, (n - 100) // 50 + 1))) AS chunk FROM n)
     SELECT CAST(c.rec AS VARCHAR) AS rec, c.chunk, c.chunk * 0.5::DOUBLE AS start_time, 100 AS n, round(CAST(samples[c.chunk * 50 % 64 + 1] AS DOUBLE), 6) AS first FROM c JOIN fx5 ON fx5.rec = c.rec AND fx5.chunk = c.chunk * 50 // 64""", "fx5")
-add("t3_stream_features", lambda s, d: rounded(run_stream(last(fx.chunks(s, d).select("rec", "chunk", "samples"), "chunk", "rec"), lambda x: streams.stream_features(x, MEL)).select("rec", "frame", F.posexplode("values").alias("dim", "value")), "value", digits=5),
+add("t3_stream_features", lambda s, d: rounded(run_stream(last(fx.chunks(s, d).select("rec", "chunk", "samples"), "chunk", "rec"), lambda x: streams.stream_features(x, MEL), "chunk").select("rec", "frame", F.posexplode("values").alias("dim", "value")), "value", digits=5),
     "WITH " + S_ROWS + " SELECT CAST(rec AS VARCHAR) AS rec, frame, dim, value FROM mi", "fx5")
-add("t4_stream_segments", lambda s, d: run_stream(last(fx.activity(s, d), "frame", "rec", "track"), lambda x: streams.stream_segments(x, CFG)),
+add("t4_stream_segments", lambda s, d: run_stream(last(fx.activity(s, d), "frame", "rec", "track"), lambda x: streams.stream_segments(x, CFG), "frame"),
     "WITH " + S_SEG + " SELECT CAST(rec AS VARCHAR) AS rec, track, start_frame, end_frame, true AS finalized FROM seg", "fx1")
-add("t5_stream_vad_events", lambda s, d: run_stream(fx.voice(s, d), lambda x: streams.stream_vad_events(x, VC, 3)),
+add("t5_stream_vad_events", lambda s, d: run_stream(fx.voice(s, d), lambda x: streams.stream_vad_events(x, VC, 3), "chunk"),
     "WITH " + S_EVENTS + " SELECT CAST(rec AS VARCHAR) AS rec, kind, sample, round(sample / 16000.0::DOUBLE, 3) AS time FROM u", "fx7")
 add("t6_stream_speaker_cache", lambda s, d: run_stream(
     embeddings(s, d).select("rec", "frame", F.col("values"), F.floor(F.col("frame") / 6).alias("seq")).groupBy("rec", "seq").agg(F.sort_array(F.collect_list(F.struct("frame", "values"))).alias("c"))
     .select("rec", "seq", F.transform("c", lambda c: c["values"]).alias("embeddings"), F.transform("c", lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.when((c["frame"] + t) % 4 == 0, F.lit(0.9)).otherwise(F.lit(0.1)))).alias("probs")),
-    lambda x: streams.stream_speaker_cache(x, CACHE, 4, 8, 4)))
-add("t7_score_stream", lambda s, d: run_stream(last(embeddings(s, d), "frame", "rec"), lambda x: streams.score_stream(x, smoother, 0)).select("rec", "frame", F.posexplode("values").alias("dim", "value"), "finalized").withColumn("value", F.round("value", 6) + 0.0),
+    lambda x: streams.stream_speaker_cache(x, CACHE, 4, 8, 4), "seq"))
+add("t7_score_stream", lambda s, d: run_stream(last(embeddings(s, d), "frame", "rec"), lambda x: streams.score_stream(x, smoother, 0), "frame").select("rec", "frame", F.posexplode("values").alias("dim", "value"), "finalized").withColumn("value", F.round("value", 6) + 0.0),
     """SELECT CAST(a.rec AS VARCHAR) AS rec, a.frame, a.dim, round(sum(b.value * pow(0.5::DOUBLE, a.frame - b.frame + 1)), 6) + 0.0 AS value, true AS finalized
     FROM fx6 a JOIN fx6 b ON b.rec = a.rec AND b.dim = a.dim AND b.frame <= a.frame GROUP BY a.rec, a.frame, a.dim""", "fx6")
