@@ -179,7 +179,12 @@ add("u2_score_chunks", lambda s, d: rounded(scoring.score_chunks(small(s, d), sp
     # A chunk is scored after the 64 values before it; its mean magnitude is smoothed, the first one as it is.
     """WITH m AS (SELECT rec, frame, sum(abs(value)) AS t FROM fx6 GROUP BY rec, frame), c AS (SELECT rec, frame, (t + coalesce(lag(t) OVER (PARTITION BY rec ORDER BY frame), 0)) / 128 AS m FROM m)
     SELECT a.rec, a.frame AS chunk, round(sum(b.m * pow(0.5::DOUBLE, a.frame - b.frame + CASE WHEN b.frame = 0 THEN 0 ELSE 1 END)), 6) + 0.0 AS prob FROM c a JOIN c b ON b.rec = a.rec AND b.frame <= a.frame GROUP BY a.rec, a.frame""", "fx6")
-add("u3_score_context_windows", lambda s, d: scoring.score_context_windows(features.context_chunks(embeddings(s, d), 4, 1, 2), spread).select("rec", "window", F.size("values").alias("n"), F.round(F.get("values", F.lit(0)), 6).alias("first")))
+add("u3_score_context_windows", lambda s, d: rounded(scoring.score_context_windows(features.context_chunks(embeddings(s, d), 4, 1, 2), spread).select("rec", "window", F.posexplode("values").alias("pos", "value")), "value"),
+    # A window's mean magnitude, over one row before its four and two after them, is smoothed; all four rows have it.
+    """WITH m AS (SELECT rec, frame, avg(abs(value)) AS m FROM fx6 GROUP BY rec, frame), n AS (SELECT rec, max(frame) + 1 AS n FROM m GROUP BY rec), w AS (SELECT rec, unnest(range(0, (n - 2) // 4)) AS k FROM n),
+    c AS (SELECT w.rec, w.k, avg(m.m) AS x FROM w JOIN m ON m.rec = w.rec AND m.frame BETWEEN w.k * 4 - 1 AND w.k * 4 + 5 GROUP BY w.rec, w.k),
+    s AS (SELECT a.rec, a.k, sum(b.x * pow(0.5::DOUBLE, a.k - b.k + CASE WHEN b.k = 0 THEN 0 ELSE 1 END)) AS v FROM c a JOIN c b ON b.rec = a.rec AND b.k <= a.k GROUP BY a.rec, a.k)
+    SELECT rec, k AS "window", pos, round(v, 6) + 0.0 AS value FROM s CROSS JOIN (SELECT CAST(unnest(range(0, 4)) AS INT) AS pos) q""", "fx6")
 add("w17_align_delay", lambda s, d: scoring.align_delay(fx.voice(s, d).select("rec", F.col("chunk").alias("step"), F.col("prob").alias("score")), 3),
     "WITH n AS (SELECT rec, max(chunk) + 1 - 3 AS n FROM fx7 GROUP BY rec) SELECT rec, chunk - 3 AS frame, prob AS score, chunk - 3 >= n - 3 AS tail FROM fx7 JOIN n USING (rec) WHERE chunk >= 3", "fx7")
 add("t8_emission_ledger", lambda s, d: scoring.emission_ledger(small(s, d), 16000, 32, 16, 2, 2, 1),
