@@ -25,9 +25,12 @@ def to_pcm16(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("samples", F.transform("samples", lambda x: (F.greatest(-one, F.least(one, x.cast("double"))) * 32767).cast("int")))
 
 
-def downmix(channels: DataFrame) -> DataFrame:
-    """Mean over channels of rec, sample, channel, x."""
-    return channels.groupBy("rec", "sample").agg(F.avg("x").alias("x"))
+def downmix(chunks: DataFrame, channels: int) -> DataFrame:
+    """chunks of interleaved channels to chunks of their mean, each by itself; a chunk holds whole moments."""
+    n = F.size("samples")
+    mean = lambda i: F.aggregate(F.slice("samples", i * channels + 1, channels), F.lit(0.0), lambda s, x: s + x) / channels
+    moments = F.when(n % channels != 0, F.raise_error(F.lit(f"a chunk's samples must be a multiple of {channels}"))).when(n > 0, F.transform(F.sequence(F.lit(0), F.floor(n / channels).cast("int") - 1), mean))
+    return chunks.withColumns({"samples": F.coalesce(moments, F.array().cast("array<double>")), "start_sample": F.floor(F.col("start_sample") / channels)})
 
 
 def to_samples(chunks: DataFrame) -> DataFrame:
@@ -35,17 +38,29 @@ def to_samples(chunks: DataFrame) -> DataFrame:
     return chunks.select("rec", "start_sample", F.posexplode("samples").alias("pos", "x")).select("rec", (F.col("start_sample") + F.col("pos")).alias("sample"), F.col("x").cast("double").alias("x"))
 
 
-def resample_linear(samples: DataFrame, rate_in: float, rate_out: float) -> DataFrame:
-    """rec, sample, x at another rate: linear between floor neighbours, the last sample held."""
+def resample_linear(chunks: DataFrame, rate_in: float, rate_out: float) -> DataFrame:
+    """chunks at another rate: linear between floor neighbours, the last sample held.
+
+    A chunk makes the outputs whose floor lies in it, and needs of others only the first sample of the next one.
+    Chunks without samples, or that make none, give no row.
+    """
     if rate_in == rate_out:
-        return samples
+        return chunks
     ratio = rate_in / rate_out
-    w = Window.partitionBy("rec").orderBy("sample")
-    known = samples.select("rec", "sample", "x", F.coalesce(F.lead("x").over(w), F.col("x")).alias("after"))
-    sizes = samples.groupBy("rec").agg((F.max("sample") + 1).alias("n"))
-    out = sizes.select("rec", (F.col("n") / ratio).cast("long").alias("m")).where("m > 0").select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
-    spot = out.withColumn("sample", F.floor(F.col("i") * ratio))
-    return spot.join(known, ["rec", "sample"]).select("rec", F.col("i").alias("sample"), (F.col("x") + (F.col("after") - F.col("x")) * (F.col("i") * ratio - F.col("sample"))).alias("x"))
+    first, end = F.col("start_sample"), F.col("start_sample") + F.size("samples")
+    w = Window.partitionBy("rec").orderBy("start_sample")
+    after = F.coalesce(F.lead(F.get("samples", F.lit(0))).over(w), F.element_at("samples", -1)).cast("double")
+    full = chunks.where(F.size("samples") > 0).withColumns({"_after": after, "_n": F.max(end).over(Window.partitionBy("rec"))})
+    # One more output is tried on either side, since a quotient may be rounded; floors decide.
+    tried = F.sequence(F.greatest(F.lit(0), F.floor(first / ratio) - 1), F.ceil(end / ratio) + 1)
+    spot = lambda i: F.floor(i * ratio)
+    own = F.filter(tried, lambda i: (spot(i) >= first) & (spot(i) < end) & (i < (F.col("_n") / ratio).cast("long")))
+    at = lambda i: (spot(i) - first).cast("int")
+    here = lambda i: F.get("samples", at(i)).cast("double")
+    following = lambda i: F.coalesce(F.get("samples", at(i) + 1).cast("double"), F.col("_after"))
+    out = full.withColumn("_own", own).where(F.size("_own") > 0)
+    made = F.transform("_own", lambda i: here(i) + (following(i) - here(i)) * (i * ratio - spot(i)))
+    return out.withColumn("samples", made).withColumn("start_sample", F.col("_own")[0]).drop("_own", "_after", "_n")
 
 
 def resync(writes: DataFrame) -> DataFrame:

@@ -40,9 +40,9 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 add("s5_peak_normalize", lambda s, d: rounded(features.to_samples(features.peak_normalize(small(s, d))), "x"),
     "WITH " + S_X + " SELECT rec, sample, round(x / max(abs(x)) OVER (PARTITION BY rec), 6) + 0.0 AS x FROM x", "fx5")
 add("s5_to_pcm16", lambda s, d: features.to_samples(features.to_pcm16(small(s, d))).withColumn("x", F.col("x").cast("int")), "WITH " + S_X + " SELECT rec, sample, CAST(trunc(greatest(-1, least(1, x)) * 32767) AS INT) AS x FROM x", "fx5")
-add("a9_downmix", lambda s, d: rounded(features.downmix(features.to_samples(small(s, d)).select("rec", F.floor(F.col("sample") / 2).alias("sample"), (F.col("sample") % 2).alias("channel"), "x")), "x"),
+add("a9_downmix", lambda s, d: rounded(features.to_samples(features.downmix(small(s, d), 2)), "x"),
     "WITH " + S_X + " SELECT rec, sample // 2 AS sample, round(avg(x), 6) + 0.0 AS x FROM x GROUP BY rec, sample // 2", "fx5")
-add("j12_resample_linear", lambda s, d: rounded(features.resample_linear(features.to_samples(small(s, d)), 16000, 10000), "x"),
+add("j12_resample_linear", lambda s, d: rounded(features.to_samples(features.resample_linear(small(s, d), 16000, 10000)), "x"),
     "WITH " + S_X + """, n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), o AS (SELECT rec, unnest(range(0, CAST(trunc(n / 1.6::DOUBLE) AS BIGINT))) AS i FROM n), k AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY rec ORDER BY sample), x) AS y FROM x)
     SELECT o.rec, i AS sample, round(x + (y - x) * (i * 1.6::DOUBLE - floor(i * 1.6::DOUBLE)), 6) + 0.0 AS x FROM o JOIN k ON k.rec = o.rec AND k.sample = CAST(floor(i * 1.6::DOUBLE) AS BIGINT)""", "fx5")
 add("t2_resync", lambda s, d: rounded(features.resync(small(s, d).select("rec", F.col("chunk").alias("seq"), (F.col("chunk") * 60 + F.floor(F.col("chunk") / 7) * 10).alias("start_sample"), "samples")), "x"),

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from framewise.operators import evaluate, segments, vad
+from framewise.operators import evaluate, features, segments, vad
 from framewise.operators.segments import SegmentConfig
 
 
@@ -156,3 +156,25 @@ def test_split_regions_in_parts(spark):
             found = vad.bounded_regions(at[loud], at[calm], p[calm], len(p), cfg)
             want |= {(rec, x * vad.CHUNK, y * vad.CHUNK) for x, y in found if (y - x) * vad.CHUNK >= max(1, vad.samples(cfg.min_speech))}
         assert {tuple(r) for r in vad.split_regions(df, cfg).collect()} == want
+
+
+def test_chunks_resampled_and_mixed(spark):
+    """Chunks of any length, and outputs denser or sparser than inputs, against a plain loop."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=101)
+    cuts = [0, 1, 4, 4, 40, 41, 101]
+    rows = [("a", c, a, x[a:b].tolist()) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))] + [("b", 0, 0, [2.0]), ("c", 0, 0, [])]
+    chunks = spark.createDataFrame(rows, "rec string, chunk long, start_sample long, samples array<double>")
+    for rate_in, rate_out in ((16000, 10000), (8000, 24000), (44100, 16000), (3, 1)):
+        ratio = rate_in / rate_out
+        want = {}
+        for rec, v in (("a", x), ("b", np.array([2.0]))):
+            for i in range(int(len(v) / ratio)):
+                k = int(np.floor(i * ratio))
+                want[rec, i] = v[k] + (v[min(k + 1, len(v) - 1)] - v[k]) * (i * ratio - k)
+        got = {(r.rec, r.sample): r.x for r in features.to_samples(features.resample_linear(chunks, rate_in, rate_out)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert features.resample_linear(chunks, 8000, 8000) is chunks
+    three = spark.createDataFrame([("a", 0, 0, x[:60].tolist()), ("a", 1, 60, x[60:99].tolist()), ("a", 2, 99, [])], chunks.schema)
+    got = {r.sample: r.x for r in features.to_samples(features.downmix(three, 3)).collect()}
+    assert np.allclose([got[i] for i in range(33)], x[:99].reshape(33, 3).mean(axis=1)) and len(got) == 33
