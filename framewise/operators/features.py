@@ -84,8 +84,9 @@ def analysis_frames(chunks: DataFrame, nfft: int, win: int, hop: int, mode: str
     """rec, frame, samples: nfft samples of each analysis frame, 0 outside the recording.
 
     center: n // hop frames, each nfft/2 around frame * hop. pre_padded: as many as fit into the recording.
-    plain: windows of win samples from frame * hop. A chunk of `size` samples is joined with the frames
-    that touch it, so long recordings spread over tasks.
+    plain: windows of win samples from frame * hop. All but the last chunk of a recording have `size` samples.
+    A frame is cut in the chunk where it starts, to which later chunks send only the samples that its frames
+    can reach; a recording's chunks spread over tasks.
     """
     sizes = chunks.groupBy("rec").agg(F.max(F.col("start_sample") + F.size("samples")).alias("n"))
     n = F.col("n")
@@ -97,17 +98,24 @@ def analysis_frames(chunks: DataFrame, nfft: int, win: int, hop: int, mode: str
         count, shift, length = F.floor((n - win) / hop) + 1, 0, win
     else:
         raise ValueError("mode must be center, pre_padded or plain")
-    starts = sizes.select("rec", count.alias("frames"), n.alias("n")).where("frames > 0").select("rec", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame"))
-    starts = starts.withColumn("s", F.col("frame") * hop + shift)
-    inside = F.sequence(F.floor(F.greatest(F.col("s"), F.lit(0)) / size), F.floor(F.least(F.col("s") + length - 1, F.col("n") - 1) / size))
-    touched = starts.select("rec", "frame", "s", F.explode(inside).alias("chunk"))
-    hit = touched.join(chunks.select("rec", "chunk", F.col("start_sample").alias("c0"), "samples"), ["rec", "chunk"])
-    lo, hi = F.greatest(F.col("s"), F.col("c0")), F.least(F.col("s") + length, F.col("c0") + F.size("samples"))
-    part = F.slice("samples", (lo - F.col("c0") + 1).cast("int"), (hi - lo).cast("int"))
-    g = hit.groupBy("rec", "frame").agg(F.min("s").alias("s"), F.sort_array(F.collect_list(F.struct("chunk", part.alias("part")))).alias("parts"))
+    c, home = F.col("chunk"), F.col("_home")
+    sent = chunks.select("rec", "chunk", "samples", F.explode(F.sequence(F.greatest(F.lit(0), c - math.ceil((length - 1) / size)), c)).alias("_home"))
+    reach = F.when(c == home, F.size("samples")).otherwise(F.least(F.size("samples"), ((home + 1 - c) * size + length - 1).cast("int")))
+    parts = sent.select("rec", "_home", "chunk", F.slice("samples", F.lit(1), F.greatest(F.lit(0), reach)).alias("part"))
+    held = parts.groupBy("rec", "_home").agg(F.sort_array(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
     body = F.transform(F.flatten(F.transform("parts", lambda p: p["part"])), lambda x: x.cast("double"))
-    left = F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), -F.col("s")).cast("int"))
-    return g.select("rec", "frame", F.slice(F.concat(left, body, F.array_repeat(F.lit(0.0), length)), 1, length).alias("samples"))
+    lo = F.when(home == 0, F.lit(0)).otherwise(F.ceil((home * size - shift) / hop))
+    hi = F.least(F.col("frames"), F.ceil(((home + 1) * size - shift) / hop)) - 1
+    joined = held.join(sizes.select("rec", count.alias("frames")), "rec").select("rec", "_home", body.alias("body"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where("hi >= lo")
+
+    def cut(f: Column) -> Column:
+        s = f * hop + shift
+        left = F.greatest(F.lit(0), F.least(-s, F.lit(length))).cast("int")
+        inside = F.slice("body", (F.greatest(s, F.lit(0)) - home * size + 1).cast("int"), length - left)
+        padded = F.concat(F.array_repeat(F.lit(0.0), left), inside, F.array_repeat(F.lit(0.0), F.lit(length)))
+        return F.struct(f.alias("frame"), F.slice(padded, 1, length).alias("samples"))
+
+    return joined.select("rec", F.explode(F.transform(F.sequence("lo", "hi"), cut)).alias("f")).select("rec", "f.frame", "f.samples")
 
 
 def hann_table(spark: SparkSession, n: int, periodic: bool = True) -> DataFrame:

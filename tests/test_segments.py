@@ -178,3 +178,20 @@ def test_chunks_resampled_and_mixed(spark):
     three = spark.createDataFrame([("a", 0, 0, x[:60].tolist()), ("a", 1, 60, x[60:99].tolist()), ("a", 2, 99, [])], chunks.schema)
     got = {r.sample: r.x for r in features.to_samples(features.downmix(three, 3)).collect()}
     assert np.allclose([got[i] for i in range(33)], x[:99].reshape(33, 3).mean(axis=1)) and len(got) == 33
+
+
+@pytest.mark.parametrize("nfft, win, hop, size", [(32, 24, 16, 64), (32, 24, 16, 10), (8, 8, 20, 7), (16, 9, 5, 64)])
+def test_frames_across_chunks(spark, nfft, win, hop, size):
+    """Frames longer and shorter than chunks and hops, short recordings and a short last chunk."""
+    rng = np.random.default_rng(nfft + size)
+    series = {r: rng.normal(size=n) for r, n in (("a", 150), ("b", size), ("c", 3), ("d", size * 2 + 1))}
+    rows = [(r, i // size, i, x[i : i + size].tolist()) for r, x in series.items() for i in range(0, len(x), size)]
+    chunks = spark.createDataFrame(rows, "rec string, chunk long, start_sample long, samples array<double>")
+    for mode, shift, length in (("center", -(nfft // 2), nfft), ("pre_padded", 0, nfft), ("plain", 0, win)):
+        want = {}
+        for r, x in series.items():
+            frames = len(x) // hop if mode == "center" else (len(x) - length) // hop + 1
+            far = np.concatenate((np.zeros(nfft), x, np.zeros(2 * nfft)))
+            want |= {(r, f): far[nfft + f * hop + shift :][:length] for f in range(max(0, frames))}
+        got = {(r.rec, r.frame): r.samples for r in features.analysis_frames(chunks, nfft, win, hop, mode, size).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
