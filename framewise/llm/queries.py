@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotraining, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, surrogates, winnowing
+from . import bpe, cotraining, filter_audit, license_scan, line_dedup, merkle, metric_join, mixing, near_dedup, quality_rules, sharding, surrogates, winnowing
 from .common import table
 
 
@@ -25,9 +25,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_template_automata": _documents(license_scan.op8),
     "op9_cotraining_quality": cotraining.op9,
     "op10_deletion_neighbourhood_lines": _documents(line_dedup.op10),
+    "op11_merkle_manifest": _documents(merkle.op11),
+    "op12_metric_range_join": metric_join.op12,
+    "op13_filter_interaction_audit": filter_audit.op13,
 }
 ORACLES: dict[str, str] = {
     "op6_minmax_hash_near_dedup": near_dedup.ORACLE,
     "op10_deletion_neighbourhood_lines": line_dedup.ORACLE,
     "op8_license_template_automata": license_scan.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_metric_range_join": metric_join.ORACLE,
+    "op13_filter_interaction_audit": filter_audit.ORACLE,
 }
