@@ -206,6 +206,11 @@ def join_block(x: np.ndarray, side: np.ndarray, angle: np.ndarray, weight: np.nd
     theta = math.acos(least)
     u = unit(x)
     small, slack = u.astype(np.float32), (x.shape[1] + 8) * 2.0**-23
+    # The cosine as it is defined, on the vectors as they are, where their lengths allow it.
+    with np.errstate(over="ignore", invalid="ignore"):
+        lengths = np.sqrt(np.einsum("ij,ij->i", x, x))
+    if not ((lengths > 1e-140) & (lengths < 1e140)).all():
+        x, lengths = u, np.ones(len(x))
     order = np.argsort(angle, kind="stable")
     mine, guests = order[side[order] == 0], order[side[order] == 1]
     links, edges_a, edges_b = np.zeros(len(x), np.int64), [], []
@@ -229,8 +234,8 @@ def join_block(x: np.ndarray, side: np.ndarray, angle: np.ndarray, weight: np.nd
         hit = s >= least - slack
         i, j = np.nonzero(hit & (s <= least + slack))
         if len(i):
-            p, q = u[rows[i]], u[cols[j]]
-            hit[i, j] = np.einsum("ij,ij->i", p, q) >= least
+            p, q = rows[i], cols[j]
+            hit[i, j] = np.einsum("ij,ij->i", x[p], x[q]) / (lengths[p] * lengths[q]) >= least
         if same:
             np.fill_diagonal(hit, False)
         links[rows] += hit @ weight[cols]
