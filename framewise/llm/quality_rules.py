@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mix64, slices, table, text_bytes, word_hashes
+from .common import SLICE_BYTES, cut, mix64, slices, table, text_bytes, word_hashes
 
 #: Most labelled rows that the model sees; they are chosen by a hash of their id.
 SAMPLE = 4000
@@ -184,10 +184,11 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, y of at most `most` labelled documents, by hash of their id."""
-    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
-    some = y.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    """doc_id, text, y of at most `most` labelled documents, by hash of their id. Labels of other documents don't count."""
+    y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = cut(y.join(own.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most))
+    return own.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Logistic | None:
@@ -207,7 +208,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 def score(docs: DataFrame, model: Logistic | None, buckets: int = BUCKETS) -> DataFrame:
-    """Base statistics and calibrated probability of every row of docs (doc_id, text)."""
+    """Base statistics and calibrated probability of every row of docs (doc_id, text); the probability is null without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +217,9 @@ def score(docs: DataFrame, model: Logistic | None, buckets: int = BUCKETS) -> Da
             texts = text_bytes(batch.column(1))
             for lo, hi in slices(texts):
                 stats = [base_statistics(t.decode("utf-8", "replace")) for t in texts[lo:hi]]
-                chance = [float(own.probability(own.raw_of(g))) for g in gram_buckets(texts[lo:hi], buckets)] if own else [1.0] * (hi - lo)
+                chance = [float(own.probability(own.raw_of(g))) for g in gram_buckets(texts[lo:hi], buckets)] if own else [None] * (hi - lo)
                 columns = [pa.array(x, pa.int64()) for x in zip(*stats, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns, pa.array(chance)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns, pa.array(chance, pa.float64())], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
@@ -227,4 +228,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     failed: Callable[[], F.Column] = lambda: (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * int(100 * MOST_REPEATED))
-    return scored.withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= KEEP_FROM))
+    return scored.withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("probability", F.lit(1.0)) >= KEEP_FROM))

@@ -140,3 +140,15 @@ def test_odd_tables(spark, odd, empty):
     assert q.score(empty, q.train(empty, labels)).count() == 0
     assert cotraining.score(empty, cotraining.train(empty, labels)).count() == 0
     assert q.score(odd, None).where(F.col("n_words") < 0).count() == 0
+
+
+def test_foreign_labels(spark, docs, sf):
+    """Labels of documents that aren't there take no place in the bounded sample; without a model the probability is null."""
+    own = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    foreign = spark.range(1_000_000, 1_100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    alone = {r.doc_id for r in q.labelled_sample(docs, own, q.SAMPLE).collect()}
+    both = {r.doc_id for r in q.labelled_sample(docs, own.union(foreign), q.SAMPLE).collect()}
+    assert both == alone and len(alone) > 50
+    assert q.train(docs, own.union(foreign)) is not None
+    assert q.train(docs, foreign) is None
+    assert q.score(docs, None).where("probability is not null").count() == 0
