@@ -1,8 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Detected are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card-like numbers, IBANs whose check
-digits hold, US social security numbers, secret hexadecimal tokens, keys of known prefixes and, after a title
-or as a listed given name, people's names; a name found so is also replaced wherever else
+digits hold, US social security numbers, secret hexadecimal tokens, keys of known prefixes and, after a title or
+a phrase that introduces or signs, or as a listed given name, people's names; a name found so is also replaced wherever else
 the same text has it as a whole word, in the same letter case. A surrogate has its entity's type, script,
 letter case, separators and length. It is made by a keyed permutation of all strings of the entity's
 pattern, without fixed points: the same entity has the same surrogate everywhere (coreference), and two
@@ -46,6 +46,8 @@ NAMES = {
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Madame": "f", "Monsieur": "m", "Señor": "m", "Señora": "f"}
 #: The letters that may stand for each other, by script.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáåæéèêëíìîïóòôöøœúùûüýÿ", "çñšžčćđðþ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
+#: Han characters are one alphabet, those from U+4E00 to U+9FFF.
+ALPHABETS.append("".join(map(chr, range(0x4E00, 0xA000))))
 HEX = "0123456789abcdef"
 #: Country codes of one and two digits; all others have three.
 COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|...")
@@ -56,24 +58,36 @@ _KEY_MARKS = ("AKIA", "ASIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xo
 KEY_LETTERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz"]
 
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
-_NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’-]+"
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯŠŽČĆĐ", "a-zß-öø-ÿа-яšžčćđ"
+#: A capital, then letters of any case with single apostrophes or hyphens between them, one of them small: O'Neill, McDonald.
+_NAME = rf"[{_UPPER}](?=[{_UPPER}'’-]*[{_LOWER}])(?:['’-]?[{_UPPER}{_LOWER}])+"
+#: What stands before one to three names, and what before two or three.
+INTRODUCED = ["my name is", "mein Name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут"]
+SIGNED = ["contact", "written by", "signed by", "sincerely,", "regards,", "Kontakt:", "contacto:", "автор:"]
+#: The same before two to four Han characters.
+INTRODUCED_HAN = ["我叫", "我的名字是", "my name is "]
 _PATTERNS: list[tuple[str, re.Pattern[str], Callable[[str], bool]]] = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), lambda t: "@" in t),
     ("key", re.compile(r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{20,})(?![\w-])"), lambda t: any(x in t for x in _KEY_MARKS)),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), lambda t: True),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), lambda t: bool(_HEX_RUN.search(t))),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), lambda t: True),
-    ("ipv6", re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:])(?!\.\d)"), lambda t: ":" in t),
+    ("ipv6", re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:])(?!\.\d)"), lambda t: "::" in t or t.count(":") > 6),
     ("ip", re.compile(r"(?<![\d.])(?<!\bv)(?<!ersion )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d|\d)"), lambda t: True),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])"), lambda t: True),
     ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), lambda t: "-" in t),
     ("card", re.compile(r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w-])"), lambda t: True),
 ]
+_HEX_RUN = re.compile(r"[0-9a-fA-F]{32}")
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})\.? ({_NAME})(?: ({_NAME}))?")
 _LISTED = re.compile(rf"\b({'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?: ({_NAME}))?(?![\w'’-])")
+_CUED = re.compile(rf"(?i:\b(?:{'|'.join(INTRODUCED)}))[: ]+({_NAME})(?: ({_NAME}))?(?: ({_NAME}))?|(?i:\b(?:{'|'.join(SIGNED)}))\s+({_NAME}) ({_NAME})(?: ({_NAME}))?(?![\w'’-])")
+_CUES = tuple(x.lower() for x in INTRODUCED + SIGNED)
+_CUED_HAN = re.compile(rf"(?:{'|'.join(INTRODUCED_HAN)})([\u4e00-\u9fff]{{2,4}})(?![\u4e00-\u9fff])")
 _POSSESSIVE = re.compile(r"(?<=[^\W\d_]{2})(?:['’]s|['’-]+)$")
 _WORD = re.compile(rf"(?<!\w){_NAME}(?:['’-]\w+)*(?!\w)|\w+(?:['’-]\w+)+")
 _PART = re.compile(r"\w+")
 _HAS_DIGITS = re.compile(r"\d(?:\d|\.\d)")
+_NO_DIGIT_PAIR = ("email", "key", "secret", "ipv6")
 _CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞА-Я]\w*")
 _QUOTES = " \t\"'‘’“”«»()[]¿¡"
 #: For each listed name its lower-case form and itself, each with the pattern of the whole word.
@@ -164,6 +178,8 @@ def is_ipv6(text: str) -> bool:
 _VALID: dict[str, Callable[[str], bool]] = {
     "iban": lambda t: (x := t.replace(" ", "")) and iban_check(x[:2], x[4:]) == x[2:4],
     "ipv6": is_ipv6,
+    # Digits in groups of four are a card's by their form; others need its check digit.
+    "card": lambda t: not t.isdecimal() or int(t[-1]) == luhn(t[:-1]),
 }
 _SSN = dict((k, p) for k, p, _ in _PATTERNS)["ssn"]
 
@@ -262,16 +278,20 @@ def find(text: str, common: frozenset[str] = frozenset()) -> list[Found]:
     Names in `common` need more than the first place of a sentence.
     """
     found: list[Found] = []
-    taken: list[tuple[int, int]] = []
+    begins: list[int] = []  # of what was found, in order, with the ends beside it
+    ends: list[int] = []
 
     def add(begin: int, end: int, kind: str) -> None:
-        if all(end <= a or b <= begin for a, b in taken):
-            taken.append((begin, end))
+        i = bisect.bisect_left(ends, begin + 1)
+        if i == len(ends) or end <= begins[i]:
+            begins.insert(i, begin)
+            ends.insert(i, end)
             found.append((begin, end, kind, text[begin:end]))
 
     digits = bool(_HAS_DIGITS.search(text))
     for kind, pattern, worth in _PATTERNS:
-        if worth(text) and (digits or kind in ("email", "key")):
+        # The other kinds need two digits side by side, or with a point between them.
+        if (digits or kind in _NO_DIGIT_PAIR) and worth(text):
             for m in pattern.finditer(text):
                 if kind in _VALID and not _VALID[kind](m[0]):
                     continue
@@ -291,6 +311,18 @@ def find(text: str, common: frozenset[str] = frozenset()) -> list[Found]:
                     script_gender = _GIVEN.get(name)
                     kind = f"given|{script_gender[0]}|{script_gender[1]}" if script_gender else "family"
                     add(m.start(g), m.start(g) + len(name), kind)
+    low = text.lower()
+    if any(x in low for x in _CUES):
+        for m in _CUED.finditer(text):
+            for g in range(1, 7):
+                if m[g]:
+                    name = _POSSESSIVE.sub("", m[g])
+                    known = _GIVEN.get(name)
+                    add(m.start(g), m.start(g) + len(name), f"given|{known[0]}|{known[1]}" if known else "family")
+    if any(x in text for x in INTRODUCED_HAN):
+        for name in {m[1] for m in _CUED_HAN.finditer(text)}:
+            for m in re.finditer(name, text):  # words have no borders there
+                add(m.start(), m.end(), "family")
     found.sort()
     names = {entity: kind for _, _, kind, entity in found if kind == "family" or kind.startswith("given")}
     return sorted(found + _mentions(text, names, found)) if names else found
