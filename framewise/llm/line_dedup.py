@@ -172,7 +172,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = keyed.join(drops, keyed["_id"].eqNullSafe(drops["id"]) & (keyed["_hash"] == drops["hash"]), "left")
     gone = F.array_union("_exact", "_near")
     parts = F.split("text", "\n")
-    kept = let(gone, lambda g: F.filter(parts, lambda _, i: ~F.array_contains(g, i)))
+    # One hashed difference of places, however many lines go.
+    kept = let(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone), lambda i: F.get(p, i)))
     text = F.when(F.col("_exact").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     counts = {"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_exact": F.coalesce(F.size("_exact"), F.lit(0)).cast("long"), "n_near": F.coalesce(F.size("_near"), F.lit(0)).cast("long")}
     return joined.select(*[(text if c == "text" else keyed[c]).alias(c) for c in names], *[F.greatest(v, F.lit(0).cast("long")).alias(c) for c, v in counts.items()])
