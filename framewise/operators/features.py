@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def peak_normalize(chunks: DataFrame) -> DataFrame:
     """Samples over their recording's largest magnitude, where that isn't 0."""
@@ -41,16 +45,19 @@ def to_samples(chunks: DataFrame) -> DataFrame:
 def resample_linear(chunks: DataFrame, rate_in: float, rate_out: float) -> DataFrame:
     """chunks at another rate: linear between floor neighbours, the last sample held.
 
-    A chunk makes the outputs whose floor lies in it, and needs of others only the first sample of the next one.
-    Chunks without samples, or that make none, give no row.
+    A chunk makes the outputs whose floor lies in it, and needs of others only the first sample of the next one: the
+    window over a recording holds those, never the chunks. start_sample must be distinct within a recording among
+    chunks with samples. Chunks without samples, or that make none, give no row.
     """
     if rate_in == rate_out:
         return chunks
     ratio = rate_in / rate_out
     first, end = F.col("start_sample"), F.col("start_sample") + F.size("samples")
     w = Window.partitionBy("rec").orderBy("start_sample")
-    after = F.coalesce(F.lead(F.get("samples", F.lit(0))).over(w), F.element_at("samples", -1)).cast("double")
-    full = chunks.where(F.size("samples") > 0).withColumns({"_after": after, "_n": F.max(end).over(Window.partitionBy("rec"))})
+    filled = chunks.where(F.size("samples") > 0)
+    edges = filled.select("rec", "start_sample", F.get("samples", F.lit(0)).alias("_first"), end.alias("_end"))
+    edges = edges.select("rec", "start_sample", F.lead("_first").over(w).alias("_next"), F.max("_end").over(Window.partitionBy("rec")).alias("_n"))
+    full = filled.join(edges, ["rec", "start_sample"]).withColumn("_after", F.coalesce("_next", F.element_at("samples", -1)).cast("double"))
     # One more output is tried on either side, since a quotient may be rounded; floors decide.
     tried = F.sequence(F.greatest(F.lit(0), F.floor(first / ratio) - 1), F.ceil(end / ratio) + 1)
     spot = lambda i: F.floor(i * ratio)
@@ -60,16 +67,81 @@ def resample_linear(chunks: DataFrame, rate_in: float, rate_out: float) -> DataF
     following = lambda i: F.coalesce(F.get("samples", at(i) + 1).cast("double"), F.col("_after"))
     out = full.withColumn("_own", own).where(F.size("_own") > 0)
     made = F.transform("_own", lambda i: here(i) + (following(i) - here(i)) * (i * ratio - spot(i)))
-    return out.withColumn("samples", made).withColumn("start_sample", F.col("_own")[0]).drop("_own", "_after", "_n")
+    return out.withColumn("samples", made).withColumn("start_sample", F.col("_own")[0]).select(*chunks.columns)
+
+
+#: Samples of a row of zeros at most, where nothing was written.
+GAP = 65_536
+
+
+@dataclass
+class Sweep:
+    """Where a sweep over writes stands, the writes open there (newest first), and the stretch told last but not yet given."""
+
+    at: int = 0
+    open: list[tuple[int, int]] = field(default_factory=list)  # (-seq, end)
+    held: list = field(default_factory=list)  # seq or None, begin, end
+
+    def tell(self, seq: int | None, end: int, out: list[tuple]) -> None:
+        """The stretch up to end belongs to seq."""
+        if self.held and self.held[0] == seq and self.held[2] == self.at:
+            self.held[2] = end
+        else:
+            out += [tuple(self.held)] if self.held else []
+            self.held = [seq, self.at, end]
+        self.at = end
+
+    def go(self, to: int | None, out: list[tuple]) -> None:
+        """Goes on to a place, or to the end of all that is open."""
+        while to is None or self.at < to:
+            while self.open and self.open[0][1] <= self.at:
+                heapq.heappop(self.open)
+            if not self.open:
+                if to is not None:
+                    self.tell(None, to, out)
+                return
+            newest, end = self.open[0]
+            self.tell(-newest, end if to is None else min(end, to), out)
+
+
+def newest_stretches(writes: DataFrame) -> DataFrame:
+    """rec, seq, begin, end: which write (rec, seq, start_sample, samples) each stretch of samples comes from, null for gaps.
+
+    A sweep over the writes' ends, in the order of their beginnings; it sees no samples and holds only open writes.
+    """
+    kinds = dict(writes.dtypes)
+    spans = writes.select("rec", F.col("seq").cast("long").alias("seq"), F.greatest(F.lit(0), "start_sample").cast("long").alias("begin"), (F.col("start_sample") + F.size("samples")).cast("long").alias("end")).where("end > begin")
+
+    def rows(rec: Any, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(rec, *r) for r in out], columns=["rec", "seq", "begin", "end"]).astype({"seq": "Int64"})
+
+    def take(own: Sweep, batch: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for seq, begin, end in zip(batch["seq"], batch["begin"], batch["end"], strict=True):
+            own.go(begin, out)
+            heapq.heappush(own.open, (-seq, end))
+        return rows(batch["rec"].iloc[0], out)
+
+    def close(own: Sweep, rec: Any) -> pd.DataFrame:
+        out: list[tuple] = []
+        own.go(None, out)
+        return rows(rec, [*out, *([tuple(own.held)] if own.held else [])])
+
+    return fold(spans, "begin", f"rec {kinds['rec']}, seq long, begin long, end long", Sweep, take, close)
 
 
 def resync(writes: DataFrame) -> DataFrame:
-    """rec, sample, x of writes (rec, seq, start_sample, samples) at known places: the newest wins, gaps are 0."""
-    cells = writes.select("rec", "seq", "start_sample", F.posexplode("samples").alias("pos", "x")).select("rec", "seq", (F.col("start_sample") + F.col("pos")).alias("sample"), F.col("x").cast("double").alias("x"))
-    newest = cells.where("sample >= 0").groupBy("rec", "sample").agg(F.max_by("x", "seq").alias("x"))
-    ends = newest.groupBy("rec").agg(F.max("sample").alias("n"))
-    grid = ends.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("sample"))
-    return grid.join(newest, ["rec", "sample"], "left").select("rec", "sample", F.coalesce("x", F.lit(0.0)).alias("x"))
+    """rec, start_sample, samples of writes (rec, seq, start_sample, samples) at known places: the newest wins, gaps are 0.
+
+    A row is a stretch of one write, cut from it by a slice, or of a gap, so the number of rows follows the writes.
+    seq is distinct within a recording; samples before 0 are forgotten.
+    """
+    found = newest_stretches(writes)
+    kept = found.where("seq is not null").join(writes.select("rec", F.col("seq").cast("long").alias("seq"), F.col("start_sample").alias("_start"), "samples"), ["rec", "seq"])
+    part = F.slice("samples", (F.col("begin") - F.col("_start") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    kept = kept.select("rec", F.col("begin").alias("start_sample"), F.transform(part, lambda x: x.cast("double")).alias("samples"))
+    gaps = found.where("seq is null").select("rec", "end", F.explode(F.sequence(F.col("begin"), F.col("end") - 1, F.lit(GAP).cast("long"))).alias("start_sample"))
+    return kept.union(gaps.select("rec", "start_sample", F.array_repeat(F.lit(0.0), F.least(F.lit(GAP), F.col("end") - F.col("start_sample")).cast("int")).alias("samples")))
 
 
 def preemphasis(chunks: DataFrame, a: float = 0.97, last: float = 0.0) -> DataFrame:
@@ -167,10 +239,25 @@ def power_spectrum(frames: DataFrame, nfft: int, window: np.ndarray | None = Non
     return frames.select("rec", "frame", "samples").mapInPandas(run, f"rec {kind}, frame long, power array<double>")
 
 
+#: Most weights of a filter bank: as many as a matrix of 128 bands over 4,096 bins has.
+BANK = 1 << 19
+
+
 def mel_project(power: DataFrame, bank: DataFrame) -> DataFrame:
-    """rec, frame, mel, value: each band's weighted power. bank: mel, bin, weight, a constant of the transform."""
-    cells = power.select("rec", "frame", F.posexplode("power").alias("bin", "p"))
-    return cells.join(F.broadcast(bank), "bin").groupBy("rec", "frame", "mel").agg(F.sum(F.col("weight") * F.col("p")).alias("value"))
+    """rec, frame, mel, value: each band's weighted power, a product in Arrow batches. bank: mel, bin, weight, a constant of the transform."""
+    weights = bank.select("mel", "bin", "weight").limit(BANK + 1).toPandas()
+    if len(weights) > BANK:
+        raise ValueError(f"a filter bank has at most {BANK} weights")
+    matrix = np.zeros((int(weights["mel"].max()) + 1, int(weights["bin"].max()) + 1))
+    matrix[weights["mel"], weights["bin"]] = weights["weight"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["power"].to_list())[:, : matrix.shape[1]] if len(pdf) else np.zeros((0, matrix.shape[1]))
+            yield pdf[["rec", "frame"]].assign(values=list(x @ matrix[:, : x.shape[1]].T))
+
+    bands = power.select("rec", "frame", "power").mapInPandas(run, f"rec {dict(power.dtypes)['rec']}, frame long, values array<double>")
+    return bands.select("rec", "frame", F.posexplode("values").alias("mel", "value"))
 
 
 def log_floor(x: Column, floor: float = 2.0**-24, mode: str = "add") -> Column:
@@ -237,19 +324,47 @@ def splice_subsample(rows: DataFrame, context: int, step: int, dims: int) -> Dat
     return out.select("rec", (F.col("frame") / step).cast("long").alias("frame"), F.concat(pad(context - F.col("frame")), F.flatten("a"), pad(F.col("frame") + context + 1 - F.col("n"))).alias("values"))
 
 
+@dataclass
+class Spliced:
+    """Sums of all frames so far, the normalised frames that later rows reach, and the number of rows given."""
+
+    total: np.ndarray | float = 0.0
+    frames: int = 0
+    first: int = 0  # of the frames kept
+    rows: list[np.ndarray] = field(default_factory=list)
+    emitted: int = 0
+
+
 def offline_features(chunks: DataFrame, cfg: MelConfig) -> DataFrame:
     """Model input rows of whole recordings: log mel, running mean, splicing.
 
-    Samples beyond a multiple of hop x subsampling and the last analysis frame are left out.
+    Samples beyond a multiple of hop x subsampling and the last analysis frame are left out. The running mean and
+    the splicing are one fold over a recording's frames, which holds a sum for each band and the frames in reach.
     """
     block = cfg.hop * cfg.subsampling
     usable = chunks.groupBy("rec").agg((F.floor(F.max(F.col("start_sample") + F.size("samples")) / block) * block).alias("usable"))
     trimmed = chunks.join(usable, "rec").withColumn("samples", F.slice("samples", 1, F.greatest(F.lit(0), F.least(F.size("samples").cast("long"), F.col("usable") - F.col("start_sample"))).cast("int"))).where(F.size("samples") > 0)
     mel = log_mel(trimmed.drop("usable"), cfg).join(usable, "rec").where(F.col("frame") < F.col("usable") / cfg.hop - 1).drop("usable")
-    long = mel.select("rec", "frame", F.posexplode("values").alias("dim", "value"))
-    norm = cumulative_mean_norm(long)
-    rows = norm.groupBy("rec", "frame").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("c")).select("rec", "frame", F.transform("c", lambda c: c["value"]).alias("values"))
-    return splice_subsample(rows, cfg.context, cfg.subsampling, cfg.n_mels)
+
+    def give(own: Spliced, rec: Any, upto: int) -> pd.DataFrame:
+        zero, out, first = np.zeros(cfg.n_mels), [], own.emitted
+        while (mid := own.emitted * cfg.subsampling) < upto:
+            around = range(mid - cfg.context, mid + cfg.context + 1)
+            out.append(np.concatenate([own.rows[f - own.first] if 0 <= f < own.frames else zero for f in around]))
+            own.emitted += 1
+        gone = max(0, own.emitted * cfg.subsampling - cfg.context - own.first)
+        own.rows, own.first = own.rows[gone:], own.first + min(gone, len(own.rows))
+        return pd.DataFrame({"rec": [rec] * len(out), "frame": np.arange(first, own.emitted), "values": out})
+
+    def take(own: Spliced, batch: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(batch["values"].to_list()) / math.log(10)
+        sums = np.cumsum(x, axis=0) + own.total
+        own.total = sums[-1]
+        own.rows += list(x - sums / np.arange(own.frames + 1, own.frames + len(x) + 1)[:, None])
+        own.frames += len(x)
+        return give(own, batch["rec"].iloc[0], own.frames - cfg.context)
+
+    return fold(mel, "frame", f"rec {dict(chunks.dtypes)['rec']}, frame long, values array<double>", Spliced, take, lambda own, rec: give(own, rec, own.frames))
 
 
 def context_chunks(rows: DataFrame, core: int, left: int, right: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -15,71 +16,94 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.sources.shared import cut
+
+from .folds import fold
+
 Scorer = Callable[[Any, "np.ndarray | None", bool, bool], "tuple[np.ndarray, Any]"]
 
 
-def score_rows(rows: list[np.ndarray], scorer: Scorer, delay: int, width: int) -> list[np.ndarray]:
-    """Outputs for rows: that of row t appears at step t + delay; the last ones come from zero rows."""
-    state, out = None, []
-    for t, x in enumerate([*rows, *[np.zeros(width)] * delay]):
-        y, state = scorer(state, x if t < len(rows) else np.zeros(width), t < len(rows), t >= delay)
+def preview_rows(state: Any, scorer: Scorer, delay: int, seen: int, width: int) -> list[np.ndarray]:
+    """Outputs that are still to come after `seen` rows, from a copy of the state: `delay` zero rows follow, as at the end."""
+    state, out = copy.deepcopy(state), []
+    for t in range(seen, seen + delay):
+        y, state = scorer(state, np.zeros(width), False, t >= delay)
         if t >= delay:
             out.append(y)
     return out
 
 
-def preview_rows(state: Any, scorer: Scorer, delay: int, width: int) -> list[np.ndarray]:
-    """Outputs that are still to come, from a copy of the state."""
-    state, out = copy.deepcopy(state), []
-    for _ in range(delay):
-        y, state = scorer(state, np.zeros(width), False, True)
-        out.append(y)
-    return out
+@dataclass
+class Scored:
+    """The scorer's state, rows taken and given so far, their width, and the end of the chunk before."""
+
+    state: Any = None
+    seen: int = 0
+    emitted: int = 0
+    width: int = 0
+    before: np.ndarray | None = None
 
 
 def score_sequences(features: DataFrame, scorer: Scorer, delay: int = 0) -> DataFrame:
-    """rec, frame, track, logit: a scorer run over rec, frame, values in frame order."""
-    kind = dict(features.dtypes)["rec"]
+    """rec, frame, track, logit: a scorer run over rec, frame, values in frame order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        rows = [np.asarray(v, float) for v in pdf["values"]]
-        out = score_rows(rows, scorer, delay, len(rows[0]))
-        tracks = len(out[0])
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "frame": np.repeat(np.arange(len(out)), tracks), "track": np.tile(np.arange(tracks, dtype=np.int32), len(out)), "logit": np.concatenate(out)})
+    The output of row t comes with row t + delay; the last ones come from zero rows. A recording is read batch by
+    batch, never whole.
+    """
 
-    return features.select("rec", "frame", "values").groupBy("rec").applyInPandas(run, f"rec {kind}, frame long, track int, logit double")
+    def feed(own: Scored, x: np.ndarray, real: bool) -> np.ndarray | None:
+        y, own.state = scorer(own.state, x, real, own.seen >= delay)
+        own.seen += 1
+        return y if own.seen > delay else None
+
+    def rows(own: Scored, rec: Any, out: list[np.ndarray]) -> pd.DataFrame:
+        tracks, first = len(out[0]) if out else 0, own.emitted
+        own.emitted += len(out)
+        frames = np.repeat(np.arange(first, own.emitted), tracks)
+        return pd.DataFrame({"rec": [rec] * len(frames), "frame": frames, "track": np.tile(np.arange(tracks, dtype=np.int32), len(out)), "logit": np.concatenate(out) if out else []})
+
+    def take(own: Scored, batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for v in batch["values"]:
+            x = np.asarray(v, float)
+            own.width = len(x)
+            y = feed(own, x, True)
+            out += [] if y is None else [y]
+        return rows(own, batch["rec"].iloc[0], out)
+
+    def close(own: Scored, rec: Any) -> pd.DataFrame:
+        return rows(own, rec, [y for _ in range(delay) if (y := feed(own, np.zeros(own.width), False)) is not None])
+
+    return fold(features.select("rec", "frame", "values"), "frame", f"rec {dict(features.dtypes)['rec']}, frame long, track int, logit double", Scored, take, close)
 
 
 def score_chunks(chunks: DataFrame, scorer: Scorer, context: int = 64) -> DataFrame:
-    """rec, chunk, prob: a scorer over each chunk after the last samples of the one before."""
-    kind = dict(chunks.dtypes)["rec"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out, before = pdf.sort_values("chunk"), None, [], np.zeros(context)
-        for x in pdf["samples"]:
-            x = np.asarray(x, float)
-            y, state = scorer(state, np.concatenate((before, x)), True, True)
+    """rec, chunk, prob: a scorer over each chunk after the last samples of the one before, read batch by batch."""
+
+    def take(own: Scored, batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for v in batch["samples"]:
+            x = np.concatenate((np.zeros(context) if own.before is None else own.before, np.asarray(v, float)))
+            y, own.state = scorer(own.state, x, True, True)
+            own.before = x[max(0, len(x) - context) :]
             out.append(float(np.ravel(y)[0]))
-            before = np.concatenate((before, x))[-context:]
-        return pd.DataFrame({"rec": pdf["rec"], "chunk": pdf["chunk"], "prob": out})
+        return batch[["rec", "chunk"]].assign(prob=out)
 
-    return chunks.select("rec", "chunk", "samples").groupBy("rec").applyInPandas(run, f"rec {kind}, chunk long, prob double")
+    return fold(chunks.select("rec", "chunk", "samples"), "chunk", f"rec {dict(chunks.dtypes)['rec']}, chunk long, prob double", Scored, take)
 
 
 def score_context_windows(windows: DataFrame, scorer: Scorer) -> DataFrame:
-    """rec, window, values: a scorer over whole context windows (rec, window, values, left, right), in order."""
-    kind = dict(windows.dtypes)["rec"]
+    """rec, window, values: a scorer over whole context windows (rec, window, values, left, right), in order, read batch by batch."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values("window"), None, []
-        for v, left, right in zip(pdf["values"], pdf["left"], pdf["right"], strict=True):
+    def take(own: Scored, batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for v, left, right in zip(batch["values"], batch["left"], batch["right"], strict=True):
             x = np.stack([np.asarray(r, float) for r in v])
-            y, state = scorer(state, x, True, True)
+            y, own.state = scorer(own.state, x, True, True)
             out.append(np.asarray(y, float)[int(left) : len(x) - int(right)].ravel().tolist())
-        return pd.DataFrame({"rec": pdf["rec"], "window": pdf["window"], "values": out})
+        return batch[["rec", "window"]].assign(values=out)
 
-    return windows.groupBy("rec").applyInPandas(run, f"rec {kind}, window long, values array<double>")
+    return fold(windows, "window", f"rec {dict(windows.dtypes)['rec']}, window long, values array<double>", Scored, take)
 
 
 def align_delay(outputs: DataFrame, delay: int) -> DataFrame:
@@ -107,17 +131,25 @@ def emission_ledger(chunks: DataFrame, rate: float, nfft: int, hop: int, sub: in
 def refresh(chunks: DataFrame, every: int) -> DataFrame:
     """Chunks at which a refresh is due: rec, chunk, refresh (its number from 1).
 
-    One is due at the first chunk by which at least `every` samples (1 at least) have come since the last one.
+    One is due at the first chunk by which at least `every` samples (1 at least) have come since the last one. Each chunk
+    points to the one that is due next after it, found in the order of the running totals. Pointers are doubled:
+    once those that jump 1, 2, 4, ... refreshes are known, the chunks due within twice as many follow from those
+    found so far, so a recording of n refreshes takes log2(n) joins and no group of its rows.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk", ignore_index=True)
-        total, due, at = pdf["n"].cumsum().to_numpy(), [], 0
-        while (i := int(np.searchsorted(total, at + max(1, every)))) < len(total):
-            due.append(i)
-            at = total[i]
-        return pdf.loc[due, ["rec", "chunk"]].assign(refresh=range(1, len(due) + 1))
-
-    kind = dict(chunks.dtypes)
-    sizes = chunks.select("rec", "chunk", F.greatest(F.size("samples"), F.lit(0)).cast("long").alias("n"))
-    return sizes.groupBy("rec").applyInPandas(run, f"rec {kind['rec']}, chunk {kind['chunk']}, refresh long")
+    every = max(1, every)
+    w = Window.partitionBy("rec").orderBy("chunk")
+    n = F.greatest(F.size("samples"), F.lit(0)).cast("long")
+    totals = chunks.select("rec", "chunk", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    # Chunks without samples share a total; the first of them is the one at which it is reached.
+    steps = totals.groupBy("rec", "total").agg(F.min("chunk").alias("chunk"))
+    due = F.min(F.struct("total", "chunk")).over(Window.partitionBy("rec").orderBy("total").rangeBetween(every, Window.unboundedFollowing))
+    jump = cut(steps.select("rec", F.col("total").alias("at"), due["total"].alias("to")).where("to is not null"))
+    first = steps.where(F.col("total") >= every).groupBy("rec").agg(F.min("total").alias("at"))
+    reached, size = cut(first.select("rec", "at", F.lit(1).cast("long").alias("refresh"))), 1
+    while True:
+        more = cut(reached.join(jump, ["rec", "at"]).select("rec", F.col("to").alias("at"), (F.col("refresh") + size).alias("refresh")))
+        if not more.limit(1).count():
+            break
+        reached, size = cut(reached.union(more)), size * 2
+        jump = cut(jump.join(jump.select("rec", F.col("at").alias("to"), F.col("to").alias("_far")), ["rec", "to"]).select("rec", "at", F.col("_far").alias("to")))
+    return reached.join(steps.withColumnRenamed("total", "at"), ["rec", "at"]).select("rec", "chunk", "refresh")

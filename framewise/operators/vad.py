@@ -187,23 +187,30 @@ def split_regions(vad: DataFrame, cfg: VadConfig | None = None) -> DataFrame:
     return parts.select("rec", "part", "chunk", "prob", "loud", "total").groupBy("rec", "part").applyInPandas(run, f"rec {kind}, start_sample long, end_sample long")
 
 
-def stream_events(vad: DataFrame, cfg: VadConfig | None = None, resolution: int | None = None) -> DataFrame:
+def stream_events(vad: DataFrame, cfg: VadConfig | None = None, resolution: int | None = None, flush: bool = False, size: int = CHUNK) -> DataFrame:
     """rec, kind, sample, time of speech starts and ends as a live stream tells them, chunk by chunk.
 
     Silence is timed from the end of its first chunk. There are no rules for shortest and longest speech.
+    A chunk has `size` samples, or n where vad has that column: only a recording's last chunk may be shorter. With
+    flush, speech that is on when the recording ends, ends where its silence began (and pad later), or with it.
     """
     cfg = cfg or VadConfig()
     w = Window.partitionBy("rec").orderBy("chunk")
-    done = (F.col("chunk") + 1) * CHUNK
-    marked = vad.select("rec", "chunk", "prob", F.sum((F.col("prob") >= cfg.entry).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("anchor")).where("anchor > 0")
-    quiet = F.when(F.col("prob") < cfg.exit, done)
-    groups = marked.groupBy("rec", "anchor").agg(F.min(done).alias("seen"), F.min(quiet).alias("t0"), F.max(quiet).alias("t1"))
-    groups = groups.withColumn("ends", F.coalesce(F.col("t1") - F.col("t0") >= samples(cfg.min_silence), F.lit(False)))
+    n = (F.col("n") if "n" in vad.columns else F.lit(size)).cast("long")
+    anchor = F.sum((F.col("prob") >= cfg.entry).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    marked = vad.select("rec", "prob", n.alias("n"), (F.col("chunk") * size + n).alias("done"), anchor.alias("anchor"), F.max(F.col("chunk") * size + n).over(Window.partitionBy("rec")).alias("total")).where("anchor > 0")
+    quiet = F.when(F.col("prob") < cfg.exit, F.struct("done", "n"))
+    marked = marked.withColumn("t0", F.min(quiet).over(Window.partitionBy("rec", "anchor")))
+    enough = (F.col("prob") < cfg.exit) & (F.col("done") - F.col("t0.done") >= samples(cfg.min_silence))
+    groups = marked.groupBy("rec", "anchor").agg(F.min(F.struct("done", "n")).alias("first"), F.first("t0").alias("t0"), F.min(F.when(enough, F.struct("done", "n"))).alias("t1"), F.first("total").alias("total"))
     order = Window.partitionBy("rec").orderBy("anchor")
-    groups = groups.withColumn("starts", F.coalesce(F.lag("ends").over(order), F.lit(True)))
+    ended = F.col("t1").isNotNull()
+    groups = groups.withColumns({"starts": F.coalesce(F.lag(ended).over(order), F.lit(True)), "open": ~ended & F.lead("anchor").over(order).isNull() & F.lit(flush)})
     pad = samples(cfg.pad)
-    begin = F.when(F.col("starts"), F.struct(F.lit("speechStart").alias("kind"), F.greatest(F.lit(0), F.col("seen") - pad - CHUNK).cast("long").alias("sample")))
-    end = F.when(F.col("ends"), F.struct(F.lit("speechEnd").alias("kind"), F.greatest(F.lit(0), F.col("t0") + pad - CHUNK).cast("long").alias("sample")))
+    at = lambda kind, sample: F.struct(F.lit(kind).alias("kind"), F.greatest(F.lit(0), sample).cast("long").alias("sample"))
+    begin = F.when(F.col("starts"), at("speechStart", F.col("first.done") - F.col("first.n") - pad))
+    rest = F.least("total", F.coalesce(F.col("t0.done") - F.col("t0.n") + pad, F.col("total")))
+    end = F.when(ended, at("speechEnd", F.col("t0.done") + pad - F.col("t1.n"))).when(F.col("open"), at("speechEnd", rest))
     out = groups.select("rec", F.explode(F.filter(F.array(begin, end), lambda x: x.isNotNull())).alias("e")).select("rec", "e.kind", "e.sample")
     return out if resolution is None else out.withColumn("time", F.round(F.col("sample") / RATE, resolution))
 

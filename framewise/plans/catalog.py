@@ -136,6 +136,17 @@ add("p14_resolve_config", lambda s, d: files.resolve_config(_meta(s, d)).select(
       round((fft / 2.0::DOUBLE + context * hop + delay * sub * hop) / rate, 9) AS latency, CAST(hop * sub AS BIGINT) AS stable_block FROM n""")
 add("p15_resolve_stream_config", lambda s, d: files.resolve_stream_config(fx.table(s, d, "part").select(F.col("p_partkey").alias("config"), (F.col("p_partkey") % 7 - 1).alias("chunk"), (F.col("p_partkey") % 50).alias("fifo"), (F.col("p_partkey") % 200).alias("cache"), (F.col("p_partkey") % 4).alias("silence"), F.lit(4).cast("long").alias("tracks"), (F.col("p_partkey") % 90).alias("period"))),
     "WITH c AS (SELECT p_partkey AS config, greatest(1, p_partkey % 7 - 1) AS chunk, p_partkey % 50 AS fifo, p_partkey % 4 AS silence, CAST(4 AS BIGINT) AS tracks, p_partkey % 200 AS c0, p_partkey % 90 AS p0 FROM part) SELECT config, chunk, fifo, greatest(c0, (1 + silence) * tracks) AS cache, silence, tracks, greatest(chunk, least(p0, fifo + chunk)) AS period FROM c")
+def _offered(s: SparkSession, d: str) -> DataFrame:
+    """Configurations of which some are like a named one in all that matters for its model."""
+    k = F.col("p_partkey")
+    chunk = F.when(k % 3 == 0, F.lit(340)).otherwise(6 + k % 2)
+    return fx.table(s, d, "part").select(k.alias("config"), chunk.cast("long").alias("chunk"), (1 - k % 2 * F.when(k % 3 == 0, 0).otherwise(1)).cast("long").alias("left"), F.when(k % 3 == 0, F.lit(40)).otherwise(F.lit(7)).cast("long").alias("right"), F.when(k % 5 == 0, F.lit(188)).otherwise(F.lit(40)).cast("long").alias("fifo"), (188 + k % 7).alias("cache"))
+
+
+add("p15_compatible", lambda s, d: files.compatible(_offered(s, d), files.stream_presets(s)),
+    """WITH p AS (SELECT * FROM (VALUES ('default', 112, 40, 188), ('high_latency', 3048, 40, 188), ('low_latency', 112, 188, 188)) v(other, mel_frames, fifo, cache)),
+    o AS (SELECT p_partkey AS config, CASE WHEN p_partkey % 3 = 0 THEN 381 ELSE 6 + p_partkey % 2 + 1 - p_partkey % 2 + 7 END * 8 AS mel_frames, CASE WHEN p_partkey % 5 = 0 THEN 188 ELSE 40 END AS fifo, 188 + p_partkey % 7 AS cache FROM part)
+    SELECT config, other, CAST(mel_frames AS BIGINT) AS mel_frames FROM o JOIN p USING (mel_frames, fifo, cache)""")
 add("p16_resolve_thresholds", lambda s, d: vad.resolve_thresholds(fx.table(s, d, "part").select(F.col("p_partkey").alias("config"), ((F.col("p_partkey") % 100) / 100.0).alias("threshold"), F.when(F.col("p_partkey") % 3 == 0, (F.col("p_partkey") % 95) / 100.0).alias("negative"), F.lit(0.15).alias("offset"))).select("config", F.round("entry", 6).alias("entry"), F.round("exit", 6).alias("exit")),
     "WITH c AS (SELECT p_partkey AS config, (p_partkey % 100) / 100.0::DOUBLE AS t, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 95) / 100.0::DOUBLE END AS n FROM part), e AS (SELECT *, CASE WHEN n IS NULL THEN t ELSE least(1.0::DOUBLE, n + 0.15::DOUBLE) END AS entry FROM c) SELECT config, round(entry, 6) AS entry, round(coalesce(n, greatest(entry - 0.15::DOUBLE, 0.01::DOUBLE)), 6) AS exit FROM e")
 

@@ -45,7 +45,7 @@ add("a9_downmix", lambda s, d: rounded(features.to_samples(features.downmix(smal
 add("j12_resample_linear", lambda s, d: rounded(features.to_samples(features.resample_linear(small(s, d), 16000, 10000)), "x"),
     "WITH " + S_X + """, n AS (SELECT rec, max(sample) + 1 AS n FROM x GROUP BY rec), o AS (SELECT rec, unnest(range(0, CAST(trunc(n / 1.6::DOUBLE) AS BIGINT))) AS i FROM n), k AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY rec ORDER BY sample), x) AS y FROM x)
     SELECT o.rec, i AS sample, round(x + (y - x) * (i * 1.6::DOUBLE - floor(i * 1.6::DOUBLE)), 6) + 0.0 AS x FROM o JOIN k ON k.rec = o.rec AND k.sample = CAST(floor(i * 1.6::DOUBLE) AS BIGINT)""", "fx5")
-add("t2_resync", lambda s, d: rounded(features.resync(small(s, d).select("rec", F.col("chunk").alias("seq"), (F.col("chunk") * 60 + F.floor(F.col("chunk") / 7) * 10).alias("start_sample"), "samples")), "x"),
+add("t2_resync", lambda s, d: rounded(features.to_samples(features.resync(small(s, d).select("rec", F.col("chunk").alias("seq"), (F.col("chunk") * 60 + F.floor(F.col("chunk") / 7) * 10).alias("start_sample"), "samples"))), "x"),
     """WITH w AS (SELECT rec, chunk, chunk * 60 + chunk // 7 * 10 + i AS sample, CAST(samples[i + 1] AS DOUBLE) AS x FROM (SELECT rec, chunk, samples, unnest(range(0, 64)) AS i FROM fx5) q), m AS (SELECT rec, sample, max_by(x, chunk) AS x FROM w GROUP BY rec, sample),
     g AS (SELECT rec, unnest(range(0, n + 1)) AS sample FROM (SELECT rec, max(sample) AS n FROM m GROUP BY rec) q) SELECT g.rec, g.sample, round(coalesce(x, 0), 6) + 0.0 AS x FROM g LEFT JOIN m ON m.rec = g.rec AND m.sample = g.sample""", "fx5")
 add("w15_preemphasis", lambda s, d: rounded(features.to_samples(features.preemphasis(small(s, d))), "x"),
@@ -155,6 +155,28 @@ def embeddings(s: SparkSession, d: str) -> DataFrame:
 add("a6_silence_profile", lambda s, d: rounded(cache.silence_profile(embeddings(s, d), quiet_probs(s, d), 0.2, fx.features(s, d).where("frame = 0").select("rec", "dim", "value", F.lit(3).cast("long").alias("count"))), "value"),
     "WITH q AS (SELECT rec, dim, avg(value) AS v, count(*) AS c FROM fx6 WHERE (frame % 5) / 10.0 < 0.2 GROUP BY rec, dim), p AS (SELECT rec, dim, value FROM fx6 WHERE frame = 0) SELECT rec, dim, round((coalesce(v, 0) * coalesce(c, 0) + value * 3) / (coalesce(c, 0) + 3), 6) + 0.0 AS value, coalesce(c, 0) + 3 AS count FROM p LEFT JOIN q USING (rec, dim)", "fx6")
 
+
+
+def frame_probs(s: SparkSession, d: str) -> DataFrame:
+    """Five tracks over the frames of embeddings; every seventh frame is silent."""
+    f, t = F.col("frame"), F.col("track")
+    p = F.when(f % 7 == 6, F.lit(0.02)).when((f + t) % 5 == 0, 0.6 + f % 4 / 10).otherwise(0.05 + t / 50)
+    return embeddings(s, d).select("rec", "frame", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("track")).withColumn("prob", p.cast("double"))
+
+
+def kept_embeddings(s: SparkSession, d: str) -> DataFrame:
+    """The cache as it is used: kept embeddings, and the mean of silent frames in the slots kept for silence."""
+    pr = frame_probs(s, d)
+    quiet = cache.silence_profile(embeddings(s, d), pr).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("m")).select("rec", F.transform("m", lambda x: x["value"]).alias("values"))
+    return cache.gather(cache.compress_cache(pr, CACHE_5), embeddings(s, d).withColumn("values", F.col("values").cast("array<double>")), quiet)
+
+
+add("k3_gather", lambda s, d: rounded(kept_embeddings(s, d).select("rec", "slot", "frame", F.posexplode("values").alias("dim", "value")), "value"),
+    "WITH " + S_PR.replace("SELECT * FROM fx1", """SELECT rec, frame, CAST(t AS INT) AS track, CASE WHEN frame % 7 = 6 THEN 0.02::DOUBLE WHEN (frame + t) % 5 = 0 THEN 0.6::DOUBLE + frame % 4 / 10.0::DOUBLE ELSE 0.05::DOUBLE + t / 50.0::DOUBLE END AS prob
+    FROM (SELECT rec, chunk AS frame, unnest(range(0, 5)) AS t FROM fx5) q""") + """, mean AS (SELECT rec, dim, avg(value) AS value FROM fx6 WHERE frame % 7 = 6 GROUP BY rec, dim)
+    SELECT cc.rec, cc.slot, cc.frame, f.dim, round(f.value, 6) + 0.0 AS value FROM cc JOIN fx6 f ON f.rec = cc.rec AND f.frame = cc.frame
+    UNION ALL SELECT cc.rec, cc.slot, cc.frame, mean.dim, round(mean.value, 6) + 0.0 FROM cc JOIN mean ON mean.rec = cc.rec WHERE cc.frame IS NULL""", "fx6")
+
 # --- scorers ------------------------------------------------------------------------------------------------
 
 

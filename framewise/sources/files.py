@@ -130,6 +130,28 @@ def resolve_stream_config(configs: DataFrame) -> DataFrame:
     return configs.withColumn("chunk", chunk).withColumn("cache", F.greatest(c("cache"), (1 + c("silence")) * c("tracks"))).withColumn("period", F.greatest(c("chunk"), F.least(c("period"), c("fifo") + c("chunk"))))
 
 
+#: Named stream configurations (chunk, left and right context, queue, cache and update period in frames), for both model versions.
+PRESETS = {
+    "default": (6, 1, 7, 40, 188, 31),
+    "high_latency": (340, 1, 40, 40, 188, 300),
+    "low_latency": (6, 1, 7, 188, 188, 144),
+}
+#: Feature frames of an output frame, samples of a feature frame, samples a second, tracks and silent frames of each in the cache.
+SUBSAMPLING, STRIDE, STREAM_RATE, TRACKS, SILENT = 8, 160, 16_000, 4, 3
+
+
+def stream_presets(spark: SparkSession) -> DataFrame:
+    """config, chunk, left, right, fifo, cache, period, silence, tracks, and latency in seconds, of the named configurations."""
+    rows = [(name, *[int(v) for v in values], SILENT, TRACKS) for name, values in PRESETS.items()]
+    table = spark.createDataFrame(rows, "config string, chunk long, left long, right long, fifo long, cache long, period long, silence long, tracks long")
+    return resolve_stream_config(table).withColumn("latency", (F.col("chunk") + F.col("right")) * SUBSAMPLING * STRIDE / STREAM_RATE)
+
+
 def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of configurations whose models are interchangeable."""
-    return a.join(b.withColumnRenamed("config", "other"), ["chunk", "fifo", "cache"])
+    """config, other: pairs of configurations (config, chunk, left, right, fifo, cache) whose models are interchangeable.
+
+    They see as many feature frames at a time and hold as many in queue and cache.
+    """
+    seen = ((F.col("chunk") + F.col("left") + F.col("right")) * SUBSAMPLING).alias("mel_frames")
+    own = a.select("config", seen, "fifo", "cache")
+    return own.join(b.select(F.col("config").alias("other"), seen, "fifo", "cache"), ["mel_frames", "fifo", "cache"]).select("config", "other", "mel_frames")

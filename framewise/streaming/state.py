@@ -1,4 +1,4 @@
-"""Keyed state for streams: one small Python object for each key, in the state store."""
+"""Keyed state for streams: one small object for each key, and processors whose sessions end by a timer."""
 
 from __future__ import annotations
 
@@ -8,13 +8,18 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+Step = Callable[[Any, tuple, pd.DataFrame], pd.DataFrame]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def stateful(stream: DataFrame, keys: list[str], order: list[str], schema: str, make: Callable[[], Any], step: Callable[[Any, tuple, pd.DataFrame], pd.DataFrame], mode: str = "append") -> DataFrame:
+
+def stateful(stream: DataFrame, keys: list[str], order: list[str], schema: str, make: Callable[[], Any], step: Step, mode: str = "append") -> DataFrame:
     """step(state, key, rows in order) for each key of each batch; step changes the state in place.
 
     Rows of a key are read in their order within a batch; batches come in order. The object must stay
-    bounded: its attributes are written to the state store after every batch.
+    bounded: its attributes are written to the state store after every batch. A batch's rows of one key are
+    sorted together, so a trigger's limits (maxFilesPerTrigger) bound them.
     """
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
@@ -31,5 +36,65 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], schema: str,
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "blob binary", mode, "NoTimeout")
 
 
+def processed(stream: DataFrame, keys: list[str], schema: str, processor: StatefulProcessor, mode: str = "append", time: str = "none") -> DataFrame:
+    """The rows of a stateful processor; its states live in RocksDB, which the session is set to."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, time)
+
+
 def frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in schema.split(", ")])
+
+
+def milliseconds(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[ms]").astype("int64")
+
+
+class Sessions(StatefulProcessor):
+    """Sessions of a key, which end where its event time stands still for `gap` milliseconds.
+
+    Rows have ts. Within a batch, and between batches, a row more than gap after the one before begins a new
+    session: close(state, key) is called and a new state made. Where no row follows, a timer does so once the
+    watermark has passed the last row's time by gap; the key's state is then removed. So the result does not depend on
+    how rows fall into batches. step and close are as for stateful().
+    """
+
+    def __init__(self, order: list[str], gap: int, make: Callable[[], Any], step: Step, close: Callable[[Any, tuple], pd.DataFrame]) -> None:
+        self.order, self.gap, self.make, self.step, self.close_session = order, gap, make, step, close
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("own", "blob binary, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        own, last, old = self.make(), None, None
+        if self.own.exists():
+            blob, old = self.own.get()
+            vars(own).update(pickle.loads(blob))
+            last = old - self.gap
+        at = milliseconds(pdf["ts"])
+        before = at.cummax().shift(1)
+        before = before.fillna(at.iloc[0] if last is None else last).clip(lower=last)
+        part = (at - before > self.gap).cumsum()
+        for n, (_, piece) in enumerate(pdf.groupby(part.to_numpy())):
+            # The first piece goes on with what the state holds, unless it too lies beyond the gap.
+            if n or part.iloc[0]:
+                yield self.close_session(own, key)
+                own = self.make()
+            yield self.step(own, key, piece)
+        until = int(max(at.max(), last if last is not None else at.max())) + self.gap
+        if until != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(until)
+        self.own.update((pickle.dumps(vars(own)), until))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.own.exists():
+            own = self.make()
+            vars(own).update(pickle.loads(self.own.get()[0]))
+            self.own.clear()
+            yield self.close_session(own, key)
+
+    def close(self) -> None: ...

@@ -6,24 +6,24 @@ Every input has is_last, true on a recording's last row, which flushes what is p
 from __future__ import annotations
 
 import copy
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from framewise.operators.cache import CacheConfig
+from framewise.operators.loop import TOLD, TOLD_REST, CachedScorer, LoopConfig, Memory, advance, contents
 from framewise.operators.features import MelConfig, mel_filterbank
 from framewise.operators.scoring import Scorer, preview_rows
 from framewise.operators.segments import SegmentConfig
 from framewise.operators.vad import CHUNK, RATE, VadConfig, samples
 
-from .state import frame, stateful
+from .state import Sessions, frame, processed, stateful
 
 # --- chunks -----------------------------------------------------------------------------------------------
 
@@ -158,6 +158,66 @@ def stream_features(stream: DataFrame, cfg: MelConfig) -> DataFrame:
     return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], schema, FeatureState, step)
 
 
+@dataclass
+class Ring:
+    """Samples that later frames need, the last one for pre-emphasis, and the feature rows that later windows need."""
+
+    last: float = 0.0
+    base: int = 0
+    seen: int = 0
+    data: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    frames: int = 0
+    first: int = 0  # frame of the first row kept
+    rows: list[np.ndarray] = field(default_factory=list)
+    windows: int = 0
+
+
+def stream_windows(stream: DataFrame, cfg: MelConfig, core: int, left: int, right: int) -> DataFrame:
+    """rec, window, values, left, right as context_chunks of log_mel makes them, once a window's right rows are there.
+
+    stream: rec, chunk, samples, is_last. State is a tail of samples and a ring of at most left + core + right - 1
+    feature rows and those of one batch.
+    """
+    schema = "rec string, window long, values array<array<double>>, left long, right long"
+    weights = np.zeros(cfg.nfft)
+    lead, half = (cfg.nfft - cfg.win) // 2, cfg.nfft // 2
+    weights[lead : lead + cfg.win] = 0.5 * (1 - np.cos(2 * np.pi * np.arange(cfg.win) / cfg.win))
+    bank = mel_filterbank(cfg.nfft, cfg.n_mels, cfg.rate)
+
+    def settled(own: Ring, count: int) -> None:
+        """Feature rows up to frame count, from samples that are there or lie outside the recording."""
+        if count > own.frames:
+            starts = np.arange(own.frames, count) * cfg.hop - half
+            pad = max(0, own.base - int(starts[0]))
+            x = np.concatenate((np.zeros(pad), own.data, np.zeros(cfg.nfft)))
+            cut = x[(starts - own.base + pad)[:, None] + np.arange(cfg.nfft)]
+            v = (np.abs(np.fft.rfft(cut * weights, cfg.nfft, axis=1)) ** 2) @ bank.T
+            own.rows += list(np.log(v + cfg.floor) if cfg.mode == "add" else np.log(np.maximum(v, cfg.floor)))
+            own.frames = count
+        keep = max(own.base, own.frames * cfg.hop - half)
+        own.data, own.base = own.data[keep - own.base :], keep
+
+    def step(own: Ring, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x, end in zip(rows["samples"], rows["is_last"], strict=True):
+            x = np.asarray(x, float)
+            if len(x):
+                own.data = np.concatenate((own.data, x - cfg.emphasis * np.concatenate(([own.last], x[:-1]))))
+                own.last, own.seen = float(x[-1]), own.seen + len(x)
+            whole = own.seen // cfg.hop
+            settled(own, whole if end else min(whole, max(0, (own.seen - half) // cfg.hop + 1)))
+            while (own.windows + 1) * core + right <= own.frames:
+                a, b = own.windows * core, (own.windows + 1) * core + right
+                lo = max(0, a - left)
+                out.append((key[0], own.windows, [r.tolist() for r in own.rows[lo - own.first : b - own.first]], a - lo, right))
+                own.windows += 1
+            gone = max(0, own.windows * core - left - own.first)
+            own.rows, own.first = own.rows[gone:], own.first + min(gone, len(own.rows))
+        return frame(schema, out)
+
+    return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], schema, Ring, step)
+
+
 # --- segments ---------------------------------------------------------------------------------------------
 
 
@@ -166,7 +226,6 @@ class Builder:
     on: bool = False
     start: int = 0
     seen: int = 0
-    late: int = 0
     part: list | None = None  # start or None until a long island, end of the segment in progress
 
 
@@ -181,28 +240,40 @@ def _close(own: Builder, cfg: SegmentConfig, a: int, b: int, long: bool) -> tupl
     return done
 
 
-def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = False, late: Accumulator | None = None) -> DataFrame:
+def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = False, gap: int | None = None, empty: bool = False) -> DataFrame:
     """rec, track, start_frame, end_frame, finalized: segments as build_segments makes them.
 
     stream: rec, track, frame, prob, is_last. A segment is final once no later frame can reach it. Frames
-    at or before the last one taken are dropped, counted in the state and added to the accumulator `late`
-    (a batch that runs again adds its frames again). With tentative rows the query
-    must run in update mode; each batch then tells the current state of what is still open.
+    at or before the last one taken are dropped; each batch's number of them is the observed metric
+    `late_frames` (frames) of its progress, which a batch that runs again tells again. With tentative rows the
+    query must run in update mode; each batch then tells the current state of what is still open. With empty, a
+    batch after which nothing of a track is open says so by a row without frames, as a sink that replaces rows needs it.
+
+    With a gap in milliseconds the stream has ts with a watermark: a recording's session ends where ts stands
+    still for longer, by the next row's time or by a timer, as if its last frame had been the last of all.
     """
-    schema = "rec string, track int, start_frame long, end_frame long, finalized boolean"
+    schema = "rec string, track int, start_frame long, end_frame long, finalized boolean, late long"
 
-    def step(own: Builder, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def end(own: Builder, emit: Callable[..., None]) -> None:
+        if own.on:
+            a, b = max(0, own.start - cfg.pad_on), own.seen + cfg.pad_off
+            emit(_close(own, cfg, a, b, b - a >= cfg.min_on))
+        emit(own.part)
+        own.on, own.part = False, None
 
+    def emitter(key: tuple, out: list) -> Callable[..., None]:
         def emit(seg: list | tuple | None, final: bool = True) -> None:
             if seg is not None and seg[0] is not None:
-                out.append((key[0], key[1], seg[0], seg[1], final))
+                out.append((key[0], key[1], seg[0], seg[1], final, None))
 
-        for f, p, end in zip(rows["frame"], rows["prob"], rows["is_last"], strict=True):
+        return emit
+
+    def step(own: Builder, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        emit, late = emitter(key, out), 0
+        for f, p, done in zip(rows["frame"], rows["prob"], rows["is_last"], strict=True):
             if f < own.seen:
-                own.late += 1
-                if late is not None:
-                    late.add(1)
+                late += 1
                 continue
             own.seen = int(f) + 1
             if not own.on and p > cfg.on:
@@ -211,12 +282,8 @@ def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = Fal
                 own.on = False
                 a, b = max(0, own.start - cfg.pad_on), int(f) + cfg.pad_off
                 emit(_close(own, cfg, a, b, b - a > cfg.min_on))
-            if end:
-                if own.on:
-                    a, b = max(0, own.start - cfg.pad_on), own.seen + cfg.pad_off
-                    emit(_close(own, cfg, a, b, b - a >= cfg.min_on))
-                emit(own.part)
-                own.on, own.part = False, None
+            if done:
+                end(own, emit)
         soonest = max(0, (own.start if own.on else own.seen) - cfg.pad_on)
         if own.part is not None and soonest - own.part[1] > cfg.min_off:
             emit(own.part)
@@ -227,10 +294,21 @@ def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = Fal
                 a, b = max(0, view.start - cfg.pad_on), view.seen + cfg.pad_off
                 emit(_close(view, cfg, a, b, b - a >= cfg.min_on), False)
             emit(view.part, False)
+        if empty and all(r[4] for r in out):
+            out.append((key[0], key[1], None, None, False, None))
+        return frame(schema, [*out, *([(key[0], key[1], None, None, None, late)] if late else [])])
+
+    def close(own: Builder, key: tuple) -> pd.DataFrame:
+        out: list[tuple] = []
+        end(own, emitter(key, out))
         return frame(schema, out)
 
-    own = stream.withColumns({"rec": F.col("rec").cast("string"), "track": F.col("track").cast("int")})
-    return stateful(own, ["rec", "track"], ["frame"], schema, Builder, step, "update" if tentative else "append")
+    own, mode = stream.withColumns({"rec": F.col("rec").cast("string"), "track": F.col("track").cast("int")}), "update" if tentative else "append"
+    if gap is None:
+        told = stateful(own, ["rec", "track"], ["frame"], schema, Builder, step, mode)
+    else:
+        told = processed(own, ["rec", "track"], schema, Sessions(["frame"], gap, Builder, step, close), mode, "eventTime")
+    return told.observe("late_frames", F.coalesce(F.sum("late"), F.lit(0)).alias("frames")).where("late is null").drop("late")
 
 
 # --- voice events -----------------------------------------------------------------------------------------
@@ -238,97 +316,145 @@ def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = Fal
 
 @dataclass
 class Voice:
+    """Whether speech is on, and of the first quiet chunk since the last loud one its begin and end."""
+
     on: bool = False
-    quiet: int | None = None
+    quiet: tuple[int, int] | None = None
+
+
+def voice_events(own: Voice, ends: np.ndarray, sizes: np.ndarray, probs: np.ndarray, last: bool, total: int, cfg: VadConfig) -> list[tuple[str, int]]:
+    """Events of successive chunks given by their ends, sizes and probabilities, in samples.
+
+    A batch falls into stretches, each from a loud chunk to the next; only its quiet chunks matter. The first
+    stretch may go on from the batch before. With the last chunk, speech that is still on ends where its
+    silence began, or with the recording.
+    """
+    pad, least, out = samples(cfg.pad), samples(cfg.min_silence), []
+    loud, calm = probs >= cfg.entry, np.flatnonzero(probs < cfg.exit)
+    borders = [0, *np.flatnonzero(loud), len(probs)]
+    for lo, hi in zip(borders, borders[1:], strict=False):
+        if lo == hi:
+            continue
+        if loud[lo]:
+            if not own.on:
+                out.append(("speechStart", max(0, int(ends[lo] - sizes[lo]) - pad)))
+            own.on, own.quiet = True, None
+        still = calm[np.searchsorted(calm, lo) : np.searchsorted(calm, hi)]
+        if own.on and len(still):
+            begin, end = own.quiet = own.quiet or (int(ends[still[0]] - sizes[still[0]]), int(ends[still[0]]))
+            enough = still[ends[still] - end >= least]
+            if len(enough):
+                out.append(("speechEnd", max(0, end + pad - int(sizes[enough[0]]))))
+                own.on, own.quiet = False, None
+    if last and own.on:
+        out.append(("speechEnd", total if own.quiet is None else min(total, own.quiet[0] + pad)))
+        own.on, own.quiet = False, None
+    return out
+
+
+VOICE = "rec string, kind string, sample long, time double"
+
+
+def _timed(key: tuple, events: list[tuple[str, int]], resolution: int) -> pd.DataFrame:
+    return frame(VOICE, [(key[0], k, s, round(s / RATE, resolution)) for k, s in events])
 
 
 def stream_vad_events(stream: DataFrame, cfg: VadConfig | None = None, resolution: int = 1) -> DataFrame:
-    """rec, kind, sample, time of speech starts and ends; stream: rec, chunk, prob."""
+    """rec, kind, sample, time of speech starts and ends; stream: rec, chunk, prob.
+
+    With a column is_last, speech that is still on ends with that chunk, as in stream_events with flush.
+    """
     cfg = cfg or VadConfig()
-    schema = "rec string, kind string, sample long, time double"
-    pad, least = samples(cfg.pad), samples(cfg.min_silence)
+    flush = "is_last" in stream.columns
 
     def step(own: Voice, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for c, p in zip(rows["chunk"], rows["prob"], strict=True):
-            done = (int(c) + 1) * CHUNK
-            if p >= cfg.entry:
-                own.quiet = None
-                if not own.on:
-                    own.on = True
-                    out.append(("speechStart", max(0, done - CHUNK - pad)))
-            elif own.on and p < cfg.exit:
-                own.quiet = own.quiet if own.quiet is not None else done
-                if done - own.quiet >= least:
-                    out.append(("speechEnd", max(0, own.quiet + pad - CHUNK)))
-                    own.on, own.quiet = False, None
-        return frame(schema, [(key[0], k, s, round(s / RATE, resolution)) for k, s in out])
-
-    return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], schema, Voice, step)
+        ends = (rows["chunk"].to_numpy() + 1) * CHUNK
+        last = flush and bool(rows["is_last"].iloc[-1])
+        return _timed(key, voice_events(own, ends, np.full(len(ends), CHUNK), rows["prob"].to_numpy(), last, int(ends[-1]), cfg), resolution)
 
+    return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], VOICE, Voice, step)
 
-# --- caches and scorers -----------------------------------------------------------------------------------
 
+@dataclass
+class Ear(Voice):
+    """Beside the state of the events: samples that don't fill a chunk yet, those before them, the scorer's state."""
 
-def compress(probs: np.ndarray, cfg: CacheConfig) -> list[int | None]:
-    """Frames that a cache keeps, in order, None for silence: compress_cache on one matrix (frames, tracks)."""
-    n, tracks = probs.shape
-    q = np.log(1 - np.clip(probs, 0, 0.75))
-    s = np.log(np.maximum(probs, 0.25)) - q + q.sum(axis=1, keepdims=True) + np.log(2)
-    live = probs > 0.5
-    enough = (live & (s > 0)).sum(axis=0) >= cfg.quota(cfg.positive)
-    s = np.where(~live | ((s <= 0) & enough), -np.inf, s)
-    s[cfg.capacity :] += cfg.latest
-    for rate, scale in ((cfg.strong, 2.0), (cfg.weak, 1.0)):
-        for t in range(tracks):
-            order = np.lexsort((np.arange(n), -np.round(s[:, t], 9)))[: cfg.quota(rate)]
-            s[[i for i in order if s[i, t] > -np.inf], t] += scale * np.log(2)
-    flat = np.concatenate((np.round(s, 9), np.full((cfg.silence, tracks), np.inf))).T.ravel()
-    best = np.lexsort((np.arange(len(flat)), -flat))[: cfg.capacity]
-    kept = sorted(int(i) for i in best if flat[i] > -np.inf)
-    out: list[int | None] = [f if (f := i % (n + cfg.silence)) < n else None for i in kept]
-    return out + [None] * (cfg.capacity - len(out))
+    pending: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    before: np.ndarray | None = None
+    done: int = 0
+    scorer: Any = None
 
 
-@dataclass
-class Cache:
-    frames: list = field(default_factory=list)  # (embedding, probs)
-    fifo: list = field(default_factory=list)
-    mean: np.ndarray | None = None
-    count: int = 0
-    seen: int = 0
+def stream_voice(stream: DataFrame, scorer: Scorer, cfg: VadConfig | None = None, size: int = CHUNK, context: int = 64, resolution: int = 1) -> DataFrame:
+    """rec, kind, sample, time of speech starts and ends in samples; stream: rec, seq, samples, is_last.
 
+    Samples wait until they fill a chunk of `size`, which the scorer gets after the `context` samples before
+    it. With the last row what is left becomes a chunk too, filled with its last sample, and speech that is on ends.
+    """
+    cfg = cfg or VadConfig()
 
-def stream_speaker_cache(stream: DataFrame, cfg: CacheConfig, core: int, fifo: int, period: int, threshold: float = 0.2) -> DataFrame:
-    """rec, frame, finalized, cache_size, fifo_size: confirmed core frames, tentative right context.
+    def step(own: Ear, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        last = bool(rows["is_last"].iloc[-1])
+        own.pending = np.concatenate((own.pending, *[np.asarray(x, float) for x in rows["samples"]]))
+        ends, sizes, probs = [], [], []
+        while len(own.pending) >= size or last and len(own.pending):
+            x, own.pending = own.pending[:size], own.pending[size:]
+            full = np.concatenate((x, np.full(size - len(x), x[-1])))
+            before = np.zeros(context) if own.before is None else own.before
+            y, own.scorer = scorer(own.scorer, np.concatenate((before, full)), True, True)
+            own.before, own.done = np.concatenate((before, full))[len(full) :] if context else before, own.done + len(x)
+            ends.append(own.done)
+            sizes.append(len(x))
+            probs.append(float(np.ravel(y)[0]))
+        return _timed(key, voice_events(own, np.array(ends, int), np.array(sizes, int), np.array(probs), last, own.done, cfg), resolution)
 
-    stream: rec, seq, embeddings and probs (lists of lists: core frames, then right context). What leaves
-    the FIFO updates the mean silence and moves to the cache, which is compressed above its capacity.
-    """
-    schema = "rec string, frame long, finalized boolean, cache_size int, fifo_size int"
+    return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["seq"], VOICE, Ear, step)
 
-    def step(own: Cache, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for emb, probs in zip(rows["embeddings"], rows["probs"], strict=True):
-            e, p = [np.asarray(x, float) for x in emb], [np.asarray(x, float) for x in probs]
-            own.fifo += list(zip(e[:core], p[:core], strict=True))
-            if (over := len(own.fifo) - fifo) > 0:
-                gone = own.fifo[: min(max(period, over), len(own.fifo))]
-                own.fifo = own.fifo[len(gone) :]
-                for x, y in gone:
-                    if y.sum() < threshold:
-                        own.mean = x if own.mean is None else (own.mean * own.count + x) / (own.count + 1)
-                        own.count += 1
-                own.frames += gone
-                if len(own.frames) > cfg.capacity:
-                    quiet = (own.mean if own.mean is not None else np.zeros_like(gone[0][0]), np.zeros_like(gone[0][1]))
-                    own.frames = [own.frames[i] if i is not None else quiet for i in compress(np.stack([y for _, y in own.frames]), cfg)]
-            n = min(core, len(e))
-            out += [(key[0], own.seen + i, i < n, len(own.frames), len(own.fifo)) for i in range(len(e))]
-            own.seen += n
-        return frame(schema, out)
 
-    return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["seq"], schema, Cache, step)
+# --- caches and scorers -----------------------------------------------------------------------------------
+
+
+class Remembering(StatefulProcessor):
+    """The loop of scorer, cache and queue, kept as lists of frames and one value for what is not a frame."""
+
+    def __init__(self, scorer: CachedScorer, cfg: LoopConfig) -> None:
+        self.scorer, self.cfg = scorer, cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cache = handle.getListState("cache", "embedding array<double>, probs array<double>")
+        self.queue = handle.getListState("queue", "embedding array<double>, probs array<double>")
+        self.rest = handle.getValueState("rest", "mean array<double>, quiet long, frames long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        own = Memory.of(self.cfg)
+        if self.rest.exists():
+            mean, own.quiet, own.frames = self.rest.get()
+            own.mean = np.asarray(mean, float)
+            own.hold(list(self.cache.get()), list(self.queue.get()))
+        told, last = [], False
+        for r in pd.concat(list(rows)).sort_values("window").itertuples():
+            told += advance(own, self.cfg, self.scorer, key[0], r.window, r.values_, r.left, r.right)
+            last = last or bool(r.is_last)
+        if last:
+            yield frame(TOLD, told + contents(own, key[0]))
+            for state in (self.cache, self.queue, self.rest):
+                state.clear()
+            return
+        for state, held in ((self.cache, own.held(own.cache, own.cache_probs)), (self.queue, own.held(own.queue, own.queue_probs))):
+            state.put(held) if held else state.clear()
+        self.rest.update((own.mean.tolist(), own.quiet, own.frames))
+        yield frame(TOLD, told)
+
+    def close(self) -> None: ...
+
+
+def stream_speaker_cache(stream: DataFrame, scorer: CachedScorer, cfg: LoopConfig) -> DataFrame:
+    """rec, window, part, place, probs, embedding as score_with_cache tells them.
+
+    stream: rec, window, values (rows of features: left context, core, right context), left, right, is_last.
+    """
+    own = stream.withColumn("rec", F.col("rec").cast("string")).withColumnRenamed("values", "values_")
+    return processed(own, ["rec"], f"rec string, {TOLD_REST}", Remembering(scorer, cfg))
 
 
 @dataclass
@@ -336,42 +462,88 @@ class Scoring:
     state: Any = None
     seen: int = 0
     emitted: int = 0
+    width: int = 0
     done: bool = False
 
 
-def score_stream(stream: DataFrame, scorer: Scorer, delay: int = 0, preview: bool = False) -> DataFrame:
+def score_stream(stream: DataFrame, scorer: Scorer, delay: int = 0, preview: bool = False, gap: int | None = None) -> DataFrame:
     """rec, frame, values, finalized: committed rows once the delay is filled, and preview rows from a copy.
 
-    stream: rec, frame, values, is_last. After the last row, further ones change nothing.
+    stream: rec, frame, values, is_last. After the last row, further ones change nothing. With a gap in
+    milliseconds the stream has ts with a watermark, and a session ends as in stream_segments: the rows that the
+    delay holds back follow, and the next session begins with a new state and frame 0.
     """
     schema = "rec string, frame long, values array<double>, finalized boolean"
 
-    def step(own: Scoring, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, width = [], 0
-
-        def commit(y: np.ndarray) -> None:
+    def commit(own: Scoring, key: tuple, ys: list[np.ndarray], out: list) -> None:
+        for y in ys:
             out.append((key[0], own.emitted, np.asarray(y, float).tolist(), True))
             own.emitted += 1
 
-        for v, end in zip(rows["values"], rows["is_last"], strict=True):
+    def end(own: Scoring, key: tuple, out: list) -> None:
+        if not own.done and own.seen:
+            commit(own, key, preview_rows(own.state, scorer, delay, own.seen, own.width), out)
+        own.done = True
+
+    def step(own: Scoring, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for v, last in zip(rows["values"], rows["is_last"], strict=True):
             if own.done:
                 break
             x = np.asarray(v, float)
-            width = len(x)
+            own.width = len(x)
             y, own.state = scorer(own.state, x, True, own.seen >= delay)
             own.seen += 1
             if own.seen > delay:
-                commit(y)
-            if end:
-                for y in preview_rows(own.state, scorer, min(delay, own.seen), width):
-                    commit(y)
-                own.done = True
-        if preview and not own.done and width:
-            for i, y in enumerate(preview_rows(own.state, scorer, min(delay, own.seen), width)):
+                commit(own, key, [y], out)
+            if last:
+                end(own, key, out)
+        if preview and not own.done and own.seen:
+            for i, y in enumerate(preview_rows(own.state, scorer, delay, own.seen, own.width)):
                 out.append((key[0], own.emitted + i, np.asarray(y, float).tolist(), False))
         return frame(schema, out)
 
-    return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["frame"], schema, Scoring, step, "update" if preview else "append")
+    def close(own: Scoring, key: tuple) -> pd.DataFrame:
+        out: list[tuple] = []
+        end(own, key, out)
+        return frame(schema, out)
+
+    own, mode = stream.withColumn("rec", F.col("rec").cast("string")), "update" if preview else "append"
+    if gap is None:
+        return stateful(own, ["rec"], ["frame"], schema, Scoring, step, mode)
+    return processed(own, ["rec"], schema, Sessions(["frame"], gap, Scoring, step, close), mode, "eventTime")
+
+
+# --- refreshes --------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Waiting:
+    samples: list = field(default_factory=list)
+    count: int = 0
+    number: int = 0
+
+
+def stream_refresh(stream: DataFrame, every: int) -> DataFrame:
+    """rec, chunk, refresh, samples: chunks at which a refresh is due, with all samples since the last one.
+
+    stream: rec, chunk, samples. What runs downstream thus runs only when at least `every` samples (1 at least) have
+    come; the state holds those that wait.
+    """
+    schema = "rec string, chunk long, refresh long, samples array<double>"
+
+    def step(own: Waiting, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for chunk, x in zip(rows["chunk"], rows["samples"], strict=True):
+            own.samples.append(np.asarray(x, float))
+            own.count += len(x)
+            if own.count >= max(1, every):
+                own.number += 1
+                out.append((key[0], chunk, own.number, np.concatenate(own.samples).tolist()))
+                own.samples, own.count = [], 0
+        return frame(schema, out)
+
+    return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], schema, Waiting, step)
 
 
 # --- event time -------------------------------------------------------------------------------------------
@@ -395,13 +567,19 @@ def to_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
 
 
 class Progress(StreamingQueryListener):
-    """Tells a function of each batch of every query of the session: name, batch, rows, seconds. For addListener."""
+    """Tells a function of each batch of every query of the session: name, batch, rows, seconds. For addListener.
+
+    late holds the frames that came late, by query name and batch; a batch that runs again replaces its number.
+    """
 
-    def __init__(self, tell: Callable[[str | None, int, int, float], None]) -> None:
+    def __init__(self, tell: Callable[[str | None, int, int, float], None] = lambda *_: None) -> None:
         self.tell = tell
+        self.late: dict[tuple[str | None, int], int] = {}
 
     def onQueryProgress(self, event: Any) -> None:
         p = event.progress
+        if "late_frames" in p.observedMetrics:
+            self.late[p.name, p.batchId] = p.observedMetrics["late_frames"]["frames"]
         self.tell(p.name, p.batchId, p.numInputRows, p.durationMs.get("triggerExecution", 0) / 1000)
 
     def onQueryStarted(self, event: Any) -> None: ...
