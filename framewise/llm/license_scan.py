@@ -147,6 +147,21 @@ class Automaton:
         open_ = self.closure({0})
         return set() if open_ & self.free.keys() else {self.step[s][0] for s in open_ if s in self.step}
 
+    def after(self, word: str) -> frozenset[str] | None:
+        """The words of which one must follow a word that a match begins with, or None.
+
+        It is None where another word may follow, or where the first word alone already tells: it ends a match or
+        makes a tenth of the score. A place without such a second word changes neither labels nor score.
+        """
+        states, seen = self.closure({0}), set()
+        while states:
+            moved = self.closure({self.step[s][1] for s in states if s in self.step and self.step[s][0] == word})
+            if moved & self.free.keys() or self.end in moved or any(10 * self.depth[s] >= self.mandatory() for s in moved):
+                return None
+            seen |= {self.step[s][0] for s in moved if s in self.step}
+            states = self.closure({t for s in states for t in self.free.get(s, ())})
+        return frozenset(seen)
+
     def mandatory(self) -> int:
         return self.depth[self.end]
 
@@ -213,7 +228,7 @@ class Scanner:
         self.autos = [compile_template(label, t) for label, many in templates.items() for t in many]
         self.phrases = [(p.split(), label) for p, label in phrases.items()]
         # Each template is anchored at its first mandatory word after any optional or free beginning.
-        self.by_word: dict[str, list[tuple[Automaton, int]]] = {}
+        self.by_word: dict[str, list[tuple[Automaton, int, frozenset[str] | None]]] = {}
         for a in self.autos:
             state, reach = a.closure({0}), 0
             firsts, spread = set(), set()
@@ -223,7 +238,7 @@ class Scanner:
                 firsts |= {(a.step[s][0], reach) for s in state if s in a.step}
             firsts |= {(w, 0) for w in (a.step[s][0] for s in a.closure({0}) if s in a.step)}
             for w, back in firsts:
-                self.by_word.setdefault(w, []).append((a, back))
+                self.by_word.setdefault(w, []).append((a, back, a.after(w)))
         self.first_words = {p[0] for p, _ in self.phrases} | self.by_word.keys()
 
     def scan(self, text: str) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
@@ -237,8 +252,9 @@ class Scanner:
                 if words[i : i + len(p)] == p:
                     places.append(i)
                     base.add(label)
-            for a, back in self.by_word.get(w, ()):
-                if i >= back:
+            following = words[i + 1] if i + 1 < len(words) else None
+            for a, back, nexts in self.by_word.get(w, ()):
+                if i >= back and (nexts is None or following in nexts):
                     end, read = a.read(words, i - back)
                     score = max(score, 10 * read // a.mandatory() / 10)
                     if end >= 0:
