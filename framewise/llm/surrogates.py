@@ -178,8 +178,8 @@ def is_ipv6(text: str) -> bool:
 _VALID: dict[str, Callable[[str], bool]] = {
     "iban": lambda t: (x := t.replace(" ", "")) and iban_check(x[:2], x[4:]) == x[2:4],
     "ipv6": is_ipv6,
-    # Digits in groups of four are a card's by their form; others need its check digit.
-    "card": lambda t: not t.isdecimal() or int(t[-1]) == luhn(t[:-1]),
+    # Sixteen digits, or groups of four, are a card's by their form; others, such as times in milliseconds, need its check digit.
+    "card": lambda t: len(t) == 16 or not t.isdecimal() or int(t[-1]) == luhn(t[:-1]),
 }
 _SSN = dict((k, p) for k, p, _ in _PATTERNS)["ssn"]
 
