@@ -11,7 +11,8 @@ The cache is bounded in bytes and per task: a dictionary of all shared chunks wo
 with the texts. Special strings of the tokenizer's file become their own ids, as in the tokenizers library.
 
 Null is an empty text, which has no ids and decodes to the empty string. Long texts go through chunk by
-chunk. Rows that repeat give equal rows.
+chunk. Rows that repeat give equal rows. An empty table gives an empty result. Columns that clash with ids, n_tokens
+or round_trip are replaced.
 """
 
 from __future__ import annotations

@@ -58,20 +58,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_hash(*columns: str | Column) -> Column:
-    return F.xxhash64(*columns)
-
-
 def n_words(text: Column) -> Column:
     """Words of a text by the fixed rule; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case; other letters stay as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def bounded(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table whose size does not follow the corpus; more than `most` is an error, never a cut."""
     rows = df.limit(most + 1).collect()

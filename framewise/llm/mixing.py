@@ -7,7 +7,10 @@ keys finds the bucket that the budget ends in, and only that bucket's documents
 may hold any share of the rows, and the documents' texts are not shuffled at all.
 
 Null texts have size 0. A null source is a source of its own, last in order. Rows equal in id, source and
-text share a key and are taken or left together. An empty table gives an empty result.
+text share a key and are taken or left together. An empty table gives an empty result. Columns that clash with
+size, source_size, target or copies are replaced. A text of any length is one row of its size, taken whole or not, so a
+source of few, long documents misses its target by up to half of the one where its budget ends. Ties of keys between
+different rows have no order and are taken or left together.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ order; their ends are snapped to row borders so that the new shards' sizes come
 shards that give or take rows are written again.
 
 Nulls and empty texts have size 8; a null old shard counts as shard 0. Rows that repeat are separate
-rows. An empty table gives an empty result. Columns that clash with shard or slot are replaced.
+rows. An empty table gives an empty result. Columns that clash with shard or slot are replaced. A text of any
+length is one row of its size: it moves whole, and a shard may be larger than its capacity by it. Rows that tie in
+key and content lie side by side, in one block, in no order of their own.
 """
 
 from __future__ import annotations
@@ -166,7 +168,7 @@ def reshard(docs: DataFrame, old: Column, n_old: int, capacities: list[int] | in
     order = ["_key", "_tie"]
     keyed = docs.select(*names, F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard"), size_of(F.col(text)).alias("_size"), F.col(key).alias("_key"), F.xxhash64(text, *[F.col(c) for c, t in docs.dtypes if c in names and c != text and not t.startswith("map")]).alias("_tie"))
     narrow = cut(keyed.select("old_shard", "_size", "_key", "_tie"))
-    totals = {r[0]: (r[1], r[2]) for r in narrow.groupBy("old_shard").agg(F.sum("_size"), F.count("*")).collect()}
+    totals = {r[0]: (r[1], r[2]) for r in bounded(narrow.groupBy("old_shard").agg(F.sum("_size"), F.count("*")), MAX_SHARDS, "old shards")}
     if any(not 0 <= i < n_old for i in totals):
         raise ValueError(f"old shards must be 0 to {n_old - 1}")
     sizes = [totals.get(i, (0, 0))[0] for i in range(n_old)]
