@@ -6,7 +6,7 @@ turns: rec, start, duration, speaker. binary: rec, frame, track, active.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.timebase import time_to_frames
@@ -62,37 +62,36 @@ def collar_mask(dense: DataFrame, collar: int) -> DataFrame:
     return _near_change(dense, collar).groupBy("rec", "frame").agg((~F.bool_or("near")).alias("valid"))
 
 
-def _frame_sets(pred: DataFrame, ref: DataFrame) -> DataFrame:
-    """rec, frame, ref and pred, the tracks of a frame with their active flags, for the frames that count.
+def _valid_frames(pred: DataFrame, ref: DataFrame) -> DataFrame:
+    """rec, frame, r and p, how many tracks are active on either side, of the frames that count.
 
-    ref: rec, frame, track, active and near; its frames are the grid. All that follows is worked out from
-    these rows, one for each frame.
+    ref: rec, frame, track, active and near; its frames are the grid. Counts are added up before the shuffle.
     """
-    track = F.struct("track", "active")
-    one = ref.select("rec", "frame", track.alias("r"), F.lit(None).cast(pred.select(track.alias("x")).schema["x"].dataType).alias("p"), "near")
-    two = pred.select("rec", "frame", F.lit(None).cast(one.schema["r"].dataType).alias("r"), track.alias("p"), F.lit(False).alias("near"))
-    both = one.union(two).groupBy("rec", "frame")
-    sets = both.agg(F.collect_list("r").alias("ref"), F.collect_list("p").alias("pred"), F.bool_or("near").alias("near"))
-    return sets.where("size(ref) > 0 and not near").drop("near")
+    one = ref.select("rec", "frame", F.col("active").alias("r"), F.lit(0).alias("p"), "near", F.lit(True).alias("grid"))
+    two = pred.select("rec", "frame", F.lit(0).alias("r"), F.col("active").alias("p"), F.lit(False).alias("near"), F.lit(False).alias("grid"))
+    per = one.union(two).groupBy("rec", "frame").agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.bool_or("near").alias("near"), F.bool_or("grid").alias("grid"))
+    return per.where("grid and not near").select("rec", "frame", "r", "p")
 
 
-def _active(tracks: str) -> Column:
-    return F.transform(F.filter(tracks, lambda x: x["active"] == 1), lambda x: x["track"])
+def _pair_counts(pred: DataFrame, ref: DataFrame, valid: DataFrame) -> DataFrame:
+    """Counts of tracks and overlaps of pairs over the frames of valid (rec, frame); only active rows are paired."""
+    frames = valid.select("rec", "frame")
 
+    def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        own = rows.select("rec", "frame", F.col("track").alias(f"{name}_track"), "active").join(frames, ["rec", "frame"], "left_semi")
+        return own, own.groupBy("rec", f"{name}_track").agg(F.sum("active").cast("long").alias(f"{name}_frames"))
 
-def _pair_counts(sets: DataFrame) -> DataFrame:
-    count = lambda side, name: sets.select("rec", F.inline(side)).groupBy("rec", F.col("track").alias(f"{name}_track")).agg(F.sum("active").cast("long").alias(f"{name}_frames"))
-    both = sets.select("rec", _active("ref").alias("r"), F.explode(_active("pred")).alias("pred_track")).select("rec", "pred_track", F.explode("r").alias("ref_track"))
+    (r, r_counts), (p, p_counts) = side(ref, "ref"), side(pred, "pred")
+    both = r.where("active = 1").drop("active").join(p.where("active = 1").drop("active"), ["rec", "frame"])
     hits = both.groupBy("rec", "ref_track", "pred_track").agg(F.count("*").alias("overlap"))
-    out = count("ref", "ref").join(count("pred", "pred"), "rec").join(hits, ["rec", "ref_track", "pred_track"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
+    out = r_counts.join(p_counts, "rec").join(hits, ["rec", "ref_track", "pred_track"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
     a, b, o = F.col("ref_frames"), F.col("pred_frames"), F.col("overlap")
     return out.withColumn("cost", F.greatest(a - b, F.lit(0)) + F.greatest(b - a, F.lit(0)) + F.least(a, b) - o)
 
 
 def pair_counts(pred: DataFrame, ref: DataFrame, mask: DataFrame) -> DataFrame:
     """rec, ref_track, pred_track, ref_frames, pred_frames, overlap and cost over valid frames, for all pairs."""
-    valid = mask.where("valid").select("rec", "frame")
-    return _pair_counts(_frame_sets(pred, ref.join(valid, ["rec", "frame"], "left_semi").withColumn("near", F.lit(False))))
+    return _pair_counts(pred, ref, mask.where("valid").join(ref.select("rec", "frame").distinct(), ["rec", "frame"], "left_semi"))
 
 
 def cheapest(cost: list[list[int]]) -> list[int]:
@@ -168,18 +167,16 @@ def der(pred: DataFrame, ref: DataFrame, threshold: float = 0.5, median: int = 1
     pred: rec, frame, track, prob. ref: dense rec, frame, track, active. Predicted tracks without a partner
     count as false alarms; der is 0 where nothing is scored.
     """
-    hard = median_filter(binarize(pred, threshold), median) if median > 1 else binarize(pred, threshold)
-    sets = cut(_frame_sets(hard, _near_change(ref, collar)))
-    assign = optimal_assignment(_pair_counts(sets)).groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("pred_track", "ref_track"))).alias("to"))
-    named = sets.join(assign, "rec", "left").select("rec", _active("ref").alias("ref"), _active("pred").alias("pred"), "to")
-    r, p = F.size("ref"), F.size("pred")
-    o = F.coalesce(F.size(F.array_intersect("ref", F.transform("pred", lambda t: F.try_element_at("to", t)))), F.lit(0))
-    per = named.select("rec", r.alias("r"), p.alias("p"), F.greatest(o, F.lit(0)).alias("o"))
-    total = lambda x: F.sum(x).cast("double")
-    sums = per.groupBy("rec").agg(
-        total(F.col("r")).alias("scored"), total(F.greatest(F.col("r") - F.col("p"), F.lit(0))).alias("miss"),
-        total(F.greatest(F.col("p") - F.col("r"), F.lit(0))).alias("false_alarm"), total(F.least("r", "p") - F.col("o")).alias("error"),
-    )
+    hard = cut(median_filter(binarize(pred, threshold), median) if median > 1 else binarize(pred, threshold))
+    ref = cut(_near_change(ref, collar))
+    valid = cut(_valid_frames(hard, ref))
+    # Frames that a pair of partners shares are its overlap, so no frame needs to know its tracks.
+    pairs = cut(_pair_counts(hard, ref, valid))
+    shared = pairs.join(optimal_assignment(pairs), ["rec", "ref_track", "pred_track"]).groupBy("rec").agg(F.sum("overlap").alias("o"))
+    r, p = F.col("r"), F.col("p")
+    sums = valid.groupBy("rec").agg(F.sum(r).alias("scored"), F.sum(F.greatest(r - p, F.lit(0))).alias("miss"), F.sum(F.greatest(p - r, F.lit(0))).alias("false_alarm"), F.sum(F.least(r, p)).alias("both"))
+    sums = sums.join(shared, "rec", "left").withColumn("error", F.col("both") - F.coalesce("o", F.lit(0)))
+    sums = sums.select("rec", *[F.col(c).cast("double").alias(c) for c in ("scored", "miss", "false_alarm", "error")])
     return sums.withColumn("der", F.when(F.col("scored") > 0, (F.col("miss") + F.col("false_alarm") + F.col("error")) / F.col("scored")).otherwise(F.lit(0.0)))
 
 

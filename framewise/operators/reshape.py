@@ -38,10 +38,6 @@ def drop_first(frames: DataFrame, n: int) -> DataFrame:
     return slice_frames(frames, n, 1 << 62)
 
 
-def row(frames: DataFrame, i: int) -> DataFrame:
-    return frames.where(F.col("frame") == i)
-
-
 def first_tracks(frames: DataFrame, k: int) -> DataFrame:
     return frames.where(F.col("track") < k)
 

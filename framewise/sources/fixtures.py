@@ -15,12 +15,19 @@ def _numbered(events: DataFrame, name: str) -> DataFrame:
     return events.withColumn(name, (F.row_number().over(w) - 1).cast("long")).withColumnRenamed("user_id", "rec")
 
 
+#: Event types that may be tracks.
+MOST_TRACKS = 64
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, frame, track, prob: a user's n-th event is frame n, an event type a track, prob a 5-frame mean."""
     e = _numbered(table(spark, sf_dir, "events"), "frame").select("rec", "frame", "event_type")
-    kinds = e.select("event_type").distinct().withColumn("track", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
+    names = e.select("event_type").distinct().orderBy("event_type").limit(MOST_TRACKS + 1).collect()
+    if len(names) > MOST_TRACKS:
+        raise ValueError(f"more than {MOST_TRACKS} event types")
+    kinds = spark.createDataFrame([(r[0], i) for i, r in enumerate(names)], "event_type string, track int")
     w = Window.partitionBy("rec", "track").orderBy("frame").rowsBetween(-2, 2)
-    # One row for each event type, a handful whatever the size of the table.
+    # One row for each event type, MOST_TRACKS at most.
     grid = e.withColumnRenamed("event_type", "own").crossJoin(F.broadcast(kinds))
     return grid.select("rec", "frame", "track", F.avg((F.col("own") == F.col("event_type")).cast("double")).over(w).alias("prob"))
 
