@@ -79,6 +79,24 @@ GAP = 600_000
 add("t1_stream_rechunk", lambda s, d: run_stream(last(fx.chunks(s, d).select("rec", F.col("chunk").alias("seq"), "samples"), "seq", "rec").withColumn("end_time", F.lit(None).cast("double")), lambda x: streams.rechunk(x, 100.0, 1.0, 0.5), "seq").select("rec", "chunk", "start_time", F.size("samples").alias("n"), F.round(F.get("samples", F.lit(0)), 6).alias("first")),
     """WITH n AS (SELECT rec, max(chunk + 1) * 64 AS n FROM fx5 GROUP BY rec), c AS (SELECT rec, unnest(range(0, greatest(0, (n - 100) // 50 + 1))) AS chunk FROM n)
     SELECT CAST(c.rec AS VARCHAR) AS rec, c.chunk, c.chunk * 0.5::DOUBLE AS start_time, 100 AS n, round(CAST(samples[c.chunk * 50 % 64 + 1] AS DOUBLE), 6) AS first FROM c JOIN fx5 ON fx5.rec = c.rec AND fx5.chunk = c.chunk * 50 // 64""", "fx5")
+
+
+def rechunked(startup: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Chunks of 100 samples every 50, with the sum of each, by the way in which the first ones begin."""
+    def run(s: SparkSession, d: str) -> DataFrame:
+        source = last(fx.chunks(s, d).select("rec", F.col("chunk").alias("seq"), "samples"), "seq", "rec").withColumn("end_time", F.lit(None).cast("double"))
+        out = run_stream(source, lambda x: streams.rechunk(x, 100.0, 1.0, 0.5, startup), "seq")
+        return out.select("rec", "chunk", "start_time", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+    return run
+
+
+#: Chunk k ends at sample 50 (k + 1); what lies before the recording is silence, or left out.
+S_STARTUP = """WITH x AS (SELECT rec, start_sample + i AS sample, CAST(samples[i + 1] AS DOUBLE) AS x FROM (SELECT rec, start_sample, samples, unnest(range(0, 64)) AS i FROM fx5) q),
+    c AS (SELECT rec, unnest(range(0, (max(sample) + 1) // 50)) AS chunk FROM x GROUP BY rec)
+    SELECT CAST(c.rec AS VARCHAR) AS rec, c.chunk, {start} AS start_time, CAST({n} AS INT) AS n, round(sum(x.x), 5) AS total FROM c JOIN x ON x.rec = c.rec AND sample >= 50 * c.chunk - 50 AND sample < 50 * c.chunk + 50 GROUP BY c.rec, c.chunk"""
+add("t1_stream_rechunk_silent", rechunked("silent"), S_STARTUP.format(start="(c.chunk - 1) * 0.5::DOUBLE", n="100"), "fx5")
+add("t1_stream_rechunk_ramp_up", rechunked("ramp_up"), S_STARTUP.format(start="greatest(0, c.chunk - 1) * 0.5::DOUBLE", n="least(100, 50 * (c.chunk + 1))"), "fx5")
 add("t3_stream_features", lambda s, d: rounded(run_stream(last(fx.chunks(s, d).select("rec", "chunk", "samples"), "chunk", "rec"), lambda x: streams.stream_features(x, MEL), "chunk").select("rec", "frame", F.posexplode("values").alias("dim", "value")), "value", digits=5),
     "WITH " + S_ROWS + " SELECT CAST(rec AS VARCHAR) AS rec, frame, dim, value FROM mi", "fx5")
 add("t4_stream_segments", lambda s, d: run_stream(last(fx.activity(s, d), "frame", "rec", "track"), lambda x: streams.stream_segments(x, CFG), "frame"),
@@ -124,6 +142,29 @@ add("t10_session_scores", lambda s, d: run_sessions(timed(embeddings(s, d), 7),
     SELECT CAST(a.rec AS VARCHAR) AS rec, a.f AS frame, a.dim, round(sum(b.value * pow(0.5::DOUBLE, a.f + 2 - b.f + 1)), 6) + 0.0 AS value, true AS finalized
     FROM o a JOIN o b ON b.rec = a.rec AND b.s = a.s AND b.dim = a.dim AND b.f <= a.f + 2 GROUP BY a.rec, a.s, a.f, a.dim""", "fx6")
 
+
+
+def late(s: SparkSession, d: str) -> DataFrame:
+    """A stream in whose second run every fifth frame of the first one comes again: its segments, and how many frames came late."""
+    source, root = last(fx.activity(s, d), "frame", "rec", "track"), shared_dir(s)
+    source.write.parquet(f"{root}/all")
+    whole = s.read.parquet(f"{root}/all")
+    half, count = (whole.agg(F.max("frame")).first()[0] or 0) // 2, 0
+    again = whole.where((F.col("frame") <= half) & (F.col("frame") % 5 == 0)).withColumn("prob", 1 - F.col("prob"))
+    # A recording that has ended in the first run takes late frames as well as any other.
+    for part in (whole.where(F.col("frame") <= half), whole.where(F.col("frame") > half).union(again)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = streams.stream_segments(s.readStream.schema(whole.schema).parquet(f"{root}/in"), CFG)
+        query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        count += streams.late_frames(query)
+    return s.read.parquet(f"{root}/out").withColumn("late_frames", F.lit(count).cast("long"))
+
+
+add("t11_late_frames", late,
+    "WITH " + S_SEG + """, l AS (SELECT count(*) AS late_frames FROM fx1 WHERE frame <= (SELECT max(frame) // 2 FROM fx1) AND frame % 5 = 0)
+    SELECT CAST(rec AS VARCHAR) AS rec, track, start_frame, end_frame, true AS finalized, late_frames FROM seg CROSS JOIN l""", "fx1")
+
 # --- feature windows, refreshes, voice from samples ---------------------------------------------------------
 
 add("t3_stream_windows", lambda s, d: rounded(run_stream(last(fx.chunks(s, d).select("rec", "chunk", "samples"), "chunk", "rec"), lambda x: streams.stream_windows(x, MEL, 4, 1, 2), "chunk")

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from framewise.operators.loop import TOLD, TOLD_REST, CachedScorer, LoopConfig, Memory, advance, contents
@@ -566,6 +566,12 @@ def to_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def late_frames(query: StreamingQuery) -> int:
+    """Frames that came late in a query's recent batches; a batch that ran twice counts as it ran last."""
+    told = {p["batchId"]: p["observedMetrics"]["late_frames"]["frames"] for p in query.recentProgress if "late_frames" in p["observedMetrics"]}
+    return sum(told.values())
+
+
 class Progress(StreamingQueryListener):
     """Tells a function of each batch of every query of the session: name, batch, rows, seconds. For addListener.
 

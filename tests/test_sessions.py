@@ -67,6 +67,23 @@ def test_session_scores_equal_batches(spark, tmp_path):
     assert sorted((r.frame, k, round(v, 9)) for r in got for k, v in enumerate(r["values"])) == sorted((f % 100, k, v) for f, k, v in want)
 
 
+def test_preview_rows(spark, tmp_path):
+    """With a delay, each batch commits what is filled and previews the rest as if the recording ended there."""
+    rng = np.random.default_rng(8)
+    rows = [("a", f, rng.normal(size=2).tolist(), f == 11) for f in range(12)]
+    df = spark.createDataFrame(rows, "rec string, frame long, values array<double>, is_last boolean")
+    got = streamed(spark, df, "frame", lambda x: streams.score_stream(x, smoother, 3, True), tmp_path, 3, "update")
+    whole = lambda n: {(r.frame, r.track): r.logit for r in scoring.score_sequences(df.where(F.col("frame") < n), smoother, 3).collect()}
+    final = {(r.frame, k): v for r in got if r.finalized for k, v in enumerate(r["values"])}
+    want = whole(12)
+    assert final.keys() == want.keys() and all(abs(final[k] - want[k]) < 1e-12 for k in want)
+    # After the first batches of four frames one and five are committed; the next three are previews.
+    previews = [{(r.frame, k): v for r in got if not r.finalized and lo <= r.frame < lo + 3 for k, v in enumerate(r["values"])} for lo in (1, 5)]
+    for n, seen in zip((4, 8), previews, strict=True):
+        part = whole(n)
+        assert len(seen) == 6 and all(abs(v - part[k]) < 1e-12 for k, v in seen.items())
+
+
 # --- the loop -------------------------------------------------------------------------------------------------
 
 
