@@ -159,6 +159,11 @@ def _quiet(s: SparkSession, d: str) -> DataFrame:
 add("p17_silent_chunks", lambda s, d: vad.silent_chunks(_quiet(s, d)).select("rec", "chunk", "silent"), "SELECT rec, chunk, chunk % 5 = 0 OR len(list_filter(samples, lambda x: abs(x) > 1e-10)) = 0 AS silent FROM fx5", "fx5")
 add("p18_fix_chunk_length", lambda s, d: vad.fix_chunk_length(fx.chunks(s, d), 80, 4).select("rec", "chunk", F.size("samples").alias("n"), F.get("samples", F.lit(79)).cast("double").alias("last"), F.get("context", F.lit(0)).cast("double").alias("first_context")),
     "SELECT rec, chunk, 80 AS n, CAST(samples[64] AS DOUBLE) AS last, CAST(lag(samples[64]) OVER (PARTITION BY rec ORDER BY chunk) AS DOUBLE) AS first_context FROM fx5", "fx5")
+add("p18_fixed_values",
+    lambda s, d: vad.fix_chunk_length(fx.chunks(s, d), 80, 4).select("rec", "chunk", F.posexplode(F.concat("samples", F.coalesce("context", F.array().cast("array<float>")))).alias("pos", "x")).withColumn("x", F.col("x").cast("double")),
+    # The fixed chunk, then the last four samples of the fixed chunk before it.
+    """SELECT rec, chunk, CAST(i AS INT) AS pos, CAST(CASE WHEN i < 64 THEN samples[i + 1] WHEN i < 80 THEN samples[64] ELSE before END AS DOUBLE) AS x
+    FROM (SELECT *, lag(samples[64]) OVER (PARTITION BY rec ORDER BY chunk) AS before FROM fx5) q, (SELECT unnest(range(0, 84)) AS i) r WHERE i < 80 OR before IS NOT NULL""", "fx5")
 add("p19_segment_extend", lambda s, d: segments.extend(segs(s, d), segs(s, d).groupBy("rec", "track").agg((F.min("start_frame") + 2).alias("start_frame"), (F.max("start_frame") + 4).alias("end_frame")), ["rec", "track"]),
     "WITH " + S_SEG + ", o AS (SELECT rec, track, min(start_frame) + 2 AS a, max(start_frame) + 4 AS b FROM seg GROUP BY rec, track) SELECT rec, track, least(start_frame, a) AS start_frame, greatest(end_frame, b) AS end_frame FROM seg JOIN o USING (rec, track)", "fx1")
 

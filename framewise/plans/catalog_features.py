@@ -97,6 +97,13 @@ add("m6_log_mel", lambda s, d: rounded(features.log_mel(small(s, d), MEL).select
 add("m7_offline_features", lambda s, d: rounded(features.offline_features(small(s, d), MEL).select("rec", "frame", F.posexplode("values").alias("dim", "value")), "value", digits=5), "WITH " + S_ROWS + " SELECT * FROM mi", "fx5")
 add("m8_context_chunks", lambda s, d: features.context_chunks(fx.chunks(s, d).select("rec", F.col("chunk").alias("frame"), F.col("samples").alias("values")), 4, 1, 2).select("rec", "window", F.size("values").alias("n"), "left", "right"),
     "WITH n AS (SELECT rec, max(chunk) + 1 AS n FROM fx5 GROUP BY rec), w AS (SELECT rec, n, unnest(range(0, (n - 2) // 4)) AS w FROM n) SELECT rec, w AS window, CAST(6 + CASE WHEN w > 0 THEN 1 ELSE 0 END AS INT) AS n, CAST(CASE WHEN w > 0 THEN 1 ELSE 0 END AS BIGINT) AS \"left\", CAST(2 AS BIGINT) AS \"right\" FROM w", "fx5")
+add("m8_context_values", lambda s, d: rounded(
+        features.context_chunks(embeddings(s, d), 4, 1, 2)
+        .select("rec", "window", F.posexplode("values").alias("pos", "row"))
+        .select("rec", "window", "pos", F.posexplode("row").alias("dim", "value")), "value"),
+    """WITH n AS (SELECT rec, max(frame) + 1 AS n FROM fx6 GROUP BY rec), w AS (SELECT rec, unnest(range(0, (n - 2) // 4)) AS k FROM n)
+    SELECT w.rec, w.k AS "window", CAST(frame - greatest(0, k * 4 - 1) AS INT) AS pos, dim, round(value, 6) + 0.0 AS value
+    FROM w JOIN fx6 ON fx6.rec = w.rec AND frame BETWEEN k * 4 - 1 AND k * 4 + 5""", "fx6")
 add("w1_cumulative_mean_norm", lambda s, d: rounded(features.cumulative_mean_norm(fx.features(s, d)), "value"),
     "SELECT rec, frame, dim, round(value / ln(10::DOUBLE) - avg(value / ln(10::DOUBLE)) OVER (PARTITION BY rec, dim ORDER BY frame), 6) + 0.0 AS value FROM fx6", "fx6")
 add("w2_splice_subsample", lambda s, d: rounded(features.splice_subsample(fx.chunks(s, d).select("rec", F.col("chunk").alias("frame"), F.transform("samples", lambda x: x.cast("double")).alias("values")), 2, 3, 64).select("rec", "frame", F.posexplode("values").alias("pos", "value")), "value"),

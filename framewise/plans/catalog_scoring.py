@@ -137,3 +137,8 @@ def _spans(s: SparkSession, d: str) -> DataFrame:
 add("j4_extract_segments", lambda s, d: vad.extract_segments(fx.chunks(s, d), _spans(s, d), 64).select("rec", "start_sample", "end_sample", F.size("samples").alias("n"), F.get("samples", F.lit(0)).cast("double").alias("first"), F.element_at("samples", -1).cast("double").alias("last")),
     """WITH l AS (SELECT rec, start_sample + i AS sample, CAST(samples[i + 1] AS DOUBLE) AS x FROM (SELECT rec, start_sample, samples, unnest(range(0, 64)) AS i FROM fx5) q), p AS (SELECT rec, start_sample - 10 AS a, start_sample + 100 AS b FROM fx5)
     SELECT p.rec, a AS start_sample, b AS end_sample, CAST(count(*) AS INT) AS n, min_by(x, sample) AS first, max_by(x, sample) AS last FROM p JOIN l ON l.rec = p.rec AND sample >= a AND sample < b GROUP BY p.rec, a, b""", "fx5")
+add("j4_segment_values",
+    lambda s, d: vad.extract_segments(fx.chunks(s, d), _spans(s, d), 64).select("rec", "start_sample", F.posexplode("samples").alias("pos", "x")).withColumn("x", F.col("x").cast("double")),
+    """WITH l AS (SELECT rec, start_sample + i AS sample, CAST(samples[i + 1] AS DOUBLE) AS x FROM (SELECT rec, start_sample, samples, unnest(range(0, 64)) AS i FROM fx5) q),
+    p AS (SELECT rec, start_sample - 10 AS a, start_sample + 100 AS b FROM fx5)
+    SELECT p.rec, a AS start_sample, CAST(sample - greatest(0, a) AS INT) AS pos, x FROM p JOIN l ON l.rec = p.rec AND sample >= a AND sample < b""", "fx5")

@@ -44,3 +44,12 @@ def test_metadata(spark, tmp_path):
     r = files.resolve_config(files.read_metadata(spark, f"{tmp_path}/m.json")).first()
     assert (r.rate, r.win, r.hop, r.fft, r.mels, r.context, r.sub, r.stable_block) == (8000, 200, 80, 256, 23, 7, 10, 800)
     assert abs(r.latency - (128 + 560 + 7200) / 8000) < 1e-9
+
+
+def test_stream_presets(spark):
+    """The named configurations are within their bounds, have the latencies that they are named for, and which are interchangeable."""
+    rows = {r.config: r for r in files.stream_presets(spark).collect()}
+    assert {c: round(r.latency, 2) for c, r in rows.items()} == {"default": 1.04, "high_latency": 30.4, "low_latency": 1.04}
+    assert all((r.chunk, r.left, r.right, r.fifo, r.cache, r.period) == files.PRESETS[c] for c, r in rows.items())
+    same = files.compatible(files.stream_presets(spark), files.stream_presets(spark))
+    assert sorted((r.config, r.other) for r in same.collect()) == [(c, c) for c in sorted(rows)]
