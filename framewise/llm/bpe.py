@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_process
+from .common import give_back, per_process
 
 #: The word pattern of the tokenizer's byte-level step.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -96,6 +96,11 @@ class Codec:
             self.held -= self.weight(self.cache.popitem(last=False)[1])
         return found
 
+    def forget(self) -> None:
+        """Drops the cache at a task's end: the next one may be another query's."""
+        self.cache.clear()
+        self.held = 0
+
     @staticmethod
     def weight(entry: tuple[array, array, int]) -> int:
         return 4 * (len(entry[0]) + len(entry[1])) + 2 * entry[2] + 300
@@ -193,6 +198,8 @@ def _mapped(docs: DataFrame, path: str, text: str, with_ids: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*left, pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*names, "ids", "round_trip"])
                 else:
                     yield pa.RecordBatch.from_arrays([*left, pa.array(counts, pa.int64()), pa.array(id_sha), pa.array(text_sha), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+        own.forget()
+        give_back()
 
     if with_ids:
         schema = source.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")

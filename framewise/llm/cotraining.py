@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_process, slices, table, text_bytes
+from .common import cut, give_back, parts, per_process, slices, table, text_bytes
 from .quality_rules import BUCKETS, Logistic, csr, features, gram_buckets, platt, rows_of
 
 #: Most labelled rows, chosen by a hash of the id.
@@ -202,7 +202,7 @@ def score(docs: DataFrame, views: Views | None, narrow: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Views(Logistic.of(shared.value[0]), Logistic.of(shared.value[1]), shared.value[2]) if shared.value else None
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             texts = text_bytes(batch.column(place))
             values = list(zip(*(batch.column(width + i).to_pylist() for i in range(len(METADATA))), strict=True))
             for lo, hi in slices(texts):
@@ -213,6 +213,7 @@ def score(docs: DataFrame, views: Views | None, narrow: bool = False) -> DataFra
                     both = own.combine(p, q)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), *map(pa.array, (p, q, both))], names=[*kept, *SCORES])
+        give_back()
 
     schema = docs.select(*kept).schema
     for c in SCORES:
