@@ -174,12 +174,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _mapped(docs: DataFrame, path: str, text: str, with_ids: bool) -> DataFrame:
     names = [c for c in docs.columns if c not in ("ids", "round_trip")] if with_ids else ["doc_id"]
-    source = docs.select(*names, F.col(text).alias("_text"))
+    # The text goes to the workers once, in its own place where it is kept.
+    place = names.index(text) if text in names else len(names)
+    source = docs.select(*names) if text in names else docs.select(*names, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = batch.column(len(names))
+            texts = batch.column(place)
             for lo in range(0, len(texts), 256):
                 ids, counts, id_sha, text_sha, same = [], [], [], [], []
                 for x in texts.slice(lo, 256).to_pylist():
@@ -202,7 +204,7 @@ def _mapped(docs: DataFrame, path: str, text: str, with_ids: bool) -> DataFrame:
         give_back()
 
     if with_ids:
-        schema = source.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
+        schema = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
     else:
         schema = source.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
     return source.mapInArrow(run, schema)
