@@ -23,7 +23,7 @@ from framewise.operators.scoring import Scorer, preview_rows
 from framewise.operators.segments import SegmentConfig
 from framewise.operators.vad import CHUNK, RATE, VadConfig, samples
 
-from .state import Sessions, frame, processed, stateful
+from .state import Rows, frame, in_sessions, processed, stateful
 
 # --- chunks -----------------------------------------------------------------------------------------------
 
@@ -64,7 +64,7 @@ def rechunk(stream: DataFrame, rate: float, duration: float, skip: float, startu
         raise ValueError("startup must be wait, silent or ramp_up")
     schema = "rec string, chunk long, start_time double, samples array<double>"
 
-    def step(own: Samples, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def step(own: Samples, key: tuple, rows: Rows) -> list[tuple]:
         out = []
         for x, end in zip(rows["samples"], rows["end_time"], strict=True):
             own.put(np.asarray(x, float), None if pd.isna(end) else round(end * rate), max(size + hop, round(capacity * rate)))
@@ -87,7 +87,7 @@ def rechunk(stream: DataFrame, rate: float, duration: float, skip: float, startu
                 own.emitted += 1
             keep = max(own.base, (size + own.emitted * hop if startup == "wait" else (own.emitted + 1) * hop) - size)
             own.data, own.base = own.data[keep - own.base :], keep
-        return frame(schema, out[-1:] if newest else out)
+        return out[-1:] if newest else out
 
     return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["seq"], schema, Samples, step)
 
@@ -122,7 +122,7 @@ def stream_features(stream: DataFrame, cfg: MelConfig) -> DataFrame:
     window[lead : lead + cfg.win] = 0.5 * (1 - np.cos(2 * np.pi * np.arange(cfg.win) / cfg.win))
     half, block, bank = cfg.nfft // 2, cfg.hop * cfg.subsampling, mel_filterbank(cfg.nfft, cfg.n_mels, cfg.rate)
 
-    def step(own: FeatureState, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def step(own: FeatureState, key: tuple, rows: Rows) -> list[tuple]:
         out = []
         for x, end in zip(rows["samples"], rows["is_last"], strict=True):
             x = np.asarray(x, float)
@@ -153,7 +153,7 @@ def stream_features(stream: DataFrame, cfg: MelConfig) -> DataFrame:
                 own.emitted += 1
             drop = max(0, own.emitted * cfg.subsampling - cfg.context - own.first_row)
             own.rows, own.first_row = own.rows[drop:], own.first_row + min(drop, len(own.rows))
-        return frame(schema, out)
+        return out
 
     return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], schema, FeatureState, step)
 
@@ -197,7 +197,7 @@ def stream_windows(stream: DataFrame, cfg: MelConfig, core: int, left: int, righ
         keep = max(own.base, own.frames * cfg.hop - half)
         own.data, own.base = own.data[keep - own.base :], keep
 
-    def step(own: Ring, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def step(own: Ring, key: tuple, rows: Rows) -> list[tuple]:
         out = []
         for x, end in zip(rows["samples"], rows["is_last"], strict=True):
             x = np.asarray(x, float)
@@ -213,7 +213,7 @@ def stream_windows(stream: DataFrame, cfg: MelConfig, core: int, left: int, righ
                 own.windows += 1
             gone = max(0, own.windows * core - left - own.first)
             own.rows, own.first = own.rows[gone:], own.first + min(gone, len(own.rows))
-        return frame(schema, out)
+        return out
 
     return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], schema, Ring, step)
 
@@ -268,10 +268,10 @@ def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = Fal
 
         return emit
 
-    def step(own: Builder, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def step(own: Builder, key: tuple, rows: Rows) -> list[tuple]:
         out: list[tuple] = []
         emit, late = emitter(key, out), 0
-        for f, p, done in zip(rows["frame"], rows["prob"], rows["is_last"], strict=True):
+        for f, p, done in zip(rows["frame"].tolist(), rows["prob"].tolist(), rows["is_last"].tolist(), strict=True):
             if f < own.seen:
                 late += 1
                 continue
@@ -289,25 +289,25 @@ def stream_segments(stream: DataFrame, cfg: SegmentConfig, tentative: bool = Fal
             emit(own.part)
             own.part = None
         if tentative:
-            view = copy.deepcopy(own)
+            view = copy.copy(own)  # islands taken in make new parts, so the own one stays
             if view.on:
                 a, b = max(0, view.start - cfg.pad_on), view.seen + cfg.pad_off
                 emit(_close(view, cfg, a, b, b - a >= cfg.min_on), False)
             emit(view.part, False)
         if empty and all(r[4] for r in out):
             out.append((key[0], key[1], None, None, False, None))
-        return frame(schema, [*out, *([(key[0], key[1], None, None, None, late)] if late else [])])
+        return [*out, *([(key[0], key[1], None, None, None, late)] if late else [])]
 
-    def close(own: Builder, key: tuple) -> pd.DataFrame:
+    def close(own: Builder, key: tuple) -> list[tuple]:
         out: list[tuple] = []
         end(own, emitter(key, out))
-        return frame(schema, out)
+        return out
 
     own, mode = stream.withColumns({"rec": F.col("rec").cast("string"), "track": F.col("track").cast("int")}), "update" if tentative else "append"
     if gap is None:
         told = stateful(own, ["rec", "track"], ["frame"], schema, Builder, step, mode)
     else:
-        told = processed(own, ["rec", "track"], schema, Sessions(["frame"], gap, Builder, step, close), mode, "eventTime")
+        told = in_sessions(own, ["rec", "track"], ["frame"], schema, gap, Builder, step, close, mode)
     return told.observe("late_frames", F.coalesce(F.sum("late"), F.lit(0)).alias("frames")).where("late is null").drop("late")
 
 
@@ -355,8 +355,8 @@ def voice_events(own: Voice, ends: np.ndarray, sizes: np.ndarray, probs: np.ndar
 VOICE = "rec string, kind string, sample long, time double"
 
 
-def _timed(key: tuple, events: list[tuple[str, int]], resolution: int) -> pd.DataFrame:
-    return frame(VOICE, [(key[0], k, s, round(s / RATE, resolution)) for k, s in events])
+def _timed(key: tuple, events: list[tuple[str, int]], resolution: int) -> list[tuple]:
+    return [(key[0], k, s, round(s / RATE, resolution)) for k, s in events]
 
 
 def stream_vad_events(stream: DataFrame, cfg: VadConfig | None = None, resolution: int = 1) -> DataFrame:
@@ -367,10 +367,10 @@ def stream_vad_events(stream: DataFrame, cfg: VadConfig | None = None, resolutio
     cfg = cfg or VadConfig()
     flush = "is_last" in stream.columns
 
-    def step(own: Voice, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ends = (rows["chunk"].to_numpy() + 1) * CHUNK
-        last = flush and bool(rows["is_last"].iloc[-1])
-        return _timed(key, voice_events(own, ends, np.full(len(ends), CHUNK), rows["prob"].to_numpy(), last, int(ends[-1]), cfg), resolution)
+    def step(own: Voice, key: tuple, rows: Rows) -> list[tuple]:
+        ends = (rows["chunk"] + 1) * CHUNK
+        last = flush and bool(rows["is_last"][-1])
+        return _timed(key, voice_events(own, ends, np.full(len(ends), CHUNK), rows["prob"], last, int(ends[-1]), cfg), resolution)
 
     return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], VOICE, Voice, step)
 
@@ -393,8 +393,8 @@ def stream_voice(stream: DataFrame, scorer: Scorer, cfg: VadConfig | None = None
     """
     cfg = cfg or VadConfig()
 
-    def step(own: Ear, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        last = bool(rows["is_last"].iloc[-1])
+    def step(own: Ear, key: tuple, rows: Rows) -> list[tuple]:
+        last = bool(rows["is_last"][-1])
         own.pending = np.concatenate((own.pending, *[np.asarray(x, float) for x in rows["samples"]]))
         ends, sizes, probs = [], [], []
         while len(own.pending) >= size or last and len(own.pending):
@@ -485,7 +485,7 @@ def score_stream(stream: DataFrame, scorer: Scorer, delay: int = 0, preview: boo
             commit(own, key, preview_rows(own.state, scorer, delay, own.seen, own.width), out)
         own.done = True
 
-    def step(own: Scoring, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def step(own: Scoring, key: tuple, rows: Rows) -> list[tuple]:
         out: list[tuple] = []
         for v, last in zip(rows["values"], rows["is_last"], strict=True):
             if own.done:
@@ -501,17 +501,17 @@ def score_stream(stream: DataFrame, scorer: Scorer, delay: int = 0, preview: boo
         if preview and not own.done and own.seen:
             for i, y in enumerate(preview_rows(own.state, scorer, delay, own.seen, own.width)):
                 out.append((key[0], own.emitted + i, np.asarray(y, float).tolist(), False))
-        return frame(schema, out)
+        return out
 
-    def close(own: Scoring, key: tuple) -> pd.DataFrame:
+    def close(own: Scoring, key: tuple) -> list[tuple]:
         out: list[tuple] = []
         end(own, key, out)
-        return frame(schema, out)
+        return out
 
     own, mode = stream.withColumn("rec", F.col("rec").cast("string")), "update" if preview else "append"
     if gap is None:
         return stateful(own, ["rec"], ["frame"], schema, Scoring, step, mode)
-    return processed(own, ["rec"], schema, Sessions(["frame"], gap, Scoring, step, close), mode, "eventTime")
+    return in_sessions(own, ["rec"], ["frame"], schema, gap, Scoring, step, close, mode)
 
 
 # --- refreshes --------------------------------------------------------------------------------------------
@@ -532,7 +532,7 @@ def stream_refresh(stream: DataFrame, every: int) -> DataFrame:
     """
     schema = "rec string, chunk long, refresh long, samples array<double>"
 
-    def step(own: Waiting, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def step(own: Waiting, key: tuple, rows: Rows) -> list[tuple]:
         out = []
         for chunk, x in zip(rows["chunk"], rows["samples"], strict=True):
             own.samples.append(np.asarray(x, float))
@@ -541,7 +541,7 @@ def stream_refresh(stream: DataFrame, every: int) -> DataFrame:
                 own.number += 1
                 out.append((key[0], chunk, own.number, np.concatenate(own.samples).tolist()))
                 own.samples, own.count = [], 0
-        return frame(schema, out)
+        return out
 
     return stateful(stream.withColumn("rec", F.col("rec").cast("string")), ["rec"], ["chunk"], schema, Waiting, step)
 

@@ -11,7 +11,7 @@ from framewise.operators.features import MelConfig
 from framewise.operators.segments import SegmentConfig
 from framewise.plans.catalog_streams import last
 from framewise.sources import fixtures as fx
-from framewise.streaming import streams
+from framewise.streaming import state, streams
 
 
 def streamed(spark, df, order, op, path, parts=3, mode="append"):
@@ -122,3 +122,32 @@ def test_refresh(spark):
                 want.add((rec, chunk, number))
     df = spark.createDataFrame(rows, "rec int, chunk long, samples array<float>")
     assert {tuple(r) for r in scoring.refresh(df, 100).collect()} == want
+
+
+def test_many_keys_share_a_group(spark, tmp_path, monkeypatch):
+    """Keys of one bucket keep their own states over batches, nulls among them; output goes on in pieces."""
+    monkeypatch.setattr(state, "OUT_ROWS", 7)
+    keys = [(None if r == 0 else f"r{r}", t) for r in range(40) for t in range(3)]
+    df = spark.createDataFrame([(r, t, f, f + len(r or "")) for r, t in keys for f in range(9)], "rec string, track int, frame long, x long")
+    seen = []
+
+    def step(own, key, rows):
+        seen.append(key)
+        own.total += int(rows["x"].sum())
+        return [(*key, int(f), own.total) for f in rows["frame"][-1:]]
+
+    op = lambda x: state.stateful(x, ["rec", "track"], ["frame"], "rec string, track int, frame long, total long", streams.Scoring, step, buckets=2)
+    monkeypatch.setattr(streams.Scoring, "total", 0, raising=False)
+    got = {tuple(r) for r in streamed(spark, df, "frame", op, tmp_path)}
+    whole = lambda r, n: sum(f + len(r or "") for f in range(n))
+    assert got == {(r, t, n - 1, whole(r, n)) for r, t in keys for n in (3, 6, 9)}
+
+
+def test_groups_do_not_grow_with_keys(spark, tmp_path):
+    """A batch of 3,000 keys makes no more groups than there are buckets."""
+    df = spark.range(3000).select(F.col("id").cast("string").alias("rec"), F.lit(0).alias("track"), F.lit(0).cast("long").alias("frame"), F.lit(0.9).alias("prob"), F.lit(True).alias("is_last"))
+    df.write.parquet(f"{tmp_path}/in")
+    q = streams.stream_segments(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), SegmentConfig(0.5, 0.5, 0, 0, 0, 0)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3000
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= state.BUCKETS
