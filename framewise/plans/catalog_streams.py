@@ -230,8 +230,11 @@ add("u4_exactly_once", upserted,
     SELECT CAST(seg.rec AS VARCHAR) AS rec, seg.track, start_frame, end_frame, soonest - end_frame > 2 AS finalized FROM seg JOIN z ON z.rec = seg.rec AND z.track = seg.track""", "fx1")
 
 
-def append_pcm(chunks: DataFrame, path: str, closed: bool) -> None:
-    """Appends each recording's samples to its file, as something outside Spark would, and marks it if closed."""
+def append_pcm(chunks: DataFrame, part: F.Column, path: str, closed: bool) -> None:
+    """Appends each recording's samples of a part to its file, as something outside Spark would, and marks it if closed.
+
+    A recording that has nothing in the part is marked too.
+    """
 
     def run(batches):
         where, folder = fs.FileSystem.from_uri(path)
@@ -244,7 +247,7 @@ def append_pcm(chunks: DataFrame, path: str, closed: bool) -> None:
                     where.open_output_stream(f"{folder}/{rec}.done").close()
                 yield batch.iloc[:1][["rec"]]
 
-    whole = features.to_pcm16(chunks).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("chunk", "samples"))).alias("c"))
+    whole = features.to_pcm16(chunks).groupBy("rec").agg(F.sort_array(F.collect_list(F.when(part, F.struct("chunk", "samples")))).alias("c"))
     whole.select("rec", F.flatten(F.transform("c", lambda c: c["samples"])).alias("samples")).mapInPandas(run, "rec long").collect()
 
 
@@ -252,8 +255,9 @@ def growing(s: SparkSession, d: str) -> DataFrame:
     """Recordings read while they grow, in chunks of 100 samples: half of each, then the rest and its end."""
     s.dataSource.register(GrowingPcm)
     chunks, root = fx.chunks(s, d), shared_dir(s)
-    for part, closed in ((chunks.where("chunk % 12 < 5 and chunk < 12"), False), (chunks.where("not (chunk % 12 < 5 and chunk < 12)"), True)):
-        append_pcm(part, f"{root}/in", closed)
+    early = F.expr("chunk % 12 < 5 and chunk < 12")
+    for part, closed in ((early, False), (~early, True)):
+        append_pcm(chunks, part, f"{root}/in", closed)
         stream = s.readStream.format("growing_pcm").option("path", f"{root}/in").option("chunk", 100).load()
         stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{root}/out")

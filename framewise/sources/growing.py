@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,31 @@ from pyspark.sql.types import StructType
 SCHEMA = "rec string, chunk long, start_sample long, samples array<float>, is_last boolean"
 
 
-class Piece(InputPartition):
+class Piece(NamedTuple):
     """Chunks lo to hi of a file, and whether its rest after them is the last one."""
 
-    def __init__(self, name: str, lo: int, hi: int, closes: bool) -> None:
-        super().__init__((name, lo, hi, closes))
-        self.name, self.lo, self.hi, self.closes = name, lo, hi, closes
+    name: str
+    lo: int
+    hi: int
+    closes: bool
+
+
+class Pieces(InputPartition):
+    """What one task reads: pieces of about as many chunks as an option says, of as many files as that takes."""
+
+    def __init__(self, pieces: list[Piece]) -> None:
+        super().__init__([tuple(p) for p in pieces])
+
+
+def dealt(pieces: list[Piece], most: int) -> list[Pieces]:
+    out, size = [], most
+    for p in pieces:
+        if size >= most:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += p.hi - p.lo + p.closes
+    return [Pieces(x) for x in out]
 
 
 class _Files:
@@ -42,7 +62,7 @@ class _Files:
         # The mark is looked for in the same listing, so a closed file has its full size.
         return {n.removesuffix(".pcm"): [size // (2 * self.chunk), n.removesuffix(".pcm") + ".done" in found] for n, size in sorted(found.items()) if n.endswith(".pcm")}
 
-    def pieces(self, start: dict[str, list], end: dict[str, list]) -> list[Piece]:
+    def pieces(self, start: dict[str, list], end: dict[str, list]) -> list[Pieces]:
         out = []
         for name, (hi, closed) in end.items():
             lo, was_closed = start.get(name, [0, False])
@@ -50,10 +70,14 @@ class _Files:
             out += [Piece(name, a, b, False) for a, b in zip(cuts, cuts[1:], strict=False)]
             if closed and not was_closed:
                 out.append(Piece(name, hi, hi, True))
-        return out
+        return dealt(out, self.piece)
 
-    def rows(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def rows(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         where, folder = self._open()
+        for piece in partition.value:
+            yield from self._read(where, folder, Piece(*piece))
+
+    def _read(self, where: fs.FileSystem, folder: str, piece: Piece) -> Iterator[pa.RecordBatch]:
         width = 2 * self.chunk
         with where.open_input_file(f"{folder}/{piece.name}.pcm") as f:
             f.seek(piece.lo * width)
@@ -64,10 +88,10 @@ class _Files:
 
 
 class _Batch(_Files, DataSourceReader):
-    def partitions(self) -> list[Piece]:
+    def partitions(self) -> list[Pieces]:
         return self.pieces({}, self.progress())
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
 
@@ -80,10 +104,10 @@ class _Stream(_Files, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"files": json.dumps(self.progress())}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
         return self.pieces(json.loads(start["files"]), json.loads(end["files"]))
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
     def commit(self, end: dict) -> None: ...
@@ -93,7 +117,7 @@ class GrowingPcm(DataSource):
     """spark.dataSource.register(GrowingPcm), then read or readStream.format("growing_pcm").
 
     Options: path, a folder in any file system that pyarrow.fs knows by its URI; chunk, samples in a row; piece, chunks
-    in a partition.
+    in a partition, which may be of many short files.
     """
 
     @classmethod

@@ -360,3 +360,16 @@ def test_growing_recordings(spark, tmp_path):
     got = sorted((r.rec, r.chunk, r.start_sample, r.samples, r.is_last) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sorted((r.rec, r.chunk, r.start_sample, r.samples, r.is_last) for r in load(spark.read).collect())
     assert [(r[0], len(r[3])) for r in got if r[4]] == [("a", 27), ("b", 3), ("c", 0)] and sum(len(r[3]) for r in got) == 530
+
+
+def test_short_recordings_are_closed(spark, tmp_path):
+    """A recording that has all its chunks in the first part ends with the second one as any other; short files share a task."""
+    spark.dataSource.register(GrowingPcm)
+    df = spark.createDataFrame([(r, k, [0.5] * 4) for r in range(6) for k in range(r + 1)], "rec long, chunk long, samples array<float>")
+    early = F.col("chunk") < 3
+    for part, closed in ((early, False), (~early, True)):
+        cs.append_pcm(df, part, f"file://{tmp_path}/in", closed)
+    read = spark.read.format("growing_pcm").option("path", f"file://{tmp_path}/in").option("chunk", 4).option("piece", 9).load()
+    rows = read.collect()
+    assert sorted(int(r.rec) for r in rows if r.is_last) == list(range(6)) and sum(len(r.samples) for r in rows) == 4 * 21
+    assert read.rdd.getNumPartitions() == 3
