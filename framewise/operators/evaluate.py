@@ -5,7 +5,9 @@ turns: rec, start, duration, speaker. binary: rec, frame, track, active.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,36 +64,62 @@ def collar_mask(dense: DataFrame, collar: int) -> DataFrame:
     return _near_change(dense, collar).groupBy("rec", "frame").agg((~F.bool_or("near")).alias("valid"))
 
 
-def _valid_frames(pred: DataFrame, ref: DataFrame) -> DataFrame:
-    """rec, frame, r and p, how many tracks are active on either side, of the frames that count.
+def _per_frame(pred: DataFrame, ref: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """rs and ps, the (t, a) tracks and activities of either side, and mark, by frame: whether any row of marks (rec, frame, mark) is true.
 
-    ref: rec, frame, track, active and near; its frames are the grid. Counts are added up before the shuffle.
+    Without marks those of ref count. All rows meet in one shuffle; frames without reference are left out.
     """
-    one = ref.select("rec", "frame", F.col("active").alias("r"), F.lit(0).alias("p"), "near", F.lit(True).alias("grid"))
-    two = pred.select("rec", "frame", F.lit(0).alias("r"), F.col("active").alias("p"), F.lit(False).alias("near"), F.lit(False).alias("grid"))
-    per = one.union(two).groupBy("rec", "frame").agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.bool_or("near").alias("near"), F.bool_or("grid").alias("grid"))
-    return per.where("grid and not near").select("rec", "frame", "r", "p")
-
-
-def _pair_counts(pred: DataFrame, ref: DataFrame, valid: DataFrame) -> DataFrame:
-    """Counts of tracks and overlaps of pairs over the frames of valid (rec, frame); only active rows are paired."""
-    frames = valid.select("rec", "frame")
-
-    def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        own = rows.select("rec", "frame", F.col("track").alias(f"{name}_track"), "active").join(frames, ["rec", "frame"], "left_semi")
-        return own, own.groupBy("rec", f"{name}_track").agg(F.sum("active").cast("long").alias(f"{name}_frames"))
-
-    (r, r_counts), (p, p_counts) = side(ref, "ref"), side(pred, "pred")
-    both = r.where("active = 1").drop("active").join(p.where("active = 1").drop("active"), ["rec", "frame"])
-    hits = both.groupBy("rec", "ref_track", "pred_track").agg(F.count("*").alias("overlap"))
-    out = r_counts.join(p_counts, "rec").join(hits, ["rec", "ref_track", "pred_track"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
+    kinds = {"r": dict(ref.dtypes)["track"], "p": dict(pred.dtypes)["track"]}
+    none = {k: F.lit(None).cast(v) for k, v in kinds.items()}
+    one = ref.select("rec", "frame", F.lit(0).alias("side"), F.col("track").alias("r"), none["p"].alias("p"), F.col("active").cast("long").alias("a"), (F.lit(None).cast("boolean") if marks else F.col("mark")).alias("mark"))
+    two = pred.select("rec", "frame", F.lit(1).alias("side"), none["r"].alias("r"), F.col("track").alias("p"), F.col("active").cast("long").alias("a"), F.lit(None).cast("boolean").alias("mark"))
+    rows = one.union(two)
+    if marks:
+        rows = rows.union(marks.select("rec", "frame", F.lit(2), none["r"], none["p"], F.lit(None).cast("long"), "mark"))
+    side = lambda n, c: F.collect_list(F.when(F.col("side") == n, F.struct(F.col(c).alias("t"), "a")))
+    per = rows.where("rec is not null and frame is not null").groupBy("rec", "frame").agg(side(0, "r").alias("rs"), side(1, "p").alias("ps"), F.bool_or("mark").alias("mark"))
+    return per.where(F.size("rs") > 0)
+
+
+def _marked(pred: DataFrame, ref: DataFrame, collar: int) -> DataFrame:
+    return _per_frame(pred, _near_change(ref, collar).withColumnRenamed("near", "mark"))
+
+
+def _sums(frames: DataFrame) -> DataFrame:
+    """rec, kind, r, p, n of frames (rec, rs, ps), n summed: active frames of reference tracks (0) and of predicted ones (1),
+    overlaps of pairs (2), and for the frames as such what is scored (3), missed (4), false (5) and active on both sides (6)."""
+    kinds = {c: frames.schema[f"{c}s"].dataType.elementType["t"].dataType for c in "rp"}
+    none = {k: F.lit(None).cast(v) for k, v in kinds.items()}
+    item = lambda kind, r, p, n: F.struct(F.lit(kind).alias("kind"), r.alias("r"), p.alias("p"), n.alias("n"))
+    on = lambda c: F.filter(c, lambda x: x["a"] == 1)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["a"], F.lit(0).cast("long")))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    counted = frames.select("rec", "rs", "ps", total("rs").alias("_r"), total("ps").alias("_p"))
+    r, p = F.col("_r"), F.col("_p")
+    whole = F.array(*[item(k, none["r"], none["p"], n) for k, n in ((3, r), (4, F.greatest(r - p, zero)), (5, F.greatest(p - r, zero)), (6, F.least(r, p)))])
+    pairs = F.flatten(F.transform(on("rs"), lambda x: F.transform(on("ps"), lambda y: item(2, x["t"], y["t"], one))))
+    told = F.concat(F.transform("rs", lambda x: item(0, x["t"], none["p"], x["a"])), F.transform("ps", lambda y: item(1, none["r"], y["t"], y["a"])), pairs, whole)
+    return counted.select("rec", F.explode(told).alias("x")).groupBy("rec", "x.kind", "x.r", "x.p").agg(F.sum("x.n").alias("n"))
+
+
+def _pair_counts(sums: DataFrame) -> DataFrame:
+    """Counts of tracks and overlaps of pairs, for all pairs of a recording."""
+    track = lambda k, c, name: sums.where(F.col("kind") == k).select("rec", F.col(c).alias(f"{name}_track"), F.col("n").alias(f"{name}_frames"))
+    hits = sums.where("kind = 2").select("rec", F.col("r").alias("ref_track"), F.col("p").alias("pred_track"), F.col("n").alias("overlap"))
+    out = track(0, "r", "ref").join(track(1, "p", "pred"), "rec").join(hits, ["rec", "ref_track", "pred_track"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
     a, b, o = F.col("ref_frames"), F.col("pred_frames"), F.col("overlap")
     return out.withColumn("cost", F.greatest(a - b, F.lit(0)) + F.greatest(b - a, F.lit(0)) + F.least(a, b) - o)
 
 
 def pair_counts(pred: DataFrame, ref: DataFrame, mask: DataFrame) -> DataFrame:
     """rec, ref_track, pred_track, ref_frames, pred_frames, overlap and cost over valid frames, for all pairs."""
-    return _pair_counts(pred, ref, mask.where("valid").join(ref.select("rec", "frame").distinct(), ["rec", "frame"], "left_semi"))
+    frames = _per_frame(pred, ref, mask.select("rec", "frame", F.col("valid").alias("mark")))
+    return _pair_counts(cut(_sums(frames.where("mark"))))
+
+
+def pair_counts_beyond(pred: DataFrame, ref: DataFrame, collar: int) -> DataFrame:
+    """pair_counts over the frames that collar_mask(ref, collar) leaves, without a table of the mask."""
+    return _pair_counts(cut(_sums(_marked(pred, ref, collar).where("not mark"))))
 
 
 def cheapest(cost: list[list[int]]) -> list[int]:
@@ -135,20 +163,31 @@ def optimal_assignment(costs: DataFrame) -> DataFrame:
     """rec, ref_track, pred_track of the cheapest one-to-one matching; of equals the smallest path.
 
     costs: rec, ref_track, pred_track, cost for all pairs. The path is the partners' order for each track of the
-    shorter side in order. A recording's matrix, which has no more rows than tracks, is solved as one group.
+    shorter side in order. A recording's matrix, which has no more rows than tracks, is one row,
+    so that many short recordings don't cost a group each.
     """
     kinds = dict(costs.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index="ref_track", columns="pred_track", values="cost").sort_index().sort_index(axis=1)
-        flip = len(grid) > len(grid.columns)
-        table = grid.T if flip else grid
-        pairs = [(table.index[i], table.columns[j]) for i, j in enumerate(cheapest([[int(x) for x in line] for line in table.to_numpy()]))]
-        pairs = [(b, a) for a, b in pairs] if flip else pairs
-        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]] * len(pairs), "ref_track": [a for a, _ in pairs], "pred_track": [b for _, b in pairs]})
-
-    some = costs.where("rec is not null").select("rec", "ref_track", "pred_track", "cost")
-    return some.groupBy("rec").applyInPandas(run, f"rec {kinds['rec']}, ref_track {kinds['ref_track']}, pred_track {kinds['pred_track']}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            recs, refs, preds = [], [], []
+            for rec, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, columns = sorted({c["r"] for c in cells}), sorted({c["p"] for c in cells})
+                if [(c["r"], c["p"]) for c in cells] != [(r, p) for r in rows for p in columns]:
+                    raise ValueError("each pair of tracks must have one cost")
+                grid = [[int(c["cost"]) for c in cells[i : i + len(columns)]] for i in range(0, len(cells), len(columns))]
+                flip = len(rows) > len(columns)
+                best = list(enumerate(cheapest([list(x) for x in zip(*grid, strict=True)] if flip else grid)))
+                pairs = [(rows[j], columns[i]) for i, j in best] if flip else [(rows[i], columns[j]) for i, j in best]
+                recs += [rec] * len(pairs)
+                refs += [r for r, _ in pairs]
+                preds += [p for _, p in pairs]
+            own, cell = batch.schema.field(0).type, batch.schema.field(1).type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(recs, own), pa.array(refs, cell.field("r").type), pa.array(preds, cell.field("p").type)], names=["rec", "ref_track", "pred_track"])
+
+    cell = F.struct(F.col("ref_track").alias("r"), F.col("pred_track").alias("p"), "cost")
+    some = costs.where("rec is not null").groupBy("rec").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    return some.mapInArrow(run, f"rec {kinds['rec']}, ref_track {kinds['ref_track']}, pred_track {kinds['pred_track']}")
 
 
 def apply_assignment(pred: DataFrame, assignment: DataFrame, grid: DataFrame) -> DataFrame:
@@ -167,14 +206,13 @@ def der(pred: DataFrame, ref: DataFrame, threshold: float = 0.5, median: int = 1
     pred: rec, frame, track, prob. ref: dense rec, frame, track, active. Predicted tracks without a partner
     count as false alarms; der is 0 where nothing is scored.
     """
-    hard = cut(median_filter(binarize(pred, threshold), median) if median > 1 else binarize(pred, threshold))
-    ref = cut(_near_change(ref, collar))
-    valid = cut(_valid_frames(hard, ref))
+    hard = median_filter(binarize(pred, threshold), median) if median > 1 else binarize(pred, threshold)
     # Frames that a pair of partners shares are its overlap, so no frame needs to know its tracks.
-    pairs = cut(_pair_counts(hard, ref, valid))
+    counts = cut(_sums(_marked(hard, ref, collar).where("not mark")))
+    pairs = _pair_counts(counts)
     shared = pairs.join(optimal_assignment(pairs), ["rec", "ref_track", "pred_track"]).groupBy("rec").agg(F.sum("overlap").alias("o"))
-    r, p = F.col("r"), F.col("p")
-    sums = valid.groupBy("rec").agg(F.sum(r).alias("scored"), F.sum(F.greatest(r - p, F.lit(0))).alias("miss"), F.sum(F.greatest(p - r, F.lit(0))).alias("false_alarm"), F.sum(F.least(r, p)).alias("both"))
+    names = {3: "scored", 4: "miss", 5: "false_alarm", 6: "both"}
+    sums = counts.where("kind > 2").groupBy("rec").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(c) for k, c in names.items()])
     sums = sums.join(shared, "rec", "left").withColumn("error", F.col("both") - F.coalesce("o", F.lit(0)))
     sums = sums.select("rec", *[F.col(c).cast("double").alias(c) for c in ("scored", "miss", "false_alarm", "error")])
     return sums.withColumn("der", F.when(F.col("scored") > 0, (F.col("miss") + F.col("false_alarm") + F.col("error")) / F.col("scored")).otherwise(F.lit(0.0)))

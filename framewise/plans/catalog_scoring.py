@@ -21,7 +21,7 @@ def pred(s: SparkSession, d: str) -> DataFrame:
 
 def assignment(s: SparkSession, d: str) -> DataFrame:
     r = ref_dense(s, d)
-    return evaluate.optimal_assignment(evaluate.pair_counts(pred(s, d), r, evaluate.collar_mask(r, 1)))
+    return evaluate.optimal_assignment(evaluate.pair_counts_beyond(pred(s, d), r, 1))
 
 
 def errors(s: SparkSession, d: str) -> DataFrame:

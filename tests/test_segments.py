@@ -195,3 +195,21 @@ def test_frames_across_chunks(spark, nfft, win, hop, size):
             want |= {(r, f): far[nfft + f * hop + shift :][:length] for f in range(max(0, frames))}
         got = {(r.rec, r.frame): r.samples for r in features.analysis_frames(chunks, nfft, win, hop, mode, size).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_assignment_has_no_group_for_each_recording(spark):
+    """Matrices of many recordings are rows of a batch; pairs over frames beyond a collar equal those under its mask."""
+    import random
+
+    from framewise.operators import evaluate
+
+    rng = random.Random(4)
+    grid = [(r, f, t) for r in range(8) for f in range(30) for t in range(3)]
+    ref = spark.createDataFrame([(r, f, t, (f // 10 + t + r) % 2) for r, f, t in grid if t <= r % 3], "rec long, frame long, track int, active int")
+    pred = spark.createDataFrame([(r, f, t, int(rng.random() < 0.5)) for r, f, t in grid if (f + t) % 7], "rec long, frame long, track int, active int")
+    under = evaluate.pair_counts(pred, ref, evaluate.collar_mask(ref, 1))
+    beyond = evaluate.pair_counts_beyond(pred, ref, 1)
+    assert under.columns == beyond.columns and sorted(map(tuple, under.collect())) == sorted(map(tuple, beyond.collect())) and under.count() == 3 * sum(r % 3 + 1 for r in range(8))
+    found = evaluate.optimal_assignment(beyond)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    assert found.count() == sum(r % 3 + 1 for r in range(8))
