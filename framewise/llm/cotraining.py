@@ -132,13 +132,14 @@ def _features_of(docs: DataFrame, ids: DataFrame) -> tuple[Rows, Rows, dict[int,
     """Both views' features of the documents whose ids (doc_id, y) are given, and the place of each id; ids are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             texts = text_bytes(batch.column(1))
             values = list(zip(*(batch.column(2 + i).to_pylist() for i in range(len(METADATA))), strict=True))
             for lo, hi in slices(texts):
                 one = csr([features(g) for g in gram_buckets(texts[lo:hi])])
                 two = csr([metadata_features(texts[i], list(values[i])) for i in range(lo, hi)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *one, *two], names=["doc_id", "at", "value", "meta_at", "meta_value"])
+        give_back()
 
     own = _with_metadata(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
     own = own.select("doc_id", "text", *[f"_m{i}" for i in range(len(METADATA))]).dropDuplicates(["doc_id"])

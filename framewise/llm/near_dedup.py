@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, shingles, slices, stored, text_bytes, word_hashes
+from .common import cut, give_back, mix64, parts, shingles, slices, stored, text_bytes, word_hashes
 
 #: 48 permutations give 96 values: 24 bands of 4. Two sets of similarity 0.85 miss all bands once in 5e7.
 PERMUTATIONS, ROWS = 48, 4
@@ -69,7 +69,7 @@ def _per_document(k: int, wanted: bool) -> Callable[[Iterator[pa.RecordBatch]],
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             texts = text_bytes(batch.column(1))
             asked = batch.column(2).to_pylist() if wanted else None
             for lo, hi in slices(texts):
@@ -96,6 +96,7 @@ def _per_document(k: int, wanted: bool) -> Callable[[Iterator[pa.RecordBatch]],
                     yield pa.RecordBatch.from_arrays([key, values], names=["id", "items"])
                 else:
                     yield pa.RecordBatch.from_arrays([key, pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), values], names=["doc_id", "node", "n_shingles", "items"])
+        give_back()
 
     return run
 

@@ -101,3 +101,19 @@ def test_odd_tables(spark, odd, empty):
     kept = n.keep_first(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id = 1").count() == 0
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_batches_are_taken_in_parts(monkeypatch):
+    """A worker holds the texts of a part of a batch, not of all of it, and gives freed memory back when its task ends."""
+    import pyarrow as pa
+
+    from framewise.llm import near_dedup
+
+    sizes, given = [], []
+    read = near_dedup.text_bytes
+    monkeypatch.setattr(near_dedup, "text_bytes", lambda column: sizes.append(len(column)) or read(column))
+    monkeypatch.setattr(near_dedup, "give_back", lambda: given.append(1), raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": [f"a b c d {i}" for i in range(2000)]})
+    out = list(near_dedup._per_document(3, False)(iter([batch])))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(2000))
+    assert max(sizes) <= 512 and sum(sizes) == 2000 and given == [1]
