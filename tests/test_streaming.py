@@ -3,12 +3,16 @@
 import random
 import time
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from framewise.operators import features, scoring, segments, vad
 from framewise.operators.features import MelConfig
 from framewise.operators.segments import SegmentConfig
+from framewise.plans import catalog
 from framewise.plans.catalog_streams import last
 from framewise.sources import fixtures as fx
 from framewise.streaming import state, streams
@@ -151,3 +155,17 @@ def test_groups_do_not_grow_with_keys(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3000
     assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= state.BUCKETS
+
+
+@pytest.mark.parametrize("name", ["t11_late_frames"])
+def test_query_on_many_short_recordings(spark, tmp_path, monkeypatch, name):
+    """1,500 users of two event types: the rows of the SQL, from no more groups than there are buckets."""
+    rows = spark.range(9000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), (F.col("id") % 1500).alias("user_id"), F.when(F.col("id") % 7 < 4, "a").otherwise("b").alias("event_type"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    ran, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **b: ran.append(start(self, *a, **b)) or ran[-1])
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    names = ", ".join(df.columns)
+    want = duckdb.sql(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet/*.parquet') SELECT {names} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 1000
+    assert [0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= state.BUCKETS for q in ran] == [True, True]
