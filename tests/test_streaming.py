@@ -157,7 +157,7 @@ def test_groups_do_not_grow_with_keys(spark, tmp_path):
     assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= state.BUCKETS
 
 
-@pytest.mark.parametrize("name", ["t11_late_frames", "t4_stream_segments"])
+@pytest.mark.parametrize("name", ["t11_late_frames", "t4_stream_segments", "u4_exactly_once"])
 def test_query_on_many_short_recordings(spark, tmp_path, monkeypatch, name):
     """1,500 users of two event types: the rows of the SQL, from no more groups than there are buckets."""
     rows = spark.range(9000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), (F.col("id") % 1500).alias("user_id"), F.when(F.col("id") % 7 < 4, "a").otherwise("b").alias("event_type"))
